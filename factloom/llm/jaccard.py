@@ -24,6 +24,8 @@ from factloom.llm.common import BROADCAST_ROWS, ODD, WordHashes, column_bytes, c
 BUCKETS, PIECES = 1 << 19, 16
 #: Minimum hashes for finding large groups, and the size from which a group is large.
 SIGNATURES, LARGE = 6, 32
+#: Rounds of joining large groups, and members compared with the rest in each but the first.
+ROUNDS, LEADERS = 3, 4
 #: Nodes on a shingle up to which they are paired at once; beyond, nodes per block of a tile.
 RUN, BLOCK = 64, 256
 
@@ -180,20 +182,42 @@ def verified(documents: DataFrame, pairs: DataFrame, k: int, threshold: Threshol
     return links
 
 
-def large_group_links(documents: DataFrame, nodes: DataFrame, k: int, threshold: Threshold) -> DataFrame | None:
-    """Links from the members of large groups, found by equal minimum hashes, to their least member.
+def merged_groups(documents: DataFrame, nodes: DataFrame, k: int, threshold: Threshold) -> tuple[DataFrame, DataFrame] | None:
+    """Links within large groups, and the components (``id, component``) of the nodes they join.
 
-    They spare later steps the pairs within such a group; links that this
-    misses are found there.
+    A large group shares a minimum hash.  Its least member is compared with all
+    others; in each later round, where many are joined already, ``LEADERS``
+    members that a hash picks are compared with those of other components.
+    This spares later steps the pairs within a group; links that it misses are
+    found there.
     """
     keys = nodes.where("n > 0").select("id", "n", F.posexplode("minima").alias("i", "key"))
-    large = keys.groupBy("i", "key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("least")).where(F.col("c") > LARGE)
-    large = materialize(large.select("i", "key", F.col("least.id").alias("a"), F.col("least.n").alias("n_a")), "large")
+    large = materialize(keys.groupBy("i", "key").count().where(F.col("count") > LARGE).select("i", "key"), "large")
     if not large.take(1):
         return None
-    sizes = threshold.den * F.least("n", "n_a") >= threshold.num * F.greatest("n", "n_a")
-    pairs = keys.join(large, ["i", "key"]).where((F.col("a") != F.col("id")) & sizes).select("a", F.col("id").alias("b")).distinct()
-    return verified(documents, materialize(pairs, "pairs"), k, threshold)
+    keys = materialize(keys.join(large, ["i", "key"]), "keys")
+    links, merged = None, None
+    for round_ in range(ROUNDS):
+        if links is None:
+            members = keys.withColumn("component", F.col("id"))
+            leaders = [F.min(F.struct("id", "n", "component"))]
+        else:
+            members = keys.join(merged, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            shares = members.groupBy("i", "key", "component").count().groupBy("i", "key").agg(F.max("count").alias("most"), F.count(F.lit(1)).alias("parts"))
+            members = members.join(shares.where((F.col("most") > LARGE) & (F.col("parts") > 1)).select("i", "key"), ["i", "key"])
+            leaders = [F.min(F.struct(F.xxhash64("id", F.lit(round_ * LEADERS + j)).alias("h"), "id", "n", "component")) for j in range(LEADERS)]
+        chosen = members.groupBy("i", "key").agg(F.array_distinct(F.array(*[F.struct(x["id"].alias("id"), x["n"].alias("n"), x["component"].alias("component")) for x in leaders])).alias("leader"))
+        chosen = chosen.select("i", "key", F.explode("leader").alias("l"))
+        sizes = threshold.den * F.least("n", "l.n") >= threshold.num * F.greatest("n", "l.n")
+        pairs = members.join(chosen, ["i", "key"]).where((F.col("component") != F.col("l.component")) & sizes)
+        pairs = pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
+        pairs = materialize(possible(pairs, nodes, threshold), "pairs")
+        if not pairs.take(1):
+            break
+        found = verified(documents, pairs, k, threshold)
+        links = found if links is None else links.unionByName(found)
+        merged = components(links.toDF("u", "v")).withColumnRenamed("node", "id")
+    return None if links is None else (links, merged)
 
 
 def meetings(tokens: DataFrame, threshold: Threshold) -> DataFrame:
@@ -256,7 +280,9 @@ def meetings(tokens: DataFrame, threshold: Threshold) -> DataFrame:
                 both = np.concatenate([component[x], component[y]])
                 if (both == both[0]).all():
                     continue
-                tile = mix(np.array([token[0], i, j]).view(np.uint64) * ODD[:3]).sum(dtype=np.uint64).astype(np.int64)
+                # Tokens that the same nodes share make one tile.
+                sides = np.array([mix(node[x].view(np.uint64)).sum(dtype=np.uint64), mix(node[y].view(np.uint64) * ODD[1]).sum(dtype=np.uint64)])
+                tile = (sides * ODD[2:4]).sum(dtype=np.uint64).astype(np.int64)
                 if i == j:
                     yield rows(node[x], None, np.full(len(node[x]), tile), np.full(len(node[x]), 2))
                 else:
@@ -330,24 +356,24 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 75, den: int
     sets = features.where("id is not null and n > 0")
     classes = materialize(sets.groupBy("s1", "s2").agg(F.min("id").alias("node")), "classes")
     nodes = sets.join(classes.withColumnRenamed("node", "id"), ["s1", "s2", "id"], "left_semi")
-    links = large_group_links(documents, nodes.select("id", "n", "minima"), k, threshold)
-    if links is None:
-        tokens = nodes.select("prefix", "id", "n", F.col("id").alias("component"))
+    slim = nodes.select("id", "n", "bits", "minima")
+    groups = merged_groups(documents, slim, k, threshold)
+    tokens = nodes.select("prefix", "id", "n")
+    owner = slim.select("id", "n", "bits")
+    if groups is None:
+        tokens, owner = (x.withColumn("component", F.col("id")) for x in (tokens, owner))
     else:
-        merged = components(links.toDF("u", "v"))
-        tokens = nodes.select("prefix", "id", "n").join(merged.withColumnRenamed("node", "id"), "id", "left").select("prefix", "id", "n", F.coalesce("component", "id").alias("component"))
-    tokens = tokens.select(F.explode("prefix").alias("token"), "id", "n", "component")
+        tokens, owner = (x.join(groups[1], "id", "left").withColumn("component", F.coalesce("component", "id")) for x in (tokens, owner))
+    tokens = tokens.select(F.explode_outer("prefix").alias("token"), "id", "n", "component")
     met = materialize(meetings(tokens.repartition("token").sortWithinPartitions("token", "n", "id"), threshold), "meetings")
-    slim = nodes.select("id", "n", "bits")
     pairs = met.where("b is not null and a <> b").select("a", "b").distinct()
     if met.where("tile is not null").take(1):
-        owner = slim if links is None else slim.join(merged.withColumnRenamed("node", "id"), "id", "left")
-        owner = owner.select(F.col("id").alias("a"), "n", "bits", (F.col("id") if links is None else F.coalesce("component", "id")).alias("component")).dropDuplicates(["a"])
+        owner = owner.withColumnRenamed("id", "a").dropDuplicates(["a"])
         tile_rows = met.where("tile is not null").select("a", "tile", "side").distinct().join(owner, "a")
         pairs = pairs.unionByName(bounded(tile_rows, threshold)).distinct()
     pairs = materialize(possible(pairs, slim, threshold).distinct(), "pairs")
     more = verified(documents, pairs, k, threshold)
-    links = more if links is None else links.unionByName(more)
+    links = more if groups is None else groups[0].unionByName(more)
     found = components(links.toDF("u", "v"))
     named = features.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
     named = named.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(found, "node", "left")
