@@ -36,6 +36,12 @@ def _paired(df: DataFrame, a: str, by: int, f) -> DataFrame:
     return df.withColumn(a, F.zip_with(left, _shifted(a, by), f))
 
 
+def whole_grams(n: int) -> Column:
+    """A fingerprint at each place of ``_w`` where ``n`` words begin."""
+    places = F.when(F.size("_w") >= n, F.sequence(F.lit(0), F.size("_w") - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(i.alias("at"), i.alias("to"), F.lit(n).alias("length"), F.xxhash64(F.lit(n), F.slice("_w", i + 1, F.lit(n))).alias("fp")))
+
+
 def with_fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
     """Add ``_f``: structs ``at, length, fp`` of the kept grams of ``_w``, each once per place.
 
@@ -59,8 +65,7 @@ def with_fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
         lambda i, after: F.struct(i.alias("at"), (F.coalesce(after, F.size("_m")) - 1).alias("to"), F.lit(WINDOW).alias("length"), F.get("_m", i).alias("fp")),
     )
     for n in short:
-        places = F.when(F.size("_w") >= n, F.sequence(F.lit(0), F.size("_w") - n)).otherwise(F.array().cast("array<int>"))
-        found = F.concat(found, F.transform(places, lambda i, n=n: F.struct(i.alias("at"), i.alias("to"), F.lit(n).alias("length"), F.xxhash64(F.lit(n), F.slice("_w", i + 1, F.lit(n))).alias("fp"))))
+        found = F.concat(found, whole_grams(n))
     return hashed.withColumn("_f", found).drop("_g", "_m", "_s")
 
 
