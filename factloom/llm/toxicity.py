@@ -15,7 +15,7 @@ from factloom.llm.common import ODD, PLAIN, WordHashes, column_bytes, labelled_s
 #: Bits of a feature's bucket.
 BITS = 20
 #: The most labelled documents to learn from.
-SAMPLE = 16_000
+SAMPLE = 8_000
 
 
 def features(text: bytes, hashes: WordHashes) -> np.ndarray:
@@ -84,9 +84,10 @@ def train(documents: DataFrame, labels: DataFrame, label: str, admitted: Column,
     kind = documents.schema["doc_id"].dataType.simpleString()
     # Repeated rows of an id count once, so that the bound holds.
     rows = known.mapInArrow(buckets, f"doc_id {kind}, y int, x binary").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x"))
-    got = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", "x").collect()
-    got.sort(key=lambda r: (r["h"], r["doc_id"]))
-    return Ftrl().fit([np.frombuffer(r["x"], np.uint32) for r in got], [r["y"] for r in got])
+    # Partition by partition, so that the driver's JVM never holds the whole sample beside Python.
+    got = [(r["h"], r["doc_id"], r["y"], np.frombuffer(r["x"], np.uint32)) for r in rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", "x").toLocalIterator()]
+    got.sort(key=lambda r: r[:2])
+    return Ftrl().fit([r[3] for r in got], [r[2] for r in got])
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", out: str = "score", keep_text: bool = False) -> DataFrame:
