@@ -7,6 +7,9 @@ order of all shingles (the common ones last), so nodes meet on those.  What
 meets on a shingle lies sorted by size and is compared in tiles: blocks whose
 size bands are compatible.  A bitmap of the set bounds the intersection from
 above; pairs that pass are decided by intersecting the sorted arrays.
+
+A pair counts on the first shingle that it shares.  What precedes it in a set
+is not shared, so its place bounds the size of the partners that are in reach.
 """
 
 from __future__ import annotations
@@ -78,6 +81,10 @@ class Threshold:
     def sizes(self, n_a, n_b):
         return self.den * np.minimum(n_a, n_b) >= self.num * np.maximum(n_a, n_b)
 
+    def reach(self, n, place):
+        """The largest size of a set that shares nothing before ``place`` of a set of ``n``."""
+        return F.expr(f"{self.den} * ({n} - {place}) div {self.num} - {place}")
+
     def prefix(self, n: int) -> int:
         return n - -(-self.num * n // self.den) + 1 if n else 0
 
@@ -223,16 +230,17 @@ def merged_groups(documents: DataFrame, nodes: DataFrame, k: int, threshold: Thr
 def meetings(tokens: DataFrame, threshold: Threshold) -> DataFrame:
     """What meets on a shingle: pairs ``a, b``, or for more than ``RUN`` nodes rows ``a, tile, side``.
 
-    ``tokens(token, id, n, component)`` is sorted by token and size within its
-    partitions and streamed.  Only pairs of compatible sizes from different
-    components count.  A tile is two blocks of nodes next to each other in
-    size, or one block with itself (side 2).
+    ``tokens(token, id, n, component, reach)`` is sorted by token, size and id
+    within its partitions and streamed.  Only pairs of compatible sizes from
+    different components count, each within the other's reach.  A tile is a
+    block of nodes (side 0) and a block of nodes at least as large that may be
+    in their reach (side 1).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 5
         for batch in batches:
-            new = [batch.column(i).to_numpy() for i in range(4)]
+            new = [batch.column(i).to_numpy() for i in range(5)]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             # The last token may go on in the next batch.
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
@@ -247,9 +255,9 @@ def meetings(tokens: DataFrame, threshold: Threshold) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         lengths = np.diff(np.append(starts, len(token)))
         for s, m in zip(starts[lengths > RUN], lengths[lengths > RUN], strict=True):
-            yield from tiles(*(x[s : s + m] for x in columns))
+            yield from tiles(*(x[s : s + m] for x in columns[1:]))
         usable = np.repeat((lengths > 1) & (lengths <= RUN), lengths)
-        token, node, n, component = (x[usable] for x in columns)
+        token, node, n, component, reach = (x[usable] for x in columns)
         pairs = []
         at = np.arange(len(token))
         for gap in range(1, RUN):
@@ -258,38 +266,33 @@ def meetings(tokens: DataFrame, threshold: Threshold) -> DataFrame:
             if not len(at):
                 break
             to = at + gap
-            good = (component[at] != component[to]) & threshold.sizes(n[at], n[to])
+            good = (component[at] != component[to]) & threshold.sizes(n[at], n[to]) & (n[to] <= reach[at]) & (n[at] <= reach[to])
             pairs.append(np.stack([np.minimum(node[at], node[to])[good], np.maximum(node[at], node[to])[good]], axis=1))
         if pairs:
             found = np.unique(np.concatenate(pairs), axis=0)
             yield rows(found[:, 0], found[:, 1], None, None)
 
     def rows(a, b, tile, side) -> pa.RecordBatch:
-        none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), none if b is None else pa.array(b, pa.int64()), none if tile is None else pa.array(tile, pa.int64()), none if side is None else pa.array(side, pa.int64())], ["a", "b", "tile", "side"])
-
-    def tiles(token: np.ndarray, node: np.ndarray, n: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if (component == component[0]).all():
-            return
-        blocks = [slice(s, s + BLOCK) for s in range(0, len(node), BLOCK)]
-        for j, y in enumerate(blocks):
-            for i in range(j, -1, -1):
-                x = blocks[i]
-                if not threshold.sizes(n[x][-1], n[y][0]):
-                    break
-                both = np.concatenate([component[x], component[y]])
-                if (both == both[0]).all():
-                    continue
+        columns = [pa.nulls(len(a), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (a, b, tile, side)]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "tile", "side"])
+
+    def tiles(node: np.ndarray, n: np.ndarray, component: np.ndarray, reach: np.ndarray) -> Iterator[pa.RecordBatch]:
+        smaller = np.flatnonzero(reach >= n)
+        for s in range(0, len(smaller), BLOCK):
+            x = smaller[s : s + BLOCK]
+            within = (n >= n[x[0]]) & (n <= reach[x].max()) & (reach >= n[x[0]])
+            if (component[x] == component[x[0]]).all():
+                within &= component != component[x[0]]
+            within = np.flatnonzero(within)
+            for r in range(0, len(within), BLOCK):
+                y = within[r : r + BLOCK]
                 # Tokens that the same nodes share make one tile.
                 sides = np.array([mix(node[x].view(np.uint64)).sum(dtype=np.uint64), mix(node[y].view(np.uint64) * ODD[1]).sum(dtype=np.uint64)])
                 tile = (sides * ODD[2:4]).sum(dtype=np.uint64).astype(np.int64)
-                if i == j:
-                    yield rows(node[x], None, np.full(len(node[x]), tile), np.full(len(node[x]), 2))
-                else:
-                    both = np.concatenate([node[x], node[y]])
-                    yield rows(both, None, np.full(len(both), tile), np.repeat([0, 1], [len(node[x]), len(node[y])]))
+                both = np.concatenate([node[x], node[y]])
+                yield rows(both, None, np.full(len(both), tile), np.repeat([0, 1], [len(x), len(y)]))
 
-    return tokens.mapInArrow(run, "a long, b long, tile long, side long")
+    return tokens.select("token", "id", "n", "component", "reach").mapInArrow(run, "a long, b long, tile long, side long")
 
 
 def bounded(tile_rows: DataFrame, threshold: Threshold) -> DataFrame:
@@ -298,18 +301,23 @@ def bounded(tile_rows: DataFrame, threshold: Threshold) -> DataFrame:
     def compare(pdf):
         import pandas as pd
 
-        own = pdf.sort_values("a")
+        own = pdf.sort_values(["n", "a"])
         node, n, component, side = (own[c].to_numpy() for c in ("a", "n", "component", "side"))
         maps = [np.frombuffer(b, np.uint64) for b in own["bits"]]
-        width = min(map(len, maps))
-        maps = np.stack([folded(m, width) for m in maps])
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        width = np.array([len(m) for m in maps])
+        # For each width, the bitmaps of at least that width folded to it; a pair is compared at the lesser of its two.
+        stacks = {}
+        for w in np.unique(width):
+            stacks[w] = np.zeros((len(maps), w), np.uint64)
+            for i in np.flatnonzero(width >= w):
+                stacks[w][i] = folded(maps[i], w)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         a, b = [], []
         for i in left:
-            good = right[(component[right] != component[i]) & threshold.sizes(n[right], n[i])]
-            good = good[good > i] if side[i] == 2 else good
-            common = most_common(maps[i][None, :], n[i], maps[good], n[good])
-            good = good[threshold.linked(common, n[good], n[i])]
+            larger = right[(n[right] > n[i]) | ((n[right] == n[i]) & (node[right] > node[i]))]
+            near = larger[(component[larger] != component[i]) & threshold.sizes(n[larger], n[i])]
+            common = most_common(stacks[width[i]][i][None, :], n[i], stacks[width[i]][near], n[near])
+            good = near[threshold.linked(common, n[near], n[i])]
             a.append(np.full(len(good), node[i]))
             b.append(node[good])
         a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
@@ -364,14 +372,15 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 75, den: int
         tokens, owner = (x.withColumn("component", F.col("id")) for x in (tokens, owner))
     else:
         tokens, owner = (x.join(groups[1], "id", "left").withColumn("component", F.coalesce("component", "id")) for x in (tokens, owner))
-    tokens = tokens.select(F.explode_outer("prefix").alias("token"), "id", "n", "component")
+    tokens = tokens.select(F.posexplode("prefix").alias("place", "token"), "id", "n", "component")
+    tokens = tokens.select("token", "id", "n", "component", threshold.reach("n", "place").alias("reach"))
     met = materialize(meetings(tokens.repartition("token").sortWithinPartitions("token", "n", "id"), threshold), "meetings")
-    pairs = met.where("b is not null and a <> b").select("a", "b").distinct()
+    pairs = possible(met.where("b is not null and a <> b").select("a", "b").distinct(), slim, threshold)
     if met.where("tile is not null").take(1):
         owner = owner.withColumnRenamed("id", "a").dropDuplicates(["a"])
         tile_rows = met.where("tile is not null").select("a", "tile", "side").distinct().join(owner, "a")
-        pairs = pairs.unionByName(bounded(tile_rows, threshold)).distinct()
-    pairs = materialize(possible(pairs, slim, threshold).distinct(), "pairs")
+        pairs = pairs.unionByName(bounded(tile_rows, threshold))
+    pairs = materialize(pairs.distinct(), "pairs")
     more = verified(documents, pairs, k, threshold)
     links = more if groups is None else groups[0].unionByName(more)
     found = components(links.toDF("u", "v"))

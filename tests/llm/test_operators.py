@@ -78,6 +78,21 @@ def test_jaccard_is_exact(spark, docs, rows, empty, monkeypatch, run):
     assert {tuple(r) for r in jaccard.jaccard_components(lone).collect()} == {(None, 2, None), (7, 2, 7)}
 
 
+def test_jaccard_of_a_common_shingle_over_all_sizes(spark, monkeypatch):
+    """Blocks of a common shingle hold small and large sets; links within and across blocks stay."""
+    monkeypatch.setattr(jaccard, "RUN", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "LARGE", 10**6)
+    # A rare head in front of a base that copies make common: all heads come first, whatever the size.
+    base = [f"b{i}" for i in range(2600)]
+    rows = [(i, " ".join([f"h{j}" for j in range(12)] + base[: int(10 * 1.15**i)])) for i in range(40)]
+    rows += [(i, " ".join(base)) for i in range(100, 300)]
+    want = brute_components(rows)
+    assert {c for _, c in want.values()} == {0}
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 200), (201, 202), (202, 201)]
