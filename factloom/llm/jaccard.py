@@ -10,6 +10,7 @@ above; pairs that pass are decided by intersecting the sorted arrays.
 
 A pair counts on the first shingle that it shares.  What precedes it in a set
 is not shared, so its place bounds the size of the partners that are in reach.
+Sets that agree on the shingle before as well have met there.
 """
 
 from __future__ import annotations
@@ -230,17 +231,19 @@ def merged_groups(documents: DataFrame, nodes: DataFrame, k: int, threshold: Thr
 def meetings(tokens: DataFrame, threshold: Threshold) -> DataFrame:
     """What meets on a shingle: pairs ``a, b``, or for more than ``RUN`` nodes rows ``a, tile, side``.
 
-    ``tokens(token, id, n, component, reach)`` is sorted by token, size and id
-    within its partitions and streamed.  Only pairs of compatible sizes from
-    different components count, each within the other's reach.  A tile is a
+    ``tokens(token, id, n, component, reach, before)`` is sorted by token, size
+    and id within its partitions and streamed; ``before`` is the set's shingle
+    before the token, or the token if it is the first.  Only pairs of
+    compatible sizes from different components count, each within the other's
+    reach, and not if they met on the shingle before.  A tile is a
     block of nodes (side 0) and a block of nodes at least as large that may be
     in their reach (side 1).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 5
+        held = [np.zeros(0, np.int64)] * 6
         for batch in batches:
-            new = [batch.column(i).to_numpy() for i in range(5)]
+            new = [batch.column(i).to_numpy() for i in range(6)]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             # The last token may go on in the next batch.
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
@@ -255,9 +258,9 @@ def meetings(tokens: DataFrame, threshold: Threshold) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         lengths = np.diff(np.append(starts, len(token)))
         for s, m in zip(starts[lengths > RUN], lengths[lengths > RUN], strict=True):
-            yield from tiles(*(x[s : s + m] for x in columns[1:]))
+            yield from tiles(*(x[s : s + m] for x in columns))
         usable = np.repeat((lengths > 1) & (lengths <= RUN), lengths)
-        token, node, n, component, reach = (x[usable] for x in columns)
+        token, node, n, component, reach, before = (x[usable] for x in columns)
         pairs = []
         at = np.arange(len(token))
         for gap in range(1, RUN):
@@ -267,6 +270,7 @@ def meetings(tokens: DataFrame, threshold: Threshold) -> DataFrame:
                 break
             to = at + gap
             good = (component[at] != component[to]) & threshold.sizes(n[at], n[to]) & (n[to] <= reach[at]) & (n[at] <= reach[to])
+            good &= (before[at] != before[to]) | (before[at] == token[at])
             pairs.append(np.stack([np.minimum(node[at], node[to])[good], np.maximum(node[at], node[to])[good]], axis=1))
         if pairs:
             found = np.unique(np.concatenate(pairs), axis=0)
@@ -276,7 +280,7 @@ def meetings(tokens: DataFrame, threshold: Threshold) -> DataFrame:
         columns = [pa.nulls(len(a), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (a, b, tile, side)]
         return pa.RecordBatch.from_arrays(columns, ["a", "b", "tile", "side"])
 
-    def tiles(node: np.ndarray, n: np.ndarray, component: np.ndarray, reach: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def tiles(token, node, n, component, reach, before) -> Iterator[pa.RecordBatch]:
         smaller = np.flatnonzero(reach >= n)
         for s in range(0, len(smaller), BLOCK):
             x = smaller[s : s + BLOCK]
@@ -286,13 +290,16 @@ def meetings(tokens: DataFrame, threshold: Threshold) -> DataFrame:
             within = np.flatnonzero(within)
             for r in range(0, len(within), BLOCK):
                 y = within[r : r + BLOCK]
+                earlier = np.concatenate([before[x], before[y]])
+                if earlier[0] != token[0] and (earlier == earlier[0]).all():
+                    continue
                 # Tokens that the same nodes share make one tile.
                 sides = np.array([mix(node[x].view(np.uint64)).sum(dtype=np.uint64), mix(node[y].view(np.uint64) * ODD[1]).sum(dtype=np.uint64)])
                 tile = (sides * ODD[2:4]).sum(dtype=np.uint64).astype(np.int64)
                 both = np.concatenate([node[x], node[y]])
                 yield rows(both, None, np.full(len(both), tile), np.repeat([0, 1], [len(x), len(y)]))
 
-    return tokens.select("token", "id", "n", "component", "reach").mapInArrow(run, "a long, b long, tile long, side long")
+    return tokens.select("token", "id", "n", "component", "reach", "before").mapInArrow(run, "a long, b long, tile long, side long")
 
 
 def bounded(tile_rows: DataFrame, threshold: Threshold) -> DataFrame:
@@ -372,8 +379,8 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 75, den: int
         tokens, owner = (x.withColumn("component", F.col("id")) for x in (tokens, owner))
     else:
         tokens, owner = (x.join(groups[1], "id", "left").withColumn("component", F.coalesce("component", "id")) for x in (tokens, owner))
-    tokens = tokens.select(F.posexplode("prefix").alias("place", "token"), "id", "n", "component")
-    tokens = tokens.select("token", "id", "n", "component", threshold.reach("n", "place").alias("reach"))
+    tokens = tokens.select(F.posexplode(F.arrays_zip(F.col("prefix").alias("token"), F.concat(F.slice("prefix", 1, 1), "prefix").alias("before"))).alias("place", "t"), "id", "n", "component")
+    tokens = tokens.where("t.token is not null").select("t.token", "id", "n", "component", threshold.reach("n", "place").alias("reach"), "t.before")
     met = materialize(meetings(tokens.repartition("token").sortWithinPartitions("token", "n", "id"), threshold), "meetings")
     pairs = possible(met.where("b is not null and a <> b").select("a", "b").distinct(), slim, threshold)
     if met.where("tile is not null").take(1):
