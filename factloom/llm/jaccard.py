@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import BROADCAST_ROWS, ODD, WordHashes, column_bytes, components, drop, materialize, mix, slices
 
 #: Buckets of the table of shingle frequencies, and pieces that it is summed in.
-BUCKETS, PIECES = 1 << 19, 16
+BUCKETS, PIECES = 1 << 22, 64
 #: Minimum hashes for finding large groups, and the size from which a group is large.
 SIGNATURES, LARGE = 6, 32
 #: Rounds of joining large groups, and members compared with the rest in each but the first.
@@ -94,12 +94,15 @@ def frequency_levels(documents: DataFrame, k: int) -> np.ndarray:
     """How common the shingles of each bucket are: 0 for the usual, more the more common.
 
     Counts all documents.  Each task adds up its own; the sums are streamed
-    into one table of fixed size (2 MB), in pieces.  Any table gives right
+    into one table of fixed size (4 MB), in pieces.  Any table gives right
     results: it only sets the order in which shingles are looked at.
     """
 
     def packed(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"piece": pa.array(list(counts), pa.int32()), "counts": pa.array([c.tobytes() for c in counts.values()], pa.binary())})
+        # Counts of the fewest bytes that hold them.
+        least = [c.astype(np.min_scalar_type(int(c.max()))) for c in counts.values()]
+        kinds, data = [c.dtype.str for c in least], [c.tobytes() for c in least]
+        return pa.RecordBatch.from_pydict({"piece": pa.array(list(counts), pa.int32()), "kind": pa.array(kinds, pa.string()), "counts": pa.array(data, pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, total = WordHashes(), np.zeros(BUCKETS, np.int64)
@@ -114,13 +117,13 @@ def frequency_levels(documents: DataFrame, k: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                sums[row["piece"]] = sums.get(row["piece"], 0) + np.frombuffer(row["counts"], np.int64)
+                sums[row["piece"]] = sums.get(row["piece"], 0) + np.frombuffer(row["counts"], row["kind"]).astype(np.int64)
         yield packed(sums)
 
-    schema = "piece int, counts binary"
+    schema = "piece int, kind string, counts binary"
     sums = np.zeros((PIECES, BUCKETS // PIECES), np.int64)
     for row in documents.select("text").mapInArrow(count, schema).repartition(PIECES, "piece").mapInArrow(add, schema).collect():
-        sums[row["piece"]] += np.frombuffer(row["counts"], np.int64)
+        sums[row["piece"]] += np.frombuffer(row["counts"], row["kind"])
     usual = max(sums.sum() / BUCKETS, 1.0)
     return np.clip(4 * np.log2(np.maximum(sums.ravel(), 1) / usual), 0, 255).astype(np.uint8)
 
