@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import running_sum
+from factloom.llm.common import materialize, running_sum
 
 #: Fixed value: the published split pattern of the byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -61,8 +61,10 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
     tokens left if each document is cut to L; ``padded_total``: tokens if the
     documents up to L are padded to L; ``quantile``: share of documents up to
     L.  A limit between two lengths follows from the lower one (``at_limit``).
-    Suffix sums run in blocks of lengths, not in one task.
+    Suffix sums run in blocks of lengths, not in one task.  The histogram is
+    written once, so that the texts are encoded once.
     """
+    histogram = materialize(histogram, "histogram")
     docs, tokens = F.col("n_docs"), F.col("n_docs") * F.col("n_tokens")
     sums = running_sum(histogram, "n_tokens", "n_docs", "docs_from", descending=True)
     sums = running_sum(sums.withColumn("n_tokens_all", tokens), "n_tokens", "n_tokens_all", "tokens_from", descending=True)
