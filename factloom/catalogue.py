@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.canonical import content_hash
+from factloom.functions.canonical import canonical_map, content_hash
 from factloom.operators import diff, extraction, graph, policy, view
 from factloom.plans import actions
 from factloom.sources import tables
@@ -146,13 +146,15 @@ def table_fingerprint(spark, d):
     return extraction.fingerprint(lines, "key")
 
 
+#: The first number of an id; a line's is its order's.
+KEY = "cast(split_part(split_part(id, ':', 2), '.', 1) as bigint)"
 BASE = "s AS (SELECT from_id AS id, string_agg(DISTINCT edge_kind || '->' || to_id, '|' ORDER BY edge_kind || '->' || to_id) AS sig FROM ea GROUP BY from_id), base AS (SELECT * FROM fa WHERE kind IN ('region', 'nation') OR split_part(id, ':', 2)::BIGINT % 5 = 0), live AS (SELECT id, parent_id FROM fa WHERE id NOT IN (SELECT id FROM base))"
 
 
 @query("WITH RECURSIVE " + tables.SQL + "," + BASE + ", k AS (SELECT id, parent_id FROM live UNION SELECT fa.id, fa.parent_id FROM fa JOIN k ON k.parent_id = fa.id) SELECT DISTINCT id FROM k")
 def baseline_subtract(spark, d):
     a, e = facts(spark, d, "a"), edges(spark, d, "a")
-    base = a.where("kind in ('region', 'nation') or cast(split_part(id, ':', 2) as bigint) % 5 = 0")
+    base = a.where(f"kind in ('region', 'nation') or {KEY} % 5 = 0")
     return view.subtract_baseline(a, e, base, e).select("id")
 
 
@@ -171,7 +173,7 @@ def provenance_exclude(spark, d):
 @query("WITH RECURSIVE " + tables.SQL + ", m AS (SELECT id, kind FROM fa WHERE kind IN ('nation', 'customer') AND split_part(id, ':', 2)::BIGINT % 10 = 3), c AS (SELECT id FROM m WHERE kind <> 'nation' UNION SELECT fa.id FROM fa JOIN c ON fa.parent_id = c.id) SELECT id FROM m UNION SELECT id FROM c")
 def member_closure(spark, d):
     a = facts(spark, d, "a")
-    members = a.where("kind in ('nation', 'customer') and cast(split_part(id, ':', 2) as bigint) % 10 = 3")
+    members = a.where(f"kind in ('nation', 'customer') and {KEY} % 10 = 3")
     e = members.select(F.col("id").alias("from_id"), F.lit("extension:x").alias("to_id"), F.lit("memberOfExtension").alias("edge_kind"))
     return view.member_closure(a, e, "nation", ["comment", "acl", "securityLabel"])
 
@@ -516,3 +518,21 @@ def render_files(spark, d):
     r = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
     e = table(spark, d, "events").withColumn("r", r).where("r <= 3")
     return e.groupBy("event_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("script"))
+
+
+#: Forest queries that also run, as ``<name>_whole``, on the whole forest; the SQL of the plain names ends at orders.
+WHOLE = (
+    "diff_facts", "delta_counts", "diff_refonly", "diff_reparent", "diff_edges", "fact_hash", "dangling_edges", "rollup_facts", "structural_rollup", "root_hash",
+    "edge_signature", "baseline_subtract", "exclude_subtree", "provenance_exclude", "member_closure", "scope_projection", "policy_filter", "policy_predicates",
+    "projection_audit", "fact_depths", "roots", "ancestor_chain", "topo_level", "load_rounds",
+)
+
+QUERIES |= {f"{name}_whole": lambda spark, d, f=QUERIES[name]: f(spark, tables.Whole(d)) for name in WHOLE}
+
+
+@query()
+def project_target_whole(spark, d):
+    d = tables.Whole(d)
+    undone = _decided(spark, d).where("action = 'exclude'").select("verb", "id", "attr", "from_val", "to_val")
+    t = view.project_target(facts(spark, d, "b"), undone, facts(spark, d, "a"))
+    return t.select("id", canonical_map(F.col("payload")).alias("payload"))

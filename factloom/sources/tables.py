@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.canonical import canonical_text, content_hash
+from factloom.operators.graph import cut
 
 #: Snapshot A leaves out keys divisible by the first, B by the second; B changes and renames by the others.
 A, B, CHANGED, RENAMED, SHIFT = 11, 13, 17, 19, 1_000_000_000
 
 
+class Whole(str):
+    """A scale folder whose forest is taken whole: with lines, suppliers and parts."""
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -20,14 +25,30 @@ def money(c: str) -> Column:
     return F.col(c).cast("decimal(18,2)").cast("string")
 
 
+def _key(side: str, c: str) -> Column:
+    """A key as the side's ids have it: side b renames."""
+    return (F.when(F.col(c) % RENAMED == 0, F.col(c) + SHIFT).otherwise(F.col(c)) if side == "b" else F.col(c)).cast("string")
+
+
+def lines(spark: SparkSession, folder: str, side: str) -> DataFrame:
+    """Lines of the side's orders with ``line``, their id: four keys are not unique, so a row number over all other columns follows them."""
+    skip, keys = (A if side == "a" else B), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    own = table(spark, folder, "orders").where((F.col("o_orderkey") % skip != 0) & (F.col("o_custkey") % skip != 0)).select(F.col("o_orderkey").alias("l_orderkey"))
+    rows = table(spark, folder, "lineitem").join(own, "l_orderkey", "left_semi")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[c for c in rows.columns if c not in keys]))
+    return rows.withColumn("line", F.concat_ws(".", _key(side, "l_orderkey"), *[F.col(c).cast("string") for c in keys[1:]], rank.cast("string")))
+
+
 def facts(spark: SparkSession, folder: str, side: str, reparent: bool = False) -> DataFrame:
     """``id, kind, parent_id, payload, hash, ref_only`` of snapshot ``a`` or ``b``.
 
-    Regions hold nations, which hold customers, which hold orders.  With
-    ``reparent``, side b hangs the orders divisible by 23 under a region.
+    Regions hold nations, which hold customers, which hold orders.  Where
+    ``folder`` is ``Whole``, orders hold lines, nations hold suppliers too, and
+    parts are roots.  With ``reparent``, side b hangs the orders divisible by 23
+    under a region.
     """
     skip, late = (A, F.lit(False)) if side == "a" else (B, F.lit(True))
-    key = lambda c: F.when(late & (F.col(c) % RENAMED == 0), F.col(c) + SHIFT).otherwise(F.col(c)).cast("string")
+    key = lambda c: _key(side, c)
     ident = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
     text = lambda c: canonical_text(F.col(c))
 
@@ -51,24 +72,70 @@ def facts(spark: SparkSession, folder: str, side: str, reparent: bool = False) -
             F.create_map(F.lit("priority"), text("o_orderpriority"), F.lit("status"), change("o_orderkey", F.lit('"X"'), text("o_orderstatus"))),
         ),
     ]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return out.withColumns({"hash": content_hash(F.col("payload")), "ref_only": F.lit(False)})
+    if isinstance(folder, Whole):
+        cents = lambda c: (F.col(c).cast("decimal(18,2)") + 1).cast("decimal(18,2)").cast("string")
+        parts += [
+            level(
+                t("supplier").where(F.col("s_suppkey") % skip != 0), "supplier", key("s_suppkey"), ident("nation", F.col("s_nationkey").cast("string")),
+                F.create_map(F.lit("acctbal"), change("s_suppkey", cents("s_acctbal"), money("s_acctbal")), F.lit("_name"), text("s_name")),
+            ),
+            level(
+                t("part").where(F.col("p_partkey") % skip != 0), "part", key("p_partkey"), F.lit(None).cast("string"),
+                F.create_map(
+                    F.lit("brand"), text("p_brand"), F.lit("name"), text("p_name"), F.lit("retailprice"), change("p_partkey", cents("p_retailprice"), money("p_retailprice")),
+                    F.lit("size"), F.col("p_size").cast("string"), F.lit("type"), text("p_type"),
+                ),
+            ),
+            level(
+                lines(spark, folder, side), "line", F.col("line"), ident("order", key("l_orderkey")),
+                F.create_map(
+                    F.lit("discount"), money("l_discount"), F.lit("extendedprice"), money("l_extendedprice"), F.lit("linestatus"), text("l_linestatus"),
+                    F.lit("quantity"), change("l_orderkey", cents("l_quantity"), money("l_quantity")), F.lit("returnflag"), text("l_returnflag"),
+                    F.lit("shipdate"), F.concat(F.lit('"'), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit('"')), F.lit("tax"), money("l_tax"),
+                ),
+            ),
+        ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    out = out.withColumns({"hash": content_hash(F.col("payload")), "ref_only": F.lit(False)})
+    # Lines are joined and ranked: they are built once, and plans over seven tables stay small.
+    return cut(out) if isinstance(folder, Whole) else out
 
 
 def edges(spark: SparkSession, folder: str, side: str) -> DataFrame:
-    """``from_id, to_id, edge_kind``: orders depend on parts, are owned by segments and, closed, managed by a handler."""
+    """``from_id, to_id, edge_kind``: orders depend on parts, are owned by segments and, closed, managed by a handler.
+
+    Where ``folder`` is ``Whole``, lines depend on parts and suppliers, ends
+    have the side's ids, and only the side's parts are members.
+    """
+    if isinstance(folder, Whole):
+        return _whole_edges(spark, folder, side)
     skip = A if side == "a" else B
-    lines, orders, customers, parts = (table(spark, folder, n) for n in ("lineitem", "orders", "customer", "part"))
+    items, orders, customers, parts = (table(spark, folder, n) for n in ("lineitem", "orders", "customer", "part"))
     ident = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     own = orders.where((F.col("o_orderkey") % skip != 0) & (F.col("o_custkey") % skip != 0))
     row = lambda a, b, kind: (a.alias("from_id"), b.alias("to_id"), F.lit(kind).alias("edge_kind"))
-    depends = lines.where(F.col("l_orderkey") % skip != 0).select(*row(ident("order", "l_orderkey"), ident("part", "l_partkey"), "depends")).distinct()
+    depends = items.where(F.col("l_orderkey") % skip != 0).select(*row(ident("order", "l_orderkey"), ident("part", "l_partkey"), "depends")).distinct()
     owners = own.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(*row(ident("order", "o_orderkey"), ident("role", "c_mktsegment"), "owner"))
     members = parts.select(*row(ident("part", "p_partkey"), ident("extension", "p_brand"), "memberOfExtension"))
     managed = own.where("o_orderstatus = 'F'").select(*row(ident("order", "o_orderkey"), F.lit("handler:archive"), "managedBy"))
     return depends.unionByName(owners).unionByName(members).unionByName(managed)
 
 
+def _whole_edges(spark: SparkSession, folder: str, side: str) -> DataFrame:
+    skip = A if side == "a" else B
+    ident = lambda kind, c: F.concat(F.lit(f"{kind}:"), _key(side, c))
+    row = lambda a, b, kind: (a.alias("from_id"), b.alias("to_id"), F.lit(kind).alias("edge_kind"))
+    own = table(spark, folder, "orders").where((F.col("o_orderkey") % skip != 0) & (F.col("o_custkey") % skip != 0))
+    ends = F.explode(F.array(ident("part", "l_partkey"), ident("supplier", "l_suppkey")))
+    depends = lines(spark, folder, side).select(F.concat(F.lit("line:"), "line").alias("line"), ends.alias("end")).select(*row(F.col("line"), F.col("end"), "depends"))
+    owners = own.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(*row(ident("order", "o_orderkey"), F.concat(F.lit("role:"), "c_mktsegment"), "owner"))
+    members = table(spark, folder, "part").where(F.col("p_partkey") % skip != 0).select(*row(ident("part", "p_partkey"), F.concat(F.lit("extension:"), "p_brand"), "memberOfExtension"))
+    managed = own.where("o_orderstatus = 'F'").select(*row(ident("order", "o_orderkey"), F.lit("handler:archive"), "managedBy"))
+    return depends.unionByName(owners).unionByName(members).unionByName(managed)
+
+
 #: The same snapshots for DuckDB: attributes as rows, and facts with their canonical payload.
 SQL = """
 ca AS (SELECT c_custkey, c_custkey::VARCHAR AS k, c_nationkey, c_acctbal::DECIMAL(18,2)::VARCHAR AS acctbal, '"' || c_mktsegment || '"' AS seg FROM customer WHERE c_custkey % 11 <> 0),

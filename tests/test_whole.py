@@ -1,0 +1,71 @@
+"""The whole forms of queries whose plain names do a smaller job."""
+
+from collections import Counter
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.catalogue import QUERIES
+from factloom.operators import graph
+from factloom.sources import tables
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def duck(sql):
+    c = duckdb.connect()
+    for t in ("customer", "supplier", "part", "orders", "lineitem", "events", "nation", "region"):
+        c.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    return c.sql(sql).fetchall()
+
+
+@pytest.fixture(scope="module")
+def sides(spark):
+    """Facts of both sides, by id."""
+    return [{r["id"]: r for r in tables.facts(spark, tables.Whole(FOLDER), s).collect()} for s in "ab"]
+
+
+def test_forest_has_all_levels(spark, sides):
+    for found, skip in zip(sides, (11, 13), strict=True):
+        kept = f"o_orderkey % {skip} <> 0 and o_custkey % {skip} <> 0"
+        ((lines, suppliers, parts, orders),) = duck(
+            f"select (select count(*) from lineitem join orders on l_orderkey = o_orderkey where {kept}), (select count(*) from supplier where s_suppkey % {skip} <> 0), "
+            f"(select count(*) from part where p_partkey % {skip} <> 0), (select count(*) from orders where {kept})"
+        )
+        kinds = Counter(r["kind"] for r in found.values())
+        assert (kinds["line"], kinds["supplier"], kinds["part"], kinds["order"]) == (lines, suppliers, parts, orders)
+        assert all(r["parent_id"] is None or r["parent_id"] in found for r in found.values())
+    assert tables.facts(spark, tables.Whole(FOLDER), "a").count() == len(sides[0])  # ids are unique
+    depth = {r["kind"]: r["depth"] for r in graph.depths(tables.facts(spark, tables.Whole(FOLDER), "a")).withColumn("kind", F.split_part("id", F.lit(":"), F.lit(1))).collect()}
+    assert depth == {"region": 0, "part": 0, "nation": 1, "customer": 2, "supplier": 2, "order": 3, "line": 4}
+
+
+def test_deltas_of_the_whole_forest(spark, sides):
+    a, b = sides
+
+    def gone(own, other):
+        def lost(i):
+            return i is not None and (i not in other or lost(own[i]["parent_id"]))
+
+        return {i for i in own if lost(i)}
+
+    removed, added = gone(a, b), gone(b, a)
+    expected = {("remove", i, None) for i in removed} | {("add", i, None) for i in added}
+    for i in (a.keys() & b.keys()) - removed - added:
+        p, q = a[i]["payload"], b[i]["payload"]
+        expected |= {("set", i, k) for k in p if not k.startswith("_") and p[k] != q[k]}
+    got = [(r["verb"], r["id"], r["attr"]) for r in QUERIES["diff_facts_whole"](spark, FOLDER).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert {i.split(":")[0] for v, i, _ in got if v == "set"} >= {"line", "part", "order", "customer"}
+
+
+def test_edges_of_lines_have_ends(spark, sides):
+    edges = [tuple(r) for r in tables.edges(spark, tables.Whole(FOLDER), "b").select("from_id", "to_id", "edge_kind").collect()]
+    depends = [e for e in edges if e[2] == "depends"]
+    lines = [i for i in sides[1] if i.startswith("line:")]
+    assert len(depends) == 2 * len(lines) and {e[0] for e in depends} == set(lines)
+    dangling = {tuple(r) for r in QUERIES["dangling_edges_whole"](spark, FOLDER).select("from_id", "to_id", "edge_kind").collect()}
+    assert not any(e[2] == "depends" and e[1] in sides[0] for e in dangling)
+    projected = QUERIES["scope_projection_whole"](spark, FOLDER)
+    assert projected.where("edge_kind = 'depends'").count() > 0
