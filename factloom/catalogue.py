@@ -278,8 +278,8 @@ def ancestor_chain(spark, d):
 GRANTS = "g{0} AS (SELECT 'nation:' || c_nationkey AS object, c_mktsegment AS grantee, o_orderpriority AS privilege, o_orderstatus = 'P' AS grantable FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 16 = 1 AND o_orderkey % {1} <> 0), a{0} AS (SELECT object, grantee, string_agg(DISTINCT privilege, ',' ORDER BY privilege) AS privileges, coalesce(string_agg(DISTINCT privilege, ',' ORDER BY privilege) FILTER (grantable), '') AS grantable FROM g{0} GROUP BY ALL)"
 
 
-def _grants(spark, d, skip):
-    own = table(spark, d, "orders").where(f"o_orderkey % 16 = 1 and o_orderkey % {skip} <> 0").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+def _grants(spark, d, skip, some="o_orderkey % 16 = 1"):
+    own = table(spark, d, "orders").where(f"{some} and o_orderkey % {skip} <> 0").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return extraction.grants(own.select(F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("object"), F.col("c_mktsegment").alias("grantee"), F.col("o_orderpriority").alias("privilege"), (F.col("o_orderstatus") == "P").alias("grantable")))
 
 
@@ -342,9 +342,13 @@ def exists_filter(spark, d):
 
 @query("WITH p AS (SELECT o_orderkey AS idx, 'order:' || o_orderkey AS id FROM orders), c AS (SELECT DISTINCT 1000000000 + l_partkey AS idx, 'order:' || l_orderkey AS id FROM lineitem WHERE l_partkey % 50 = 0) SELECT p.idx AS src, c.idx AS dst, 'produce' AS reason FROM p JOIN c USING (id)")
 def action_edges(spark, d):
+    return _action_edges(spark, d, table(spark, d, "lineitem").where("l_partkey % 50 = 0"))
+
+
+def _action_edges(spark, d, lines):
     none = F.array().cast("array<string>")
     made = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.array(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))).alias("produces"), none.alias("consumes"))
-    used = table(spark, d, "lineitem").where("l_partkey % 50 = 0").groupBy((F.col("l_partkey") + 1000000000).alias("idx")).agg(F.collect_set(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string"))).alias("consumes")).select("idx", none.alias("produces"), "consumes")
+    used = lines.groupBy((F.col("l_partkey") + 1000000000).alias("idx")).agg(F.collect_set(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string"))).alias("consumes")).select("idx", none.alias("produces"), "consumes")
     return actions.graph_edges(made.unionByName(used).withColumns({"destroys": none, "releases": none}))
 
 
@@ -536,3 +540,42 @@ def project_target_whole(spark, d):
     undone = _decided(spark, d).where("action = 'exclude'").select("verb", "id", "attr", "from_val", "to_val")
     t = view.project_target(facts(spark, d, "b"), undone, facts(spark, d, "a"))
     return t.select("id", canonical_map(F.col("payload")).alias("payload"))
+
+
+def _unfiltered(name: str, filters: str) -> str:
+    """The SQL of a plain name without a filter of keys that no operator needs."""
+    return ORACLE_SQL[name].replace(filters, "")
+
+
+@query(_unfiltered("acl_aggregate", "o_orderkey % 16 = 1 AND "))
+def acl_aggregate_whole(spark, d):
+    return _grants(spark, d, 11, "true")
+
+
+@query(_unfiltered("acl_delta", "o_orderkey % 16 = 1 AND "))
+def acl_delta_whole(spark, d):
+    return extraction.grants_against(_grants(spark, d, 11, "true"), _grants(spark, d, 13, "true"))
+
+
+@query(_unfiltered("default_priv_deviation", "o_orderkey % 16 = 1 AND "))
+def default_priv_deviation_whole(spark, d):
+    return extraction.deviations(_grants(spark, d, 11, "true").where("grantee <> 'BUILDING'"), _grants(spark, d, 13, "true"))
+
+
+@query(_unfiltered("action_edges", " WHERE l_partkey % 50 = 0"))
+def action_edges_whole(spark, d):
+    return _action_edges(spark, d, table(spark, d, "lineitem"))
+
+
+@query(_unfiltered("first_consumer", " WHERE l_suppkey % 2 = 0"))
+def first_consumer_whole(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("first_consumer"))
+
+
+@query("WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 11 <> 0 AND (p_partkey % 13 = 0 OR p_partkey % 17 = 0 OR p_partkey % 19 = 0)), l AS (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem l JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 11 <> 0 AND o_custkey % 11 <> 0) SELECT 'part:' || k AS id FROM p UNION ALL SELECT concat_ws('.', 'line:' || l_orderkey, l_linenumber, l_partkey, l_suppkey, i) FROM l JOIN p ON l_partkey = k")
+def rebuild_closure_whole(spark, d):
+    d = tables.Whole(d)
+    a, parts = facts(spark, d, "a"), F.col("kind") == "part"
+    start = diff.fact_deltas(a.where(parts), facts(spark, d, "b").where(parts)).where("verb <> 'add'").select("id").distinct()
+    back = edges(spark, d, "a").where("edge_kind = 'depends'").select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
+    return graph.reach(start, back.unionByName(view.child_edges(a)).distinct())
