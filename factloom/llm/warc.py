@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 CRLF = b"\r\n"
 
-#: Elements whose content isn't text, and elements that end a line.
+#: Elements whose content isn't text, those of them that hold no tags, and elements that end a line.
 HIDDEN = ("script", "style", "noscript", "template", "head", "svg", "iframe", "object", "textarea", "select")
+RAW = ("script", "style", "textarea")
+#: Start tags that a head may hold; any other ends it.
+HEAD = ("base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title")
 BLOCKS = (
     "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer",
     "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td",
@@ -28,6 +31,7 @@ BLOCKS = (
 )
 
 _name = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_ends = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)") for tag in (*HIDDEN, "title", "noframes")}
 _blank = re.compile(r"[^\S\n]+")
 _lines = re.compile(r"\s*\n\s*")
 
@@ -45,11 +49,14 @@ def plain_text(page: str) -> tuple[str, str]:
     """Title and text of an HTML page; one pass, linear in its length.
 
     Comments, declarations and hidden elements go; block elements end lines;
-    entities are decoded; blanks are folded.  An unclosed hidden element hides
-    the rest of the page, an unclosed tag is text.
+    entities are decoded; blanks are folded.  An open head ends at the first
+    text or start tag that no head holds.  An unclosed script, style or textarea
+    hides the rest of the page, any other unclosed hidden element its tag only;
+    an unclosed tag is text.
     """
     out: list[str] = []
     title, at, n, folded = "", 0, len(page), None
+    unclosed: set[str] = set()
     while at < n:
         start = page.find("<", at)
         if start < 0:
@@ -77,16 +84,19 @@ def plain_text(page: str) -> tuple[str, str]:
             folded = page.lower() if folded is None else folded
             if len(folded) != n:  # lower case may change the length of other letters
                 folded = re.sub("[A-Z]", lambda m: m[0].lower(), page)
-            close = folded.find(f"</{tag}", at)
             if tag == "head":
-                title = title or _title(page, folded, at, n if close < 0 else close)
-                body = folded.find("<body", at)
-                close = min((x for x in (close, body) if x >= 0), default=-1)
-                if close == body >= 0:
-                    at = body
-                    continue
-            gone = -1 if close < 0 else page.find(">", close)
-            at = n if gone < 0 else gone + 1
+                to = _head_end(page, folded, at, unclosed)
+                title = title or _title(page, folded, at, to)
+                at = to
+            else:
+                close = -1 if tag in unclosed else _close(folded, tag, at)
+                gone = -1 if close < 0 else page.find(">", close)
+                if gone >= 0:
+                    at = gone + 1
+                elif tag in RAW:
+                    at = n
+                else:
+                    unclosed.add(tag)
             out.append("\n")
         elif tag in BLOCKS:
             out.append("\n")
@@ -94,8 +104,54 @@ def plain_text(page: str) -> tuple[str, str]:
     return title, text
 
 
+def _close(folded: str, tag: str, at: int) -> int:
+    """Place of the end tag of this very name, or -1."""
+    found = _ends[tag].search(folded, at)
+    return found.start() if found else -1
+
+
+def _head_end(page: str, folded: str, at: int, unclosed: set[str]) -> int:
+    """Where the head that is open at ``at`` ends, behind its end tag if it has one."""
+    n = len(page)
+    while at < n:
+        start = page.find("<", at)
+        if page[at : n if start < 0 else start].strip():
+            return at
+        if start < 0:
+            return n
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+            continue
+        named = _name.match(page, start)
+        end = page.find(">", start)
+        if end < 0 or not named and not page.startswith(("<!", "<?"), start):
+            return start
+        tag = named[1].lower() if named else ""
+        if page[start + 1] == "/":
+            if tag == "head":
+                return end + 1
+            if tag in ("body", "html"):
+                return start
+        elif tag and tag not in HEAD:
+            return start
+        at = end + 1
+        if tag in ("title", "noframes", "noscript", "script", "style", "template") and page[start + 1] != "/" and page[end - 1] != "/":
+            close = -1 if tag in unclosed else _close(folded, tag, at)
+            gone = -1 if close < 0 else page.find(">", close)
+            if gone >= 0:
+                at = gone + 1
+            elif tag in RAW:
+                return n
+            else:
+                unclosed.add(tag)
+    return n
+
+
 def _title(page: str, folded: str, at: int, to: int) -> str:
     start = folded.find("<title", at, to)
+    if start < 0:
+        return ""
     start = page.find(">", start, to) + 1 if start >= 0 else 0
     end = folded.find("</title", start, to)
     return _blank.sub(" ", html.unescape(page[start:end]).replace("\n", " ")).strip() if start and end >= 0 else ""

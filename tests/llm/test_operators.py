@@ -235,6 +235,18 @@ def test_warc_round_trip(spark):
     assert warc.derivatives(warc.responses_of(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, title, text",
+    [
+        ("<html><head><title>x</title><p>whole text", "x", "whole text"), ("<head><title>t</title><header>in</header><p>rest", "t", "in\nrest"),
+        ("<head><meta a>plain", "", "plain"), ("<head><script>'</scripty><p>'</script></head ><p>q", "", "q"), ("a<svg>b<p>c", "", "a\nb\nc"),
+        ("a<select><option>1<iframe>c", "", "a\n1\nc"), ("a<svg>b</svg>c<script>d<p>e", "", "a\nc"),
+    ],
+)
+def test_open_elements_keep_the_rest(page, title, text):
+    assert warc.plain_text(page) == (title, text)
+
+
 @pytest.fixture(scope="module")
 def sf(spark):
     return {t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels")}
