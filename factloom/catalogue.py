@@ -579,3 +579,16 @@ def rebuild_closure_whole(spark, d):
     start = diff.fact_deltas(a.where(parts), facts(spark, d, "b").where(parts)).where("verb <> 'add'").select("id").distinct()
     back = edges(spark, d, "a").where("edge_kind = 'depends'").select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
     return graph.reach(start, back.unionByName(view.child_edges(a)).distinct())
+
+
+@query()
+def scc_whole(spark, d):
+    """Users are linked to the user of the next event of their event's type and hour."""
+    w = Window.partitionBy("event_type", F.date_trunc("hour", F.col("ts"))).orderBy("ts", "event_id")
+    e = table(spark, d, "events").select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"))
+    return graph.strong_components(e.where("dst is not null").distinct())
+
+
+@query("WITH m AS (SELECT *, event_type = 'error' OR coalesce(lag(event_type) OVER w IN ('error', 'signup'), true) OR event_type = 'purchase' AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), i AS (SELECT *, sum(o::INT) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS island FROM m), r AS (SELECT *, ((row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) - 1) // 1000)::BIGINT AS piece FROM i) SELECT user_id, island, piece, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS script FROM r GROUP BY ALL")
+def render_files_whole(spark, d):
+    return actions.rendered(_plan_actions(spark, d), "event_id", ["user_id"])

@@ -114,18 +114,31 @@ def levels(edges: DataFrame) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """``id, component``: least node that reaches and is reached, by forward and backward closure per node."""
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    pairs = cut(edges.select("src", "dst").distinct())
-    while True:
-        longer = pairs.alias("p").join(edges.alias("e"), F.col("p.dst") == F.col("e.src")).select(F.col("p.src").alias("src"), F.col("e.dst").alias("dst"))
-        new = cut(longer.distinct().join(pairs, ["src", "dst"], "left_anti"))
-        if not new.take(1):
-            break
-        pairs = cut(pairs.unionByName(new))
-    mutual = pairs.join(pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
-    least = mutual.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m"))
-    return nodes.join(least, "id", "left").select("id", F.least("id", F.coalesce("m", "id")).alias("component"))
+    """``id, component``: least node of the strong component.
+
+    Each round gives every node the least node that reaches it, its colour; what
+    reaches that node within the colour is its component, and goes.  Rounds turn
+    the edges about.  No pairs of the closure are kept, only nodes and edges.
+    """
+    rest = cut(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    left = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    done = None
+    while rest.take(1):
+        colour = cut(rest.select("id", F.col("id").alias("component")))
+        while True:
+            least = left.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("m"))
+            after = cut(colour.join(least, "id", "left").select("id", F.least("component", "m").alias("component"), F.coalesce(F.col("m") < F.col("component"), F.lit(False)).alias("moved")))
+            colour = after.select("id", "component")
+            if not after.where("moved").take(1):
+                break
+        ends = left.join(colour.select(F.col("id").alias("src"), F.col("component").alias("c")), "src").join(colour.select(F.col("id").alias("dst"), F.col("component").alias("e")), "dst")
+        # Turned about: the way back to each colour's node, and the next round's direction.
+        left = cut(ends.where("c = e").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        found = cut(colour.join(reach(colour.where("id = component").select("id"), left), "id", "left_semi"))
+        done = found if done is None else done.unionByName(found)
+        rest = cut(rest.join(found.select("id"), "id", "left_anti"))
+        left = cut(left.join(rest.withColumnRenamed("id", "src"), "src", "left_semi").join(rest.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
+    return done if done is not None else rest.select("id", F.col("id").alias("component"))
 
 
 def kahn(nodes: list[tuple[int, str]], edges: list[tuple[int, int]]) -> list[int]:

@@ -60,19 +60,32 @@ def ordered(actions: DataFrame, edges: DataFrame) -> DataFrame:
     return actions.sparkSession.createDataFrame([(n, i) for i, n in enumerate(order)], "idx long, position int")
 
 
-def segments(actions: DataFrame, order: str, by: list[str]) -> DataFrame:
-    """``by, island, first, last, transactional``: runs of actions that share a transaction.
+def in_segments(actions: DataFrame, order: str, by: list[str]) -> DataFrame:
+    """Add ``island``, the number of the action's segment.
 
-    Opens at a non-transactional action, after one, after a commit boundary and
-    where ``new_segment`` asks.  Groups (``by``) are plans: a plan is bounded.
+    A segment opens at a non-transactional action, after one, after a commit
+    boundary and where ``new_segment`` asks.  Groups (``by``) are plans: a plan
+    is bounded.
     """
     w = Window.partitionBy(*by).orderBy(order)
     before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(False))
     opens = F.col("non_tx") | before("non_tx") | before("commit_after") | F.col("new_segment") | F.lag(order).over(w).isNull()
-    marked = islands(actions.withColumn("_opens", opens), F.col("_opens"), order, by)
+    return islands(actions.withColumn("_opens", opens), F.col("_opens"), order, by)
+
+
+def segments(actions: DataFrame, order: str, by: list[str]) -> DataFrame:
+    """``by, island, first, last, transactional``: runs of actions that share a transaction."""
+    marked = in_segments(actions, order, by)
     return marked.groupBy(*by, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), (~F.max("non_tx")).alias("transactional"))
 
 
+def rendered(actions: DataFrame, order: str, by: list[str], size: int = 1000) -> DataFrame:
+    """``by, island, piece, script``: all actions of each segment in order, ``size`` of them a piece."""
+    w = Window.partitionBy(*by, "island").orderBy(order)
+    placed = in_segments(actions, order, by).withColumn("piece", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    return placed.groupBy(*by, "island", "piece").agg(F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda x: x.cast("string")), ",").alias("script"))
+
+
 def merged_runs(actions: DataFrame, order: str, by: list[str], same: str) -> DataFrame:
     """Consecutive actions of one ``same`` value as one row, with their first and last place and number."""
     w = Window.partitionBy(*by).orderBy(order)

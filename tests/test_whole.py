@@ -1,5 +1,6 @@
 """The whole forms of queries whose plain names do a smaller job."""
 
+import random
 from collections import Counter
 
 import duckdb
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.catalogue import QUERIES
 from factloom.operators import graph
+from factloom.plans import actions
 from factloom.sources import tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -69,3 +71,43 @@ def test_edges_of_lines_have_ends(spark, sides):
     assert not any(e[2] == "depends" and e[1] in sides[0] for e in dangling)
     projected = QUERIES["scope_projection_whole"](spark, FOLDER)
     assert projected.where("edge_kind = 'depends'").count() > 0
+
+
+def closure_components(edges):
+    """Least node that reaches and is reached, by the whole closure."""
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+        after.setdefault(b, set())
+
+    def reached(n):
+        seen, todo = {n}, [n]
+        while todo:
+            for m in after[todo.pop()] - seen:
+                seen.add(m)
+                todo.append(m)
+        return seen
+
+    reach = {n: reached(n) for n in after}
+    return {n: min(m for m in reach[n] if n in reach[m]) for n in after}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_strong_components_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(75)] + [(i, i + 1) for i in range(100, 110)] + [(i + 1, i) for i in range(200, 210)]
+    got = graph.strong_components(spark.createDataFrame(edges, "src long, dst long"))
+    assert {r["id"]: r["component"] for r in got.collect()} == closure_components(edges)
+
+
+def test_components_of_users(spark):
+    sql = "SELECT user_id, lead(user_id) OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS n FROM events"
+    edges = [e for e in duck(sql) if e[1] is not None]
+    assert {r["id"]: r["component"] for r in QUERIES["scc_whole"](spark, FOLDER).collect()} == closure_components(edges)
+
+
+def test_scripts_hold_every_event(spark):
+    own = QUERIES["render_files_whole"](spark, FOLDER).select("script").collect()
+    assert sorted(int(i) for r in own for i in r["script"].split(",")) == [r[0] for r in duck("SELECT event_id FROM events ORDER BY 1")]
+    many = spark.range(2500).selectExpr("id", "1 as plan", "false as non_tx", "false as commit_after", "false as new_segment")
+    assert sorted(len(r["script"].split(",")) for r in actions.rendered(many, "id", ["plan"]).collect()) == [500, 1000, 1000]
