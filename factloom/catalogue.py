@@ -592,3 +592,23 @@ def scc_whole(spark, d):
 @query("WITH m AS (SELECT *, event_type = 'error' OR coalesce(lag(event_type) OVER w IN ('error', 'signup'), true) OR event_type = 'purchase' AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), i AS (SELECT *, sum(o::INT) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS island FROM m), r AS (SELECT *, ((row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) - 1) // 1000)::BIGINT AS piece FROM i) SELECT user_id, island, piece, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS script FROM r GROUP BY ALL")
 def render_files_whole(spark, d):
     return actions.rendered(_plan_actions(spark, d), "event_id", ["user_id"])
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query()
+def table_fingerprint_whole(spark, d):
+    out = None
+    for name in TABLES:
+        own = extraction.statistics(table(spark, d, name), F.lit(name)).select("key", "rows", "content")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query()
+def data_violations_whole(spark, d):
+    c = table(spark, d, "customer")
+    changed = F.when(F.col("c_custkey") % 17 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    b = c.where("c_custkey % 13 <> 0 and c_nationkey <> 7").withColumn("c_acctbal", changed)
+    return extraction.violations(*(extraction.statistics(x, F.col("c_nationkey")) for x in (c.where("c_custkey % 11 <> 0"), b)))

@@ -80,6 +80,25 @@ def fingerprint(rows: DataFrame, by: str, digits: int = 2) -> DataFrame:
     return buckets.groupBy(by).agg(F.sum("n").cast("long").alias("rows"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), ",").cast("binary")).alias("content"))
 
 
+def row_text(rows: DataFrame) -> Column:
+    """All columns of a row as JSON, by name: doubles as decimals where that is exact, times to the microsecond."""
+
+    def one(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind in ("double", "float"):
+            exact = c.try_cast("decimal(38,6)")
+            return F.when(exact.cast("double") == c.cast("double"), exact.cast("string")).otherwise(c.cast("string"))
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") if kind in ("timestamp", "timestamp_ntz") else c
+
+    return F.to_json(F.struct(*[one(n, k).alias(n) for n, k in sorted(rows.dtypes)]), {"ignoreNullFields": "false"})
+
+
+def statistics(rows: DataFrame, key: Column) -> DataFrame:
+    """``key, rows, signature, content`` of each ``key``: count, columns with their types, fingerprint of whole rows."""
+    signature = ",".join(f"{n}:{k}" for n, k in sorted(rows.dtypes))
+    return fingerprint(rows.select(key.alias("key"), row_text(rows).alias("row")), "key").select("key", "rows", F.lit(signature).alias("signature"), "content")
+
+
 def classified_files(old: DataFrame, new: DataFrame) -> DataFrame:
     """``path, state``: created, updated, unchanged or stale, by content."""
     both = old.select("path", F.col("content").alias("o")).join(new.select("path", F.col("content").alias("n")), "path", "full")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.catalogue import QUERIES
-from factloom.operators import graph
+from factloom.operators import extraction, graph
 from factloom.plans import actions
 from factloom.sources import tables
 
@@ -111,3 +111,23 @@ def test_scripts_hold_every_event(spark):
     assert sorted(int(i) for r in own for i in r["script"].split(",")) == [r[0] for r in duck("SELECT event_id FROM events ORDER BY 1")]
     many = spark.range(2500).selectExpr("id", "1 as plan", "false as non_tx", "false as commit_after", "false as new_segment")
     assert sorted(len(r["script"].split(",")) for r in actions.rendered(many, "id", ["plan"]).collect()) == [500, 1000, 1000]
+
+
+def test_every_column_is_fingerprinted(spark):
+    whole = {r["key"]: r["rows"] for r in QUERIES["table_fingerprint_whole"](spark, FOLDER).collect()}
+    assert len(whole) == 14 and whole["lineitem"] == duck("SELECT count(*) FROM lineitem")[0][0]
+    lines = tables.table(spark, FOLDER, "lineitem").limit(50).cache()
+    content = lambda df: extraction.statistics(df, F.lit("x")).first()["content"]
+    before = content(lines)
+    assert content(lines.repartition(5)) == before
+    other = {"l_shipdate": F.expr("l_shipdate + interval 1 microsecond"), "l_returnflag": F.lit("?"), "l_linestatus": F.lit("?")}
+    for c in lines.columns:
+        assert content(lines.withColumn(c, other.get(c, F.col(c) + F.lit(1)).cast(lines.schema[c].dataType))) != before, c
+
+
+def test_changed_rows_of_equal_keys_are_violations(spark):
+    rows = lambda balance: spark.createDataFrame([(1, 7, balance), (2, 8, 1.0)], "id long, nation int, balance double")
+    stats = lambda df: extraction.statistics(df, F.col("nation"))
+    assert [tuple(r) for r in extraction.violations(stats(rows(1.0)), stats(rows(2.0))).collect()] == [(7, "content")]
+    assert extraction.violations(stats(rows(1.0)), stats(rows(1.0))).count() == 0
+    assert {r["violation"] for r in QUERIES["data_violations_whole"](spark, FOLDER).where("key = 7").collect()} == {"missing"}
