@@ -612,3 +612,26 @@ def data_violations_whole(spark, d):
     changed = F.when(F.col("c_custkey") % 17 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
     b = c.where("c_custkey % 13 <> 0 and c_nationkey <> 7").withColumn("c_acctbal", changed)
     return extraction.violations(*(extraction.statistics(x, F.col("c_nationkey")) for x in (c.where("c_custkey % 11 <> 0"), b)))
+
+
+def _lone_whole(spark, d):
+    """Removed and added facts of all kinds below common ones or none, with their structural roll-up."""
+    d = tables.Whole(d)
+    a, b = (facts(spark, d, s) for s in "ab")
+    found = []
+    for side, own, other in (("a", a, b), ("b", b, a)):
+        lone = own.join(other.select("id"), "id", "left_anti")
+        top = lone.join(lone.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
+        structural = graph.rollups(own, edges(spark, d, side)).select("id", "structural")
+        found.append(top.select("id", "kind", F.coalesce("parent_id", F.lit("")).alias("parent_id"), "hash").join(structural, "id"))
+    return found
+
+
+@query()
+def rename_candidates_whole(spark, d):
+    return view.rename_candidates(*_lone_whole(spark, d), ["kind", "parent_id", "structural"])
+
+
+@query()
+def rename_near_miss_whole(spark, d):
+    return view.near_misses(*_lone_whole(spark, d), ["kind", "parent_id", "hash"], "structural")

@@ -131,3 +131,24 @@ def test_changed_rows_of_equal_keys_are_violations(spark):
     assert [tuple(r) for r in extraction.violations(stats(rows(1.0)), stats(rows(2.0))).collect()] == [(7, "content")]
     assert extraction.violations(stats(rows(1.0)), stats(rows(1.0))).count() == 0
     assert {r["violation"] for r in QUERIES["data_violations_whole"](spark, FOLDER).where("key = 7").collect()} == {"missing"}
+
+
+def test_renames_are_of_equal_structure(spark, sides):
+    a, b = sides
+    below = []
+    for own in sides:
+        children = {}
+        for r in own.values():
+            children.setdefault(r["parent_id"], []).append(r["id"])
+
+        def shape(i, own=own, children=children):
+            return own[i]["hash"], tuple(sorted(shape(c, own, children) for c in children.get(i, [])))
+
+        below.append(shape)
+    top = lambda own, other: [i for i in own if i not in other and (own[i]["parent_id"] is None or own[i]["parent_id"] in other)]
+    pairs = [(i, j) for i in top(a, b) for j in top(b, a) if all(a[i][c] == b[j][c] for c in ("kind", "parent_id", "hash"))]
+    same = {(i, j) for i, j in pairs if below[0](i) == below[1](j)}
+    near = {(i, j) for i, j in pairs if (i, j) not in same and i not in {x for x, _ in same}}
+    got = lambda name: {(r["from_id"], r["to_id"]) for r in QUERIES[name](spark, FOLDER).collect()}
+    assert same and got("rename_candidates_whole") == same
+    assert near and got("rename_near_miss_whole") == near
