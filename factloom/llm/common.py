@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bounds under which a side of a join may be broadcast.
@@ -19,11 +20,14 @@ BROADCAST_ROWS = 2_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder
-    is made and remembered in the session.
+    Only where the session names none and runs in one process (tests) a
+    temporary folder is made and remembered in the session; on a cluster, where
+    each machine would see its own, that is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("factloom.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("factloom.shared.dir", base)
     return base.rstrip("/")
@@ -52,6 +56,25 @@ def drop(df: DataFrame) -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column has it in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def repeated(df: DataFrame, times: str, piece: int = 1 << 16) -> DataFrame:
+    """Each row as often as its column ``times``, which goes; no array is longer than ``piece``."""
+    (at,) = fresh(df.columns, "at")
+    pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / piece).cast("long"))
+    cut = df.where(F.col(times) > 0).withColumn(at, F.explode(pieces))
+    left = F.least(F.col(times).cast("long") - F.col(at) * piece, F.lit(piece).cast("long"))
+    return cut.withColumn(at, F.explode(F.sequence(F.lit(1).cast("long"), left))).drop(at, times)
+
+
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are within ``bound``."""
     return F.broadcast(df) if rows <= bound else df
@@ -98,6 +121,29 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: Bytes of a text that are cut into words at once, so that a very long text holds no list of all its words.
+TEXT_PIECE = 1 << 22
+_space = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+def word_lists(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in lists: runs of bytes other than space and U+0009 to U+000D."""
+    at = 0
+    while len(text) - at > TEXT_PIECE:
+        found = _space.search(text, at + TEXT_PIECE)
+        if not found:
+            break
+        yield text[at : found.start()].split()
+        at = found.start()
+    yield (text[at:] if at else text).split()
+
+
+def word_hashes(text: bytes, hashes: WordHashes) -> np.ndarray:
+    """The hash of each word, in order."""
+    found = [hashes.of(words) for words in word_lists(text)]
+    return found[0] if len(found) == 1 else np.concatenate(found)
+
+
 #: Odd multipliers for combining word hashes by position.
 ODD = np.array([xxhash.xxh3_64_intdigest(b"odd", seed=i) | 1 for i in range(64)], np.uint64)
 
@@ -128,7 +174,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train: Column, rows: int) -> DataFrame:
-    """``doc_id, text, y`` of at most ``rows`` labelled documents.
+    """``doc_id, text, y`` (and ``n_chars`` if there) of at most ``rows`` labelled documents.
 
     The bound is on distinct documents: those with the least hash of their id
     among the rows of ``labels`` that ``train`` admits and whose label is 0 or
@@ -140,6 +186,27 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train:
     return documents.select("doc_id", "text", *[c for c in documents.columns if c == "n_chars"]).where(F.col("text").isNotNull()).join(F.broadcast(own), "doc_id")
 
 
+def sampled_features(made: DataFrame, most: int) -> Iterator[Row]:
+    """Rows ``h, doc_id, y, x`` of ``made(doc_id, y, x)`` by hash of the id, one per id, partition by partition.
+
+    Two bounds hold for the driver: the sample's rows, and ``most`` bytes of
+    features: rows beyond that, in the order of the hashes, stay out.  Only the
+    sizes, a number a row, are gathered before.
+    """
+    rows = made.groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "r.y", "r.x")
+    rows = materialize(rows, "sample")
+    sizes = sorted((r["h"], r["doc_id"], r["n"]) for r in rows.select("h", "doc_id", F.octet_length("x").alias("n")).collect())
+    total, last = 0, None
+    for h, _, n in sizes:
+        total += n
+        if total > most:
+            break
+        last = h
+    if last is None:
+        return iter(())
+    return iter(sorted(rows.where(F.col("h") <= last).toLocalIterator(), key=lambda r: (r["h"], r["doc_id"])))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)``: one row ``node, component`` per node.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import BROADCAST_ROWS, ODD, WordHashes, column_bytes, components, drop, materialize, mix, slices
+from factloom.llm.common import ODD, WordHashes, column_bytes, components, drop, materialize, mix, slices, small, word_hashes
 
 #: Buckets of the table of shingle frequencies, and pieces that it is summed in.
 BUCKETS, PIECES = 1 << 22, 64
@@ -36,10 +36,9 @@ RUN, BLOCK = 64, 256
 
 def shingle_set(text: bytes | None, hashes: WordHashes, k: int) -> np.ndarray:
     """Sorted distinct hashes of the ``k``-word shingles; of the whole sequence if it is shorter."""
-    words = (text or b"").lower().split()
-    if not words:
+    h = word_hashes((text or b"").lower(), hashes)
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = hashes.of(words)
     width = min(k, len(h))
     sums = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
@@ -128,7 +127,7 @@ def frequency_levels(documents: DataFrame, k: int) -> np.ndarray:
     return np.clip(4 * np.log2(np.maximum(sums.ravel(), 1) / usual), 0, 255).astype(np.uint8)
 
 
-FEATURES = "id long, n long, s1 long, s2 long, bits binary, minima array<long>, prefix array<long>"
+FEATURES = "id long, h long, n long, s1 long, s2 long, bits binary, minima array<long>, prefix array<long>"
 
 
 def described(documents: DataFrame, levels: np.ndarray, k: int, threshold: Threshold) -> DataFrame:
@@ -151,29 +150,44 @@ def described(documents: DataFrame, levels: np.ndarray, k: int, threshold: Thres
                 prefix.append((x[np.argsort(level, kind="stable")[:p]] if level.any() else x[:p]).view(np.int64))
             flat, offsets = (np.concatenate(prefix) if prefix else np.zeros(0, np.int64)), np.concatenate([[0], np.cumsum([len(p) for p in prefix])])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bits, pa.binary()),
+                [batch.column("id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bits, pa.binary()),
                  pa.array(minima, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))],
-                ["id", "n", "s1", "s2", "bits", "minima", "prefix"],
+                ["id", "h", "n", "s1", "s2", "bits", "minima", "prefix"],
             )
 
     return documents.mapInArrow(describe, FEATURES)
 
 
-def verified(documents: DataFrame, pairs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are linked, by intersecting the sorted arrays of whole texts.
+class Texts:
+    """The texts behind nodes: ``documents(id, h, text)`` and each node's row ``node, id, h`` (``h``: hash of the text)."""
 
-    Texts of documents in no pair never leave their task if the documents in
-    pairs are at most ``BROADCAST_ROWS``; beyond that they are joined by a shuffle.
-    """
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    def __init__(self, documents: DataFrame, rows: DataFrame, again: bool):
+        self.documents, self.rows, self.again = documents, rows, again
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches):
-            found = [shingle_set(text, hashes, k).tobytes() for text in column_bytes(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "x"])
+    def sets(self, nodes: DataFrame, k: int) -> DataFrame:
+        """``id, x``: sorted shingle arrays of ``nodes(id)``.
+
+        Texts of other documents never leave their task if the nodes are few
+        enough to broadcast; beyond that they are joined by a shuffle.
+        """
+        own = materialize(self.rows.join(nodes.withColumnRenamed("id", "node"), "node"), "ids")
+        chosen = self.documents.join(small(own, own.count()), ["id", "h"]).select(F.col("node").alias("id"), "text")
+
+        def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, seen = WordHashes(), set()
+            for batch in slices(batches):
+                # Repeated rows of a node are one.
+                new = [i for i, node in enumerate(batch.column("id").to_pylist()) if not (node in seen or seen.add(node))]
+                batch = batch.take(pa.array(new, pa.int64()))
+                found = [shingle_set(text, hashes, k).tobytes() for text in column_bytes(batch, "text")]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "x"])
+
+        found = chosen.mapInArrow(arrays, "id long, x binary")
+        return materialize(found.groupBy("id").agg(F.min("x").alias("x")) if self.again else found, "sets")
+
+
+def verified(texts: Texts, pairs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
+    """Those of ``pairs(a, b)`` of nodes that are linked, by intersecting the sorted arrays of whole texts."""
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,8 +198,7 @@ def verified(documents: DataFrame, pairs: DataFrame, k: int, threshold: Threshol
                 kept.append(bool(threshold.linked(int((both[1:] == both[:-1]).sum()), len(x), len(y))))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    sets = documents.join(ids, "id", "left_semi").mapInArrow(arrays, "id long, x binary")
-    sets = materialize(sets, "sets")
+    sets = texts.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
     with_both = with_b.join(sets.select(F.col("id").alias("a"), "x"), "a").select("a", "b", "x", "y")
     links = materialize(with_both.mapInArrow(intersect, "a long, b long").distinct(), "links")
@@ -193,7 +206,7 @@ def verified(documents: DataFrame, pairs: DataFrame, k: int, threshold: Threshol
     return links
 
 
-def merged_groups(documents: DataFrame, nodes: DataFrame, k: int, threshold: Threshold) -> tuple[DataFrame, DataFrame] | None:
+def merged_groups(texts: Texts, nodes: DataFrame, k: int, threshold: Threshold) -> tuple[DataFrame, DataFrame] | None:
     """Links within large groups, and the components (``id, component``) of the nodes they join.
 
     A large group shares a minimum hash.  Its least member is compared with all
@@ -206,6 +219,9 @@ def merged_groups(documents: DataFrame, nodes: DataFrame, k: int, threshold: Thr
     large = materialize(keys.groupBy("i", "key").count().where(F.col("count") > LARGE).select("i", "key"), "large")
     if not large.take(1):
         return None
+    # Keys are broadcast, if few, so that a large group stays spread over its tasks.
+    n_large = large.count()
+    large = small(large, n_large)
     keys = materialize(keys.join(large, ["i", "key"]), "keys")
     links, merged = None, None
     for round_ in range(ROUNDS):
@@ -215,17 +231,17 @@ def merged_groups(documents: DataFrame, nodes: DataFrame, k: int, threshold: Thr
         else:
             members = keys.join(merged, "id", "left").withColumn("component", F.coalesce("component", "id"))
             shares = members.groupBy("i", "key", "component").count().groupBy("i", "key").agg(F.max("count").alias("most"), F.count(F.lit(1)).alias("parts"))
-            members = members.join(shares.where((F.col("most") > LARGE) & (F.col("parts") > 1)).select("i", "key"), ["i", "key"])
+            members = members.join(small(shares.where((F.col("most") > LARGE) & (F.col("parts") > 1)).select("i", "key"), n_large), ["i", "key"])
             leaders = [F.min(F.struct(F.xxhash64("id", F.lit(round_ * LEADERS + j)).alias("h"), "id", "n", "component")) for j in range(LEADERS)]
         chosen = members.groupBy("i", "key").agg(F.array_distinct(F.array(*[F.struct(x["id"].alias("id"), x["n"].alias("n"), x["component"].alias("component")) for x in leaders])).alias("leader"))
-        chosen = chosen.select("i", "key", F.explode("leader").alias("l"))
+        chosen = small(chosen.select("i", "key", F.explode("leader").alias("l")), n_large * LEADERS)
         sizes = threshold.den * F.least("n", "l.n") >= threshold.num * F.greatest("n", "l.n")
         pairs = members.join(chosen, ["i", "key"]).where((F.col("component") != F.col("l.component")) & sizes)
         pairs = pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
         pairs = materialize(possible(pairs, nodes, threshold), "pairs")
         if not pairs.take(1):
             break
-        found = verified(documents, pairs, k, threshold)
+        found = verified(texts, pairs, k, threshold)
         links = found if links is None else links.unionByName(found)
         merged = components(links.toDF("u", "v")).withColumnRenamed("node", "id")
     return None if links is None else (links, merged)
@@ -365,17 +381,27 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 75, den: int
     Null and empty texts have an empty set and are linked with nothing.  Rows
     of a null id are never linked and have a null component.  Repeated rows
     each get a row; rows of one id with other texts count as one document with
-    the links of all.  An empty table gives no rows.  Other columns play no
-    part.
+    the links of all: they have one component, and each the size of its own
+    text's set.  An empty table gives no rows.  Other columns play no part.
     """
     threshold = Threshold(num, den)
-    documents = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    features = materialize(described(documents, frequency_levels(documents, k), k, threshold), "features")
-    sets = features.where("id is not null and n > 0")
-    classes = materialize(sets.groupBy("s1", "s2").agg(F.min("id").alias("node")), "classes")
-    nodes = sets.join(classes.withColumnRenamed("node", "id"), ["s1", "s2", "id"], "left_semi")
+    documents = documents.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    levels = frequency_levels(documents, k)
+    features = materialize(described(documents, levels, k, threshold), "features")
+    known = features.where("id is not null")
+    sets = known.where("n > 0")
+    again = materialize(known.groupBy("id").count().where("count > 1").select("id"), "again")
+    n_again = again.count()
+    # A node is a set; its number is given once, when the table is written.
+    classes = sets.groupBy("s1", "s2").agg(F.min(F.struct("id", "h")).alias("r")).select("s1", "s2", "r.id", "r.h")
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    nodes = sets.join(classes, ["s1", "s2", "id", "h"])
+    nodes = (nodes.dropDuplicates(["s1", "s2", "id", "h"]) if n_again else nodes).select(F.col("node").alias("id"), "n", "bits", "minima", "prefix")
+    if n_again:
+        nodes = materialize(nodes, "nodes")
+    texts = Texts(documents, classes.select("node", "id", "h"), n_again > 0)
     slim = nodes.select("id", "n", "bits", "minima")
-    groups = merged_groups(documents, slim, k, threshold)
+    groups = merged_groups(texts, slim, k, threshold)
     tokens = nodes.select("prefix", "id", "n")
     owner = slim.select("id", "n", "bits")
     if groups is None:
@@ -387,15 +413,24 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 75, den: int
     met = materialize(meetings(tokens.repartition("token").sortWithinPartitions("token", "n", "id"), threshold), "meetings")
     pairs = possible(met.where("b is not null and a <> b").select("a", "b").distinct(), slim, threshold)
     if met.where("tile is not null").take(1):
-        owner = owner.withColumnRenamed("id", "a").dropDuplicates(["a"])
-        tile_rows = met.where("tile is not null").select("a", "tile", "side").distinct().join(owner, "a")
+        tile_rows = met.where("tile is not null").select("a", "tile", "side").distinct().join(owner.withColumnRenamed("id", "a"), "a")
         pairs = pairs.unionByName(bounded(tile_rows, threshold))
     pairs = materialize(pairs.distinct(), "pairs")
-    more = verified(documents, pairs, k, threshold)
+    more = verified(texts, pairs, k, threshold)
     links = more if groups is None else groups[0].unionByName(more)
+    if n_again:
+        # The sets of one id are linked: each with the id's least.
+        shared = known.join(small(again, n_again), "id", "left_semi").where("n > 0").select("id", "s1", "s2").distinct()
+        shared = materialize(shared.join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select("id", "node"), "shared")
+        links = links.unionByName(shared.join(shared.groupBy("id").agg(F.min("node").alias("b")), "id").where("node <> b").select(F.col("node").alias("a"), "b"))
     found = components(links.toDF("u", "v"))
-    named = features.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    named = named.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(found, "node", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))
-    out = named.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out
+    # The least id of each component of several nodes; of a lone node its own.
+    joined = materialize(classes.select("node", "id").join(found, "node"), "linked")
+    least = joined.join(joined.groupBy("component").agg(F.min("id").alias("least")), "component").select("node", "least")
+    named = classes.select("s1", "s2", "id", "node").join(least, "node", "left").select("s1", "s2", F.coalesce("least", "id").alias("least"))
+    out = features.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left").select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("least")).alias("least"))
+    if n_again:
+        # Rows without words have the component of their id's other rows.
+        of_id = out.join(small(again, n_again), "id", "left_semi").groupBy("id").agg(F.min("least").alias("of_id"))
+        out = out.join(small(of_id, n_again), "id", "left").withColumn("least", F.coalesce("least", "of_id"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))

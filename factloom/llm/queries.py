@@ -103,7 +103,7 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc_id)""",
     "op5_mixing": r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT AS h FROM documents),
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 q AS (SELECT source, source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM s),
 o AS (SELECT *, source_size * 3.0::DOUBLE AS cap, row_number() OVER (ORDER BY source_size * 3.0::DOUBLE / weight, source NULLS LAST) AS i, sum(source_size) OVER ()::DOUBLE AS total FROM q),
@@ -113,9 +113,9 @@ g AS (SELECT *, share >= cap / weight AS is_full, max(CASE WHEN share < cap / we
 t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE rate * weight END AS target FROM g),
 v AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size + 1e-12), 3) ELSE 0 END::BIGINT AS passes FROM t),
 u AS (SELECT d.*, v.source_size, v.target, v.passes, greatest(v.target - v.passes * v.source_size, 0::DOUBLE) AS rest FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
-b AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(size) OVER (PARTITION BY source, h) AS tied FROM u)
+b AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM u)
 SELECT doc_id, size, source_size, target,
-  (size * passes + CASE WHEN upto <= rest THEN size WHEN upto - tied <= rest THEN floor(size * ((rest - (upto - tied)) / tied)) ELSE 0 END)::BIGINT AS taken
+  (size * passes + CASE WHEN upto <= rest THEN size WHEN upto - size < rest THEN floor(rest - (upto - size)) ELSE 0 END)::BIGINT AS taken
 FROM b""",
     "op8_topk": r"""
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings

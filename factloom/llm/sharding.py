@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.common import fresh, materialize, small
+
 #: Fixed value: the multiplier of the published generator, as two 32-bit halves.
 MULTIPLIER = 2862933555777941757
 HIGH, LOW = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
@@ -48,7 +50,19 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), state, step, lambda s: s["b"].cast("int"))
 
 
-def assign_shards(documents: DataFrame, shards: int, key: str = "doc_id", text: str = "text", buckets: int = 1024, keep_text: bool = True) -> DataFrame:
+#: Rows of one bucket of a shard beyond which it is cut into parts.
+HOT = 1 << 20
+
+
+def integer_key(documents: DataFrame, key: str) -> Column:
+    """The key as a 64-bit integer: integers as they are, anything else by its text's hash; null stays null."""
+    kind = documents.schema[key].dataType.typeName()
+    if kind in ("byte", "short", "integer", "long"):
+        return F.col(key).cast("long")
+    return F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("string")))
+
+
+def assign_shards(documents: DataFrame, shards: int, key: str = "doc_id", text: str = "text", buckets: int = 1024, keep_text: bool = True, hot: int = HOT) -> DataFrame:
     """Add ``shard``, ``grown_shard`` (with one shard more), ``size``, ``text_crc32`` and ``slot``.
 
     ``size``: UTF-8 bytes of the text plus 16; a null text has none, and a null
@@ -56,32 +70,36 @@ def assign_shards(documents: DataFrame, shards: int, key: str = "doc_id", text:
     (bucket of the key's md5, key, checksum).  Rows are numbered within a
     shard's bucket and shifted by the counts of the buckets before it, so a
     shard isn't sorted by one task; the table of counts has at most ``shards *
-    buckets`` rows.  Repeated rows each get a slot of their own; rows of one
-    key always share a shard, and a null key counts as 0.  An empty table gives
-    an empty result.  Added columns replace columns of their name.
+    buckets`` rows.  A bucket of more than ``hot`` rows, such as a key that
+    holds a large share of them, is cut into parts by row: then the rows are
+    written once, so that a row's number stays, and that bucket's rows are in
+    no order.  Repeated rows each get a slot of their own; rows of one key
+    always share a shard; keys other than integers count by their hash, a null
+    key as 0.  An empty table gives an empty result.  Added columns replace
+    columns of their name; all others stay.
     """
-    named = documents.withColumns(
-        {
-            "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(16).cast("long"),
-            "text_crc32": F.crc32(F.col(text).cast("binary")),
-            "shard": jump_hash(F.col(key), shards),
-            "grown_shard": jump_hash(F.col(key), shards + 1),
-            "_bucket": (F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % buckets).cast("int"),
-        }
-    )
-    # Without the text only a few numbers a row are shuffled.
-    return with_slots(named if keep_text else named.drop(text), key).drop("_bucket")
-
-
-def with_slots(named: DataFrame, key: str) -> DataFrame:
-    counts = named.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("shard", "_bucket").orderBy(key, "text_crc32")
-    # The counts are bounded by shards * buckets rows, whatever the input.
-    return (
-        named.withColumn("_row", F.row_number().over(within))
-        .join(F.broadcast(starts), ["shard", "_bucket"])
-        .withColumn("slot", (F.col("_start") + F.col("_row") - 1).cast("long"))
-        .drop("_start", "_row")
-    )
+    added = ("shard", "grown_shard", "size", "text_crc32", "slot")
+    bucket, part, row, number, base = fresh([*documents.columns, *added], "bucket", "part", "row", "number", "base")
+    rest = [c for c in documents.columns if c.lower() not in added and (keep_text or c != text)]
+    own = integer_key(documents, key)
+    named = documents.select(
+        *[F.col(f"`{c}`") for c in rest], (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(16).cast("long")).alias("size"),
+        F.crc32(F.col(text).cast("binary")).alias("text_crc32"), jump_hash(own, shards).alias("shard"), jump_hash(own, shards + 1).alias("grown_shard"),
+        (F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % buckets).cast("int").alias(bucket),
+    )
+    # At most shards * buckets rows, whatever the input.
+    counts = materialize(named.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(number)), "counts")
+    if counts.where(F.col(number) > hot).take(1):
+        named = materialize(named.withColumn(row, F.monotonically_increasing_id()), "rows")
+        parts = F.ceil(F.col(number) / hot)
+        named = named.join(F.broadcast(counts.where(F.col(number) > hot).select("shard", bucket, parts.alias(number))), ["shard", bucket], "left")
+        named = named.withColumn(part, F.coalesce(F.pmod(F.xxhash64(row), F.col(number)), F.lit(0)).cast("int")).drop(number, row)
+        counts = materialize(named.groupBy("shard", bucket, part).agg(F.count(F.lit(1)).alias(number)), "counts")
+    else:
+        named, counts = named.withColumn(part, F.lit(0)), counts.withColumn(part, F.lit(0))
+    before = Window.partitionBy("shard").orderBy(bucket, part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", bucket, part, F.coalesce(F.sum(number).over(before), F.lit(0)).alias(base))
+    within = Window.partitionBy("shard", bucket, part).orderBy(key, "text_crc32")
+    placed = named.withColumn(row, F.row_number().over(within)).join(small(starts, shards * buckets), ["shard", bucket, part])
+    slot = (F.col(base) + F.col(row) - 1).cast("long").alias("slot")
+    return placed.select(*[F.col(f"`{c}`") for c in rest], "size", "text_crc32", "shard", "grown_shard", slot)

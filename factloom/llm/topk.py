@@ -25,7 +25,21 @@ PER_TASK = (8, 32)
 #: Products are exact in double precision below this.
 EXACT = 2.0**53
 
-PACKED = "dim int, ids binary, data binary"
+PACKED = "dim int, kind string, ids binary, data binary"
+#: Query blocks whose best are held by a task at once.
+HELD = 64
+
+
+def narrowed(data: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the fewest bytes that hold them."""
+    low, high = int(data.min(initial=0)), int(data.max(initial=0))
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    return data.astype(kind)
+
+
+def largest(data: np.ndarray) -> float:
+    """The largest absolute value; the least 64-bit integer has none of its own type."""
+    return max(-float(data.min(initial=0)), float(data.max(initial=0)))
 
 
 def pack(rows: int):
@@ -37,7 +51,8 @@ def pack(rows: int):
         def block(dim: int, most: int) -> pa.RecordBatch:
             ids, data = np.concatenate(held[dim][0]), np.concatenate(held[dim][1])
             held[dim] = ([ids[most:]], [data[most:]])
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": pa.array([ids[:most].tobytes()], pa.binary()), "data": pa.array([data[:most].tobytes()], pa.binary())})
+            own = narrowed(data[:most])
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "kind": [own.dtype.str], "ids": pa.array([ids[:most].tobytes()], pa.binary()), "data": pa.array([own.tobytes()], pa.binary())})
 
         for batch in batches:
             vectors = batch.column("v")
@@ -59,19 +74,24 @@ def pack(rows: int):
     return run
 
 
-def threshold_search(ids: np.ndarray, data: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Top ``k`` of one block for each query: query position, candidate position, score."""
+def threshold_search(ids: np.ndarray, data: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Top ``k`` of one block for each query: query position, candidate position, score.
+
+    ``least``: per query a score that ``k`` other candidates reach already;
+    what lies below it may stay out.
+    """
     n, dim = data.shape
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
     if not n:
-        return (np.zeros(0, np.int64),) * 3
-    if float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(dim, 1) >= EXACT:
+        return out[0]
+    if largest(queries) * largest(data) * max(dim, 1) >= EXACT:
         return _search_wide(ids, data, q_ids, queries, k)
+    least = np.full(len(q_ids), -np.inf) if least is None else least
     values, asked = data.astype(np.float64), queries.astype(np.float64)
     order = np.argsort(data, axis=0, kind="stable").T  # per dimension, ascending
     each = np.arange(dim)
     for at in range(0, len(q_ids), 256):
-        q, own = asked[at : at + 256], q_ids[at : at + 256]
+        q, own, known = asked[at : at + 256], q_ids[at : at + 256], least[at : at + 256]
         mine = ids[None, :] == own[:, None]
         active = np.arange(len(q))
         seen = np.zeros((len(q), n), bool)
@@ -96,10 +116,10 @@ def threshold_search(ids: np.ndarray, data: np.ndarray, q_ids: np.ndarray, queri
             scored = np.where(mine[active], -np.inf, met[active])
             kth = np.partition(scored, n - k, axis=1)[:, n - k] if n >= k else np.full(len(active), -np.inf)
             # A vector not met yet may tie at the bound and have a smaller id: stop only below.
-            active = active[~(bound < kth)]
+            active = active[~(bound < np.maximum(kth, known[active]))]
         met[mine] = -np.inf
         for i in range(len(q)):
-            took = np.flatnonzero(met[i] > -np.inf)
+            took = np.flatnonzero((met[i] > -np.inf) & (met[i] >= known[i]))
             if len(took) > k:
                 took = took[met[i][took] >= np.partition(met[i][took], len(took) - k)[len(took) - k]]
             took = took[np.lexsort((ids[took], -met[i][took]))[:k]]
@@ -117,6 +137,29 @@ def _search_wide(ids: np.ndarray, data: np.ndarray, q_ids: np.ndarray, queries:
     return tuple(np.array([x[c] for x in out], np.int64) for c in range(3))
 
 
+class Best:
+    """The best ``k`` so far of each query of a block: positions of queries, ids and scores."""
+
+    def __init__(self, q_ids: np.ndarray, k: int):
+        self.q_ids, self.k = q_ids, k
+        self.which = self.ids = self.scores = np.zeros(0, np.int64)
+        self.least = np.full(len(q_ids), -np.inf)
+
+    def add(self, which: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        which, ids, scores = (np.concatenate(x) for x in ((self.which, which), (self.ids, ids), (self.scores, scores)))
+        order = np.lexsort((ids, ~scores, which))  # ~x falls as x rises, at either bound
+        which, ids, scores = which[order], ids[order], scores[order]
+        first = np.searchsorted(which, which)
+        place = np.arange(len(which)) - first
+        kept = place < self.k
+        self.which, self.ids, self.scores = which[kept], ids[kept], scores[kept]
+        full = self.which[place[kept] == self.k - 1]
+        self.least[full] = self.scores[place[kept] == self.k - 1].astype(np.float64)
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"query_id": self.q_ids[self.which], "vec_id": self.ids, "score": self.scores})
+
+
 def quantised(embedding: Column, scale: float) -> Column:
     """floor(scale * x) of each component; null if the vector is null or holds null or a non-finite value."""
     wide = F.transform(embedding, lambda x: x.cast("double"))
@@ -132,12 +175,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     with a null id take no part.  Vectors of unlike lengths never meet; an
     empty vector scores 0 with its like.  "Other rows" are those with another
     id, so repeated rows of the query's id stay out, while repeated candidates
-    each count.  Fewer candidates than ``k`` are all returned; an empty table
-    gives no rows.
+    each count.  Query rows of one id count once if their vectors are equal;
+    other vectors of that id join its one ranking, each with its own scores.
+    Fewer candidates than ``k`` are all returned; an empty table gives no rows.
+    Other columns play no part.  Components beyond 64 bits stop at the bounds.
 
     Candidates and queries are packed into blocks without a shuffle; each
     query block meets each candidate block once, and only the best ``k`` of a
-    pair of blocks go on.  Nothing is broadcast or collected.
+    query in a task go on.  Nothing is broadcast or collected.
     """
     whole = vectors.select(F.col(key).cast("long").alias("id"), quantised(F.col(embedding), scale).alias("v"), is_query.alias("_query")).where("id is not null and v is not null")
     candidates = materialize(whole.select("id", "v").mapInArrow(pack(CANDIDATES), PACKED), "candidates")
@@ -145,19 +190,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     queries = materialize(queries, "queries")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The kth best of a query so far bounds what later blocks of candidates must give.
+        held: dict[bytes, Best] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-                data, q = (np.frombuffer(row[c], np.int64).reshape(-1, row["dim"]) if row["dim"] else np.zeros((n, 0), np.int64) for c, n in (("data", len(ids)), ("q_data", len(q_ids))))
-                which, found, score = threshold_search(ids, data, q_ids, q, k)
-                yield pa.RecordBatch.from_pydict({"query_id": q_ids[which], "vec_id": ids[found], "score": score})
+                data, q = (np.frombuffer(row[c], row[t]).astype(np.int64).reshape(len(n), row["dim"]) for c, t, n in (("data", "kind", ids), ("q_data", "q_kind", q_ids)))
+                name = row["q_ids"] + row["q_data"]
+                if name not in held:
+                    if len(held) >= HELD:
+                        yield held.pop(next(iter(held))).rows()
+                    held[name] = Best(q_ids, k)
+                which, found, score = threshold_search(ids, data, q_ids, q, k, held[name].least)
+                held[name].add(which, ids[found], score)
+        for best in held.values():
+            yield best.rows()
 
     # A grid: each candidate block goes to all columns, each query block to all rows, so that each pair meets once.
     n, m = candidates.count(), queries.count()
     columns = max(1, -(-m // PER_TASK[1]))
     rows = max(1, -(-n // PER_TASK[0]), min(n, -(-24 // columns)))
     left = candidates.withColumn("_r", F.pmod(F.xxhash64("ids"), F.lit(rows))).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    right = queries.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.pmod(F.xxhash64("ids"), F.lit(columns)).cast("int").alias("_c"))
+    right = queries.select("dim", F.col("ids").alias("q_ids"), F.col("kind").alias("q_kind"), F.col("data").alias("q_data"), F.pmod(F.xxhash64("ids"), F.lit(columns)).cast("int").alias("_c"))
     right = right.withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))))
     pairs = left.join(right.hint("shuffle_hash"), ["_r", "_c", "dim"])
     found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")

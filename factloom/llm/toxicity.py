@@ -10,21 +10,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ODD, PLAIN, WordHashes, column_bytes, labelled_sample, mix, slices
+from factloom.llm.common import ODD, PLAIN, WordHashes, column_bytes, labelled_sample, mix, sampled_features, slices, word_hashes
 
 #: Bits of a feature's bucket.
 BITS = 20
-#: The most labelled documents to learn from.
-SAMPLE = 8_000
+#: The most labelled documents to learn from, and bytes of their features.
+SAMPLE, SAMPLE_BYTES = 8_000, 128 << 20
 
 
-def features(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """Distinct buckets of the words, word pairs and pairs with a gap of one or two words."""
-    h = hashes.of(text.translate(PLAIN).split())
+def buckets_of(text: bytes, hashes: WordHashes) -> np.ndarray:
+    """Buckets of the words, word pairs and pairs with a gap of one or two words."""
+    h = word_hashes(text.translate(PLAIN), hashes)
     grams = [h, *(h[:-gap] * ODD[2 * gap] + h[gap:] * ODD[2 * gap + 1] for gap in (1, 2, 3) if len(h) > gap)]
     return (mix(np.concatenate(grams)) >> np.uint64(64 - BITS)).astype(np.uint32)
 
 
+def features(text: bytes, hashes: WordHashes) -> np.ndarray:
+    """The distinct buckets of a text."""
+    return np.unique(buckets_of(text, hashes))
+
+
 @dataclass
 class Ftrl:
     """McMahan's follow-the-regularised-leader with a rate per coordinate and L1.
@@ -70,24 +75,22 @@ def train(documents: DataFrame, labels: DataFrame, label: str, admitted: Column,
     """Fit on at most ``sample`` labelled documents that ``admitted`` lets in.
 
     Executors turn whole texts into buckets; the driver holds only those, at
-    most ``sample`` rows, and learns in the order of the ids' hashes, so that
-    reruns agree.  Without labels the bias alone decides (score 0.5).
+    most ``sample`` rows and ``SAMPLE_BYTES``, and learns in the order of the
+    ids' hashes, so that reruns agree.  Repeated rows of an id count once; an
+    id with several texts counts with one of them; null texts teach nothing.
+    Without labels the bias alone decides (score 0.5).
     """
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
-            rows = [np.unique(features(text, hashes)).tobytes() for text in column_bytes(batch, "text")]
+            rows = [features(text, hashes).tobytes() for text in column_bytes(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(rows, pa.binary())], ["doc_id", "y", "x"])
 
     known = labelled_sample(documents, labels, label, admitted, sample).select("doc_id", "y", "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
-    # Repeated rows of an id count once, so that the bound holds.
-    rows = known.mapInArrow(buckets, f"doc_id {kind}, y int, x binary").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x"))
-    # Partition by partition, so that the driver's JVM never holds the whole sample beside Python.
-    got = [(r["h"], r["doc_id"], r["y"], np.frombuffer(r["x"], np.uint32)) for r in rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", "x").toLocalIterator()]
-    got.sort(key=lambda r: r[:2])
-    return Ftrl().fit([r[3] for r in got], [r[2] for r in got])
+    got = [(r["y"], np.frombuffer(r["x"], np.uint32)) for r in sampled_features(known.mapInArrow(buckets, f"doc_id {kind}, y int, x binary"), SAMPLE_BYTES)]
+    return Ftrl().fit([x for _, x in got], [y for y, _ in got])
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", out: str = "score", keep_text: bool = False) -> DataFrame:
@@ -95,7 +98,8 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], tex
 
     Whole texts, one pass, no shuffle.  The weights are sparse and bounded by
     the number of buckets, 4 MB unpacked.  Null and empty texts get the bias'
-    score; equal texts get equal scores; an empty table gives no rows.
+    score; equal texts get equal scores; an empty table gives no rows.  A
+    column named ``out`` is replaced; any other column stays as it is.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in documents.columns if c != out and (keep_text or c != text)]
@@ -109,7 +113,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], tex
             scores = np.full(batch.num_rows, bias)
             for i, value in enumerate(column_bytes(batch, text)):
                 if value:
-                    x = features(value, hashes)
+                    x = buckets_of(value, hashes)
                     x = np.unique(x[dense[x] != 0])
                     scores[i] += dense[x].astype(np.float64).sum()
             scores = 1 / (1 + np.exp(-np.clip(scores, -35, 35)))

@@ -11,12 +11,15 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import fresh
+
 CRLF = b"\r\n"
 
 #: Elements whose content isn't text, those of them that hold no tags, and elements that end a line.
@@ -166,6 +169,56 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], payload
 
 
+def entity(headers: list[tuple[str, str]], payload: bytes) -> bytes:
+    """The payload without its transfer coding: chunks are put together, broken ones as far as they go."""
+    if not any(k.lower() == "transfer-encoding" and "chunked" in v.lower() for k, v in headers):
+        return payload
+    out, at = [], 0
+    while (end := payload.find(CRLF, at)) >= 0:
+        size = payload[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]+", size):
+            break
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(payload[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    # Not chunked after all, or cut short: what is left is kept.
+    return b"".join([*out, payload[at:]])
+
+
+def plain_payload(headers: list[tuple[str, str]], payload: bytes) -> bytes | None:
+    """The entity without its content codings; None if one is unknown or broken."""
+    codings = [c.strip().lower() for k, v in headers if k.lower() == "content-encoding" for c in v.split(",")]
+    for coding in reversed([c for c in codings if c and c != "identity"]):
+        if coding not in ("gzip", "x-gzip", "deflate"):
+            return None
+        out = b""
+        for bits in (47,) if coding != "deflate" else (47, -15):  # deflate is met with and without its wrapper
+            try:
+                out = _inflated(payload, bits)
+                break
+            except zlib.error:
+                continue
+        else:
+            return None
+        payload = out
+    return payload
+
+
+def _inflated(data: bytes, bits: int) -> bytes:
+    """All members of the stream; one that is cut short gives what it holds."""
+    out = []
+    while data:
+        stream = zlib.decompressobj(bits)
+        out.append(stream.decompress(data))
+        out.append(stream.flush())
+        data = stream.unused_data.lstrip(b"\0")
+        if data and not data.startswith(b"\x1f\x8b"):
+            break
+    return b"".join(out)
+
+
 def charset(headers: list[tuple[str, str]]) -> str:
     kind = next((v for k, v in headers if k.lower() == "content-type"), "")
     named = re.search(r"charset=[\"']?([\w.:-]+)", kind, re.IGNORECASE)
@@ -204,9 +257,13 @@ def one_line(value: str) -> str:
 def derive(record: str, uri: str, date: str, block: bytes) -> list[dict]:
     """The metadata and the conversion record of one response."""
     status, headers, payload = http_parts(block)
-    title, text = plain_text(decoded(payload, headers))
+    payload = entity(headers, payload)
+    plain = plain_payload(headers, payload)
+    title, text = plain_text(decoded(plain or b"", headers))
     digest = sha1(payload)
     facts = [("http-status", status), *((f"http-{k.lower()}", v) for k, v in headers), ("charset", charset(headers)), ("title", title), ("text-characters", str(len(text))), ("payload-bytes", str(len(payload)))]
+    if plain is None:
+        facts.append(("undecoded", "content-encoding"))
     blocks = {
         "metadata": ("application/warc-fields", "".join(f"{k}: {one_line(v)}\r\n" for k, v in facts).encode()),
         "conversion": ("text/plain; charset=utf-8", text.encode("utf-8", errors="replace")),
@@ -227,6 +284,8 @@ def derive(record: str, uri: str, date: str, block: bytes) -> list[dict]:
     return out
 
 
+#: Records of an output batch, and bytes of records beyond which it is closed.
+BATCH, BATCH_BYTES = 128, 32 << 20
 #: Columns of a derivative; the input's key comes first.
 DERIVED = "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, source_payload_digest string, block_digest string, content_length long, block binary, record binary"
 
@@ -234,28 +293,58 @@ DERIVED = "warc_type string, record_id string, refers_to string, target_uri stri
 def derivatives(responses: DataFrame, key: str = "page_id") -> DataFrame:
     """Two records, ``metadata`` and ``conversion``, for each row of ``responses``.
 
-    ``responses``: ``key, record_id, target_uri, warc_date, block`` (the HTTP
-    response).  Null URI and date become empty; a null block is an empty one; a
-    null record id is derived from URI, date and payload digest.  Repeated rows
-    give repeated records with the same ids.  Rows are worked on one by one,
-    without a shuffle; memory is bounded by the largest page.
+    ``responses``: ``key`` (of any type), ``record_id, target_uri, warc_date,
+    block`` (the HTTP response).  Digests are of the entity: chunks are put
+    together, a content coding stays.  Text is that of the decoded entity; an
+    unknown or broken coding gives an empty conversion and a line
+    ``undecoded`` in the metadata.  Null URI and date become empty; a null
+    block is an empty one; a null record id is derived from URI, date and
+    payload digest.  Repeated rows give repeated records with the same ids; an
+    empty table gives no rows; other columns play no part.  Rows are worked on
+    one by one, whole, without a shuffle; memory is bounded by the largest page
+    and a batch of ``BATCH`` records.
     """
     kind = responses.schema[key].dataType.simpleString()
+    (own_key,) = fresh([n for n, _ in _FIELDS], "own_key")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                rows = []
-                for row in batch.slice(at, 64).to_pylist():
-                    block, uri, date = row["block"] or b"", row["target_uri"] or "", row["warc_date"] or ""
-                    own = row["record_id"] or record_id(uri, date, sha1(http_parts(block)[2]))
-                    rows += [{key: row[key]} | x for x in derive(own, uri, date, block)]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    fields = [(key, pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), *((n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in DERIVED.split(", ")))]
-    schema = pa.schema(fields)
-    chosen = responses.select(key, "record_id", "target_uri", "warc_date", F.col("block").cast("binary").alias("block"))
-    return chosen.mapInArrow(build, f"{key} {kind}, {DERIVED}")
+            rows, at, held = [], [], 0
+            for i, row in enumerate(_rows(batch)):
+                block, uri, date = row["block"] or b"", row["target_uri"] or "", row["warc_date"] or ""
+                if row["record_id"]:
+                    own = row["record_id"]
+                else:
+                    _, headers, payload = http_parts(block)
+                    own = record_id(uri, date, sha1(entity(headers, payload)))
+                made = derive(own, uri, date, block)
+                rows += made
+                at += [i] * len(made)
+                held += sum(len(x["record"]) for x in made)
+                if len(rows) >= BATCH or held > BATCH_BYTES:
+                    yield _batch(batch.column(own_key), at, rows, own_key)
+                    rows, at, held = [], [], 0
+            if rows:
+                yield _batch(batch.column(own_key), at, rows, own_key)
+
+    chosen = responses.select(F.col(key).alias(own_key), "record_id", "target_uri", "warc_date", F.col("block").cast("binary").alias("block"))
+    out = chosen.mapInArrow(build, f"{own_key} {kind}, {DERIVED}")
+    return out.select(F.col(own_key).alias(key), *[n for n, _ in _FIELDS])
+
+
+_FIELDS = [tuple(x.split()) for x in DERIVED.split(", ")]
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows' fields but the key, one row at a time."""
+    columns = {c: batch.column(c) for c in ("record_id", "target_uri", "warc_date", "block")}
+    for i in range(batch.num_rows):
+        yield {c: v[i].as_py() for c, v in columns.items()}
+
+
+def _batch(keys: pa.Array, at: list[int], rows: list[dict], name: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *(pa.array([r[n] for r in rows], kinds[t]) for n, t in _FIELDS)], [name, *(n for n, _ in _FIELDS)])
 
 
 def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
