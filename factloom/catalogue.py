@@ -1,637 +1,5 @@
-"""All queries over the driver's tables, each with its SQL."""
+"""All queries over the driver's tables, by name, and their SQL."""
 
-from __future__ import annotations
+from factloom.queries import ORACLE_SQL, QUERIES, catalogs, extraction, forest, planning, statements
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from factloom.functions.canonical import canonical_map, content_hash
-from factloom.operators import diff, extraction, graph, policy, view
-from factloom.plans import actions
-from factloom.sources import tables
-from factloom.sources.tables import edges, facts, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-CHANGES = "SELECT x.id, u.attr, u.f AS from_val, u.t AS to_val FROM fa x JOIN fb y USING (id), LATERAL (VALUES (x.k1, x.v1, y.v1), (x.k2, x.v2, y.v2)) u(attr, f, t) WHERE u.f IS DISTINCT FROM u.t"
-DELTAS = f"""
-deltas AS (SELECT 'remove' AS verb, id, NULL::VARCHAR AS attr, NULL::VARCHAR AS from_val, NULL::VARCHAR AS to_val FROM fa WHERE id NOT IN (SELECT id FROM fb)
-  OR (kind = 'order' AND parent_id NOT IN (SELECT id FROM fb))
-  UNION ALL SELECT 'add', id, NULL, NULL, NULL FROM fb WHERE id NOT IN (SELECT id FROM fa) OR (kind = 'order' AND parent_id NOT IN (SELECT id FROM fa))
-  UNION ALL SELECT 'set', c.* FROM ({CHANGES}) c WHERE NOT EXISTS (SELECT 1 FROM fa WHERE fa.id = c.id AND kind = 'order' AND parent_id NOT IN (SELECT id FROM fb)))
-"""
-WITH = "WITH " + tables.SQL
-
-
-def query(sql: str | None = None):
-    """Register a query under its name, with SQL if SQL can express it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query("WITH a AS (SELECT * FROM customer WHERE c_custkey % 11 <> 0), b AS (SELECT c_custkey, c_acctbal::DECIMAL(18,2) + CASE WHEN c_custkey % 17 = 0 THEN 1 ELSE 0 END AS bal FROM customer WHERE c_custkey % 13 <> 0) SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN a.c_custkey IS NULL THEN 'add' WHEN b.c_custkey IS NULL THEN 'remove' ELSE 'set' END AS verb FROM a FULL OUTER JOIN b ON a.c_custkey = b.c_custkey WHERE a.c_acctbal::DECIMAL(18,2) IS DISTINCT FROM b.bal")
-def diff_customer(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(18,2)").alias("a"))
-    b = c.where("c_custkey % 13 <> 0").select("c_custkey", (F.col("a") + F.when(F.col("c_custkey") % 17 == 0, 1).otherwise(0)).alias("b"))
-    both = c.where("c_custkey % 11 <> 0").join(b, "c_custkey", "full").where("not a <=> b")
-    return both.select("c_custkey", F.when(F.col("a").isNull(), "add").when(F.col("b").isNull(), "remove").otherwise("set").alias("verb"))
-
-
-@query(WITH + "," + DELTAS + "SELECT * FROM deltas")
-def diff_facts(spark, d):
-    return diff.fact_deltas(facts(spark, d, "a"), facts(spark, d, "b"))
-
-
-@query(WITH + "," + DELTAS + "SELECT verb, split_part(id, ':', 1) AS kind, count(*) AS n FROM deltas GROUP BY ALL")
-def delta_counts(spark, d):
-    return diff_facts(spark, d).groupBy("verb", F.split_part("id", F.lit(":"), F.lit(1)).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(WITH + ", r AS (SELECT id FROM fa WHERE kind = 'nation')," + DELTAS + "SELECT * FROM deltas WHERE id NOT IN (SELECT id FROM fa WHERE kind = 'customer' AND v2 = '\"BUILDING\"')")
-def diff_refonly(spark, d):
-    a = facts(spark, d, "a").withColumn("ref_only", (F.col("kind") == "customer") & (F.col("payload")["mktsegment"] == '"BUILDING"'))
-    return diff.fact_deltas(a, facts(spark, d, "b"))
-
-
-@query("WITH RECURSIVE " + tables.SQL + """,
-b AS (SELECT id, CASE WHEN kind = 'order' AND (split_part(id, ':', 2)::BIGINT % 1000000000) % 23 = 0 THEN 'region:0' ELSE parent_id END AS parent_id FROM fb),
-ga AS (SELECT id FROM fa WHERE id NOT IN (SELECT id FROM b) UNION SELECT f.id FROM fa f JOIN ga ON f.parent_id = ga.id),
-gb AS (SELECT id FROM b WHERE id NOT IN (SELECT id FROM fa) UNION SELECT f.id FROM b f JOIN gb ON f.parent_id = gb.id)
-SELECT 'remove' AS verb, id FROM ga UNION ALL SELECT 'add', id FROM gb""")
-def diff_reparent(spark, d):
-    return diff.fact_deltas(facts(spark, d, "a"), facts(spark, d, "b", reparent=True)).where("verb <> 'set'").select("verb", "id")
-
-
-@query(WITH + "SELECT CASE WHEN ea.from_id IS NULL THEN 'link' ELSE 'unlink' END AS verb, coalesce(ea.from_id, eb.from_id) AS from_id, coalesce(ea.edge_kind, eb.edge_kind) AS edge_kind, coalesce(ea.to_id, eb.to_id) AS to_id FROM ea FULL OUTER JOIN eb ON ea.from_id = eb.from_id AND ea.to_id = eb.to_id AND ea.edge_kind = eb.edge_kind WHERE ea.from_id IS NULL OR eb.from_id IS NULL")
-def diff_edges(spark, d):
-    return diff.edge_deltas(edges(spark, d, "a"), edges(spark, d, "b"))
-
-
-@query(WITH + "SELECT id, kind, hash FROM fa")
-def fact_hash(spark, d):
-    return facts(spark, d, "a").select("id", "kind", content_hash(F.col("payload")).alias("hash"))
-
-
-@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
-def dup_ids(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 11 <> 0)")
-def missing_parents(spark, d):
-    kept = table(spark, d, "customer").where("c_custkey % 11 <> 0").withColumnRenamed("c_custkey", "o_custkey")
-    return table(spark, d, "orders").join(kept, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
-
-
-@query(WITH + "SELECT from_id, to_id, edge_kind FROM ea WHERE edge_kind <> 'owner' AND (from_id NOT IN (SELECT id FROM fa) OR to_id NOT IN (SELECT id FROM fa)) OR edge_kind = 'owner' AND from_id NOT IN (SELECT id FROM fa)")
-def dangling_edges(spark, d):
-    ids = facts(spark, d, "a").select("id")
-    e = edges(spark, d, "a").join(ids.select(F.col("id").alias("from_id"), F.lit(1).alias("f")), "from_id", "left").join(ids.select(F.col("id").alias("to_id"), F.lit(1).alias("t")), "to_id", "left")
-    return e.where("f is null or (t is null and edge_kind <> 'owner')").select("from_id", "to_id", "edge_kind")
-
-
-@query("SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0)")
-def orphan_prune(spark, d):
-    return table(spark, d, "labels").join(table(spark, d, "documents").where("doc_id % 7 <> 0"), "doc_id", "left_anti").select("doc_id", "quality")
-
-
-EDGE_TEXT = "e AS (SELECT from_id AS id, string_agg(from_id || '-[' || edge_kind || ']->' || to_id, ',' ORDER BY from_id || '-[' || edge_kind || ']->' || to_id) AS e FROM ea GROUP BY from_id)"
-ROLL = WITH + "," + EDGE_TEXT + """,
-r3 AS (SELECT id, parent_id, sha256('F|' || hash || '|C||E|' || coalesce(e, '')) AS r, sha256('S|' || hash || '|C|') AS s FROM fa LEFT JOIN e USING (id) WHERE kind = 'order'),
-c3 AS (SELECT parent_id AS id, string_agg(id || '=' || r, ',' ORDER BY id || '=' || r) AS c, string_agg(s, ',' ORDER BY s) AS s FROM r3 GROUP BY ALL),
-r2 AS (SELECT fa.id, parent_id, sha256('F|' || hash || '|C|' || coalesce(c, '') || '|E|') AS r, sha256('S|' || hash || '|C|' || coalesce(s, '')) AS s FROM fa LEFT JOIN c3 USING (id) WHERE kind = 'customer'),
-c2 AS (SELECT parent_id AS id, string_agg(id || '=' || r, ',' ORDER BY id || '=' || r) AS c, string_agg(s, ',' ORDER BY s) AS s FROM r2 GROUP BY ALL),
-r1 AS (SELECT fa.id, parent_id, sha256('F|' || hash || '|C|' || coalesce(c, '') || '|E|') AS r, sha256('S|' || hash || '|C|' || coalesce(s, '')) AS s FROM fa LEFT JOIN c2 USING (id) WHERE kind = 'nation'),
-c1 AS (SELECT parent_id AS id, string_agg(id || '=' || r, ',' ORDER BY id || '=' || r) AS c, string_agg(s, ',' ORDER BY s) AS s FROM r1 GROUP BY ALL),
-r0 AS (SELECT fa.id, parent_id, sha256('F|' || hash || '|C|' || coalesce(c, '') || '|E|') AS r, sha256('S|' || hash || '|C|' || coalesce(s, '')) AS s FROM fa LEFT JOIN c1 USING (id) WHERE kind = 'region')
-"""
-
-
-def _rolled(spark, d):
-    return graph.rollups(facts(spark, d, "a"), edges(spark, d, "a"))
-
-
-@query(ROLL + "SELECT id, r AS rollup FROM r3 UNION ALL SELECT id, r FROM r2 UNION ALL SELECT id, r FROM r1 UNION ALL SELECT id, r FROM r0")
-def rollup_facts(spark, d):
-    return _rolled(spark, d).select("id", "rollup")
-
-
-@query(ROLL + "SELECT id, s AS structural FROM r3 UNION ALL SELECT id, s FROM r2 UNION ALL SELECT id, s FROM r1 UNION ALL SELECT id, s FROM r0")
-def structural_rollup(spark, d):
-    return _rolled(spark, d).select("id", "structural")
-
-
-@query(ROLL + "SELECT sha256('ROOT|' || string_agg(id || '=' || r, ',' ORDER BY id || '=' || r)) AS root_hash FROM r0")
-def root_hash(spark, d):
-    return graph.root_hash(_rolled(spark, d))
-
-
-@query(WITH + "SELECT from_id AS id, string_agg(DISTINCT edge_kind || '->' || to_id, '|' ORDER BY edge_kind || '->' || to_id) AS signature FROM ea GROUP BY from_id")
-def edge_signature(spark, d):
-    return graph.edge_signature(edges(spark, d, "a"))
-
-
-@query("WITH h AS (SELECT l_returnflag AS key, sha256(l_orderkey || '|' || l_partkey || '|' || l_suppkey || '|' || l_linenumber || '|' || l_linestatus) AS h FROM lineitem), b AS (SELECT key, substr(h, 1, 2) AS b, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS d FROM h GROUP BY ALL) SELECT key, sum(n)::BIGINT AS rows, md5(string_agg(d, ',' ORDER BY b)) AS content FROM b GROUP BY key")
-def table_fingerprint(spark, d):
-    lines = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("key"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus")
-    return extraction.fingerprint(lines, "key")
-
-
-#: The first number of an id; a line's is its order's.
-KEY = "cast(split_part(split_part(id, ':', 2), '.', 1) as bigint)"
-BASE = "s AS (SELECT from_id AS id, string_agg(DISTINCT edge_kind || '->' || to_id, '|' ORDER BY edge_kind || '->' || to_id) AS sig FROM ea GROUP BY from_id), base AS (SELECT * FROM fa WHERE kind IN ('region', 'nation') OR split_part(id, ':', 2)::BIGINT % 5 = 0), live AS (SELECT id, parent_id FROM fa WHERE id NOT IN (SELECT id FROM base))"
-
-
-@query("WITH RECURSIVE " + tables.SQL + "," + BASE + ", k AS (SELECT id, parent_id FROM live UNION SELECT fa.id, fa.parent_id FROM fa JOIN k ON k.parent_id = fa.id) SELECT DISTINCT id FROM k")
-def baseline_subtract(spark, d):
-    a, e = facts(spark, d, "a"), edges(spark, d, "a")
-    base = a.where(f"kind in ('region', 'nation') or {KEY} % 5 = 0")
-    return view.subtract_baseline(a, e, base, e).select("id")
-
-
-@query("WITH RECURSIVE " + tables.SQL + ", g AS (SELECT id FROM fa WHERE id = 'region:1' UNION SELECT fa.id FROM fa JOIN g ON fa.parent_id = g.id) SELECT id FROM fa WHERE id NOT IN (SELECT id FROM g)")
-def exclude_subtree(spark, d):
-    a = facts(spark, d, "a")
-    return view.exclude_subtrees(a, edges(spark, d, "a"), a.where("id = 'region:1'").select("id"))[0].select("id")
-
-
-@query(WITH + ", g AS (SELECT from_id AS id FROM ea WHERE edge_kind = 'managedBy') SELECT id FROM fa WHERE id NOT IN (SELECT id FROM g)")
-def provenance_exclude(spark, d):
-    a, e = facts(spark, d, "a"), edges(spark, d, "a")
-    return view.exclude_subtrees(a, e, view.provenance_roots(e, "managedBy"))[0].select("id")
-
-
-@query("WITH RECURSIVE " + tables.SQL + ", m AS (SELECT id, kind FROM fa WHERE kind IN ('nation', 'customer') AND split_part(id, ':', 2)::BIGINT % 10 = 3), c AS (SELECT id FROM m WHERE kind <> 'nation' UNION SELECT fa.id FROM fa JOIN c ON fa.parent_id = c.id) SELECT id FROM m UNION SELECT id FROM c")
-def member_closure(spark, d):
-    a = facts(spark, d, "a")
-    members = a.where(f"kind in ('nation', 'customer') and {KEY} % 10 = 3")
-    e = members.select(F.col("id").alias("from_id"), F.lit("extension:x").alias("to_id"), F.lit("memberOfExtension").alias("edge_kind"))
-    return view.member_closure(a, e, "nation", ["comment", "acl", "securityLabel"])
-
-
-@query(WITH + "SELECT from_id, to_id, edge_kind FROM ea WHERE from_id IN (SELECT id FROM fa) AND (to_id IN (SELECT id FROM fa) OR edge_kind = 'owner' AND to_id <> 'role:BUILDING')")
-def scope_projection(spark, d):
-    a, e = facts(spark, d, "a"), edges(spark, d, "a")
-    carved = (F.col("edge_kind") == "owner") & (F.col("to_id") != "role:BUILDING")
-    return view.exclude_subtrees(a, e, a.where("kind = 'role'").select("id"), carved)[1]
-
-
-POLICY = policy.Policy("outer", (policy.Rule({"verb": "remove", "kind": "order"}, "exclude", "keep-orders"), policy.Rule({"all": [{"verb": "set"}, {"idField": {"attr": "acct*"}}]}, "exclude", "balances")), (policy.Policy("inner", (policy.Rule({"name": "1*", "not": {"verb": "set"}}, "include", "ones"), policy.Rule({"any": [{"kind": "customer"}, {"name": "*9"}]}, "exclude", "rest"))),))
-POLICY_SQL = "CASE WHEN verb = 'remove' AND kind = 'order' THEN 'keep-orders' WHEN verb = 'set' AND attr LIKE 'acct%' THEN 'balances' WHEN name LIKE '1%' AND verb <> 'set' THEN 'ones' WHEN kind = 'customer' OR name LIKE '%9' THEN 'rest' ELSE 'default' END"
-NAMED = ", n AS (SELECT *, split_part(id, ':', 1) AS kind, split_part(id, ':', 2) AS name FROM deltas)"
-
-
-def _decided(spark, d):
-    named = diff_facts(spark, d).withColumns({"kind": F.split_part("id", F.lit(":"), F.lit(1)), "name": F.split_part("id", F.lit(":"), F.lit(2))})
-    policy.validate(POLICY, named.columns)
-    action, reason = policy.decide(POLICY)
-    return named.withColumns({"action": action, "reason": reason})
-
-
-@query(WITH + "," + DELTAS + NAMED + f", r AS (SELECT *, {POLICY_SQL} AS reason FROM n) SELECT verb, id, attr, CASE WHEN reason IN ('ones', 'default') THEN 'include' ELSE 'exclude' END AS action, reason FROM r")
-def policy_filter(spark, d):
-    return _decided(spark, d).select("verb", "id", "attr", "action", "reason")
-
-
-@query(WITH + "SELECT id FROM fa WHERE kind = 'order' AND (parent_id LIKE 'customer:1%' AND NOT v2 LIKE '\"O%') OR id IN (SELECT from_id FROM ea WHERE edge_kind = 'owner' AND to_id LIKE 'role:M%')")
-def policy_predicates(spark, d):
-    e = edges(spark, d, "a").groupBy(F.col("from_id").alias("id")).agg(F.collect_list(F.struct("edge_kind", "to_id")).alias("edges"))
-    named = facts(spark, d, "a").join(e, "id", "left").withColumn("status", F.col("payload")["status"])
-    own = {"kind": "order", "parentKind": "customer", "idField": {"parent_id": "customer:1*"}, "not": {"idField": {"status": '"O*'}}}
-    return named.where(policy.predicate({"any": [own, {"edgeTo": {"kind": "owner", "to": "role:M*"}}]})).select("id")
-
-
-@query(WITH + "," + DELTAS + NAMED + f", r AS (SELECT *, {POLICY_SQL} AS reason FROM n) SELECT reason, kind, count(*) AS n, count(*) FILTER (verb = 'set') AS sets FROM r WHERE reason NOT IN ('ones', 'default') GROUP BY ALL")
-def projection_audit(spark, d):
-    return _decided(spark, d).where("action = 'exclude'").groupBy("reason", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verb") == "set").alias("sets"))
-
-
-@query("WITH RECURSIVE " + tables.SQL + "," + DELTAS + NAMED + f""", x AS (SELECT * FROM (SELECT *, {POLICY_SQL} AS reason FROM n) WHERE reason NOT IN ('ones', 'default')),
-kept AS (SELECT id, parent_id, k1, v1, k2, v2, 'b' AS o FROM fb WHERE id NOT IN (SELECT id FROM x WHERE verb = 'add')),
-al AS (SELECT * FROM kept UNION ALL SELECT id, parent_id, k1, v1, k2, v2, 'a' FROM fa WHERE id IN (SELECT id FROM x WHERE verb = 'remove') AND id NOT IN (SELECT id FROM kept)),
-v AS (SELECT al.id, parent_id, coalesce((SELECT max(from_val) FROM x WHERE x.id = al.id AND verb = 'set' AND attr = k1), v1) AS v1, coalesce((SELECT max(from_val) FROM x WHERE x.id = al.id AND verb = 'set' AND attr = k2), v2) AS v2 FROM al),
-t AS (SELECT id FROM v WHERE parent_id IS NULL UNION SELECT v.id FROM v JOIN t ON v.parent_id = t.id)
-SELECT id, v1, v2 FROM v WHERE id IN (SELECT id FROM t)""")
-def project_target(spark, d):
-    undone = _decided(spark, d).where("action = 'exclude'").select("verb", "id", "attr", "from_val", "to_val")
-    t = view.project_target(facts(spark, d, "b"), undone, facts(spark, d, "a"))
-    p = F.col("payload")
-    return t.select("id", F.coalesce(p["name"], p["acctbal"], p["priority"]).alias("v1"), F.coalesce(p["mktsegment"], p["status"]).alias("v2"))
-
-
-LONE = "ra AS (SELECT id, kind, parent_id, hash, v2 FROM fa WHERE kind = 'customer' AND id NOT IN (SELECT id FROM fb)), rb AS (SELECT id, kind, parent_id, hash, v2 FROM fb WHERE kind = 'customer' AND id NOT IN (SELECT id FROM fa))"
-
-
-def _lone(spark, d):
-    a, b = (facts(spark, d, s).where("kind = 'customer'").withColumn("segment", F.col("payload")["mktsegment"]) for s in "ab")
-    return a.join(b.select("id"), "id", "left_anti"), b.join(a.select("id"), "id", "left_anti")
-
-
-@query(WITH + "," + LONE + "SELECT ra.id AS from_id, rb.id AS to_id, CASE WHEN count(*) OVER (PARTITION BY ra.id) = 1 AND count(*) OVER (PARTITION BY rb.id) = 1 THEN 'unambiguous' ELSE 'ambiguous' END AS state FROM ra JOIN rb USING (kind, parent_id, hash)")
-def rename_candidates(spark, d):
-    return view.rename_candidates(*_lone(spark, d), ["kind", "parent_id", "hash"])
-
-
-@query(WITH + "," + LONE + "SELECT ra.id AS from_id, rb.id AS to_id FROM ra JOIN rb USING (kind, parent_id, v2) WHERE ra.hash <> rb.hash AND NOT EXISTS (SELECT 1 FROM rb x WHERE x.kind = ra.kind AND x.parent_id = ra.parent_id AND x.hash = ra.hash AND x.v2 = ra.v2)")
-def rename_near_miss(spark, d):
-    return view.near_misses(*_lone(spark, d), ["kind", "parent_id", "segment"], "hash")
-
-
-@query("WITH RECURSIVE " + tables.SQL + ", e AS (SELECT to_id AS s, from_id AS t FROM ea WHERE edge_kind = 'depends' UNION SELECT parent_id, id FROM fa WHERE parent_id IS NOT NULL), r AS (SELECT 'part:' || p_partkey AS id FROM part WHERE p_partkey % 500 = 1 UNION SELECT e.t FROM e JOIN r ON e.s = r.id) SELECT id FROM r")
-def rebuild_closure(spark, d):
-    start = table(spark, d, "part").where("p_partkey % 500 = 1").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
-    back = edges(spark, d, "a").where("edge_kind = 'depends'").select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
-    return graph.reach(start, back.unionByName(view.child_edges(facts(spark, d, "a"))).distinct())
-
-
-@query(WITH + ", x AS (SELECT id, kind, parent_id FROM fa WHERE kind IN ('customer', 'order') AND split_part(id, ':', 2)::BIGINT % 3 = 0) SELECT x.id, coalesce(p.id, x.id) AS drop_root FROM x LEFT JOIN x p ON p.id = x.parent_id AND p.kind = 'customer'")
-def drop_roots(spark, d):
-    a = facts(spark, d, "a")
-    removed = a.where("kind in ('customer', 'order') and cast(split_part(id, ':', 2) as bigint) % 3 = 0")
-    return view.drop_roots(a, removed, ["nation", "customer"])
-
-
-@query(WITH + "SELECT id, (CASE kind WHEN 'region' THEN 0 WHEN 'nation' THEN 1 WHEN 'customer' THEN 2 ELSE 3 END)::INTEGER AS depth FROM fa")
-def fact_depths(spark, d):
-    return graph.depths(facts(spark, d, "a"))
-
-
-@query(WITH + "SELECT id FROM fa WHERE parent_id IS NULL")
-def roots(spark, d):
-    return facts(spark, d, "a").where("parent_id is null").select("id")
-
-
-@query("WITH RECURSIVE " + tables.SQL + ", x AS (SELECT id, id AS ancestor, 0 AS distance FROM fa UNION ALL SELECT x.id, f.parent_id, distance + 1 FROM x JOIN fa f ON f.id = x.ancestor WHERE f.parent_id IS NOT NULL) SELECT id, ancestor, distance::INTEGER AS distance FROM x")
-def ancestor_chain(spark, d):
-    return graph.ancestors(facts(spark, d, "a"))
-
-
-GRANTS = "g{0} AS (SELECT 'nation:' || c_nationkey AS object, c_mktsegment AS grantee, o_orderpriority AS privilege, o_orderstatus = 'P' AS grantable FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 16 = 1 AND o_orderkey % {1} <> 0), a{0} AS (SELECT object, grantee, string_agg(DISTINCT privilege, ',' ORDER BY privilege) AS privileges, coalesce(string_agg(DISTINCT privilege, ',' ORDER BY privilege) FILTER (grantable), '') AS grantable FROM g{0} GROUP BY ALL)"
-
-
-def _grants(spark, d, skip, some="o_orderkey % 16 = 1"):
-    own = table(spark, d, "orders").where(f"{some} and o_orderkey % {skip} <> 0").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return extraction.grants(own.select(F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("object"), F.col("c_mktsegment").alias("grantee"), F.col("o_orderpriority").alias("privilege"), (F.col("o_orderstatus") == "P").alias("grantable")))
-
-
-@query("WITH " + GRANTS.format("a", 11) + "SELECT * FROM aa")
-def acl_aggregate(spark, d):
-    return _grants(spark, d, 11)
-
-
-@query("WITH " + GRANTS.format("a", 11) + "," + GRANTS.format("b", 13) + "SELECT object, grantee, aa.privileges AS now, ab.privileges AS before FROM aa FULL OUTER JOIN ab USING (object, grantee) WHERE aa.privileges IS DISTINCT FROM ab.privileges")
-def acl_delta(spark, d):
-    return extraction.grants_against(_grants(spark, d, 11), _grants(spark, d, 13))
-
-
-@query("WITH " + GRANTS.format("a", 11) + "," + GRANTS.format("b", 13) + ", x AS (SELECT * FROM aa WHERE grantee <> 'BUILDING') SELECT object, grantee, x.privileges FROM x LEFT JOIN ab USING (object, grantee) WHERE x.privileges IS DISTINCT FROM ab.privileges UNION ALL SELECT object, grantee, '' FROM ab WHERE object IN (SELECT object FROM x) AND NOT EXISTS (SELECT 1 FROM x WHERE x.object = ab.object AND x.grantee = ab.grantee)")
-def default_priv_deviation(spark, d):
-    return extraction.deviations(_grants(spark, d, 11).where("grantee <> 'BUILDING'"), _grants(spark, d, 13))
-
-
-@query("SELECT l_partkey, l_suppkey, bool_or(l_returnflag = 'R') AS admin FROM lineitem GROUP BY ALL")
-def membership_dedupe(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("admin"))
-
-
-@query("WITH e AS (SELECT DISTINCT 'part' AS class, l_partkey AS obj FROM lineitem UNION SELECT 'supplier', l_suppkey FROM lineitem), p AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 3 <> 0), q AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 5 <> 0), s AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 4 <> 0) SELECT class, obj, CASE class WHEN 'part' THEN coalesce('part:' || p.k, 'spare:' || q.k) ELSE 'supplier:' || s.k END AS id FROM e LEFT JOIN p ON class = 'part' AND obj = p.k LEFT JOIN q ON class = 'part' AND obj = q.k LEFT JOIN s ON class = 'supplier' AND obj = s.k")
-def dependency_resolver(spark, d):
-    line, part, supp = (table(spark, d, n) for n in ("lineitem", "part", "supplier"))
-    ends = line.select(F.lit("part").alias("class"), F.col("l_partkey").alias("obj")).unionByName(line.select(F.lit("supplier").alias("class"), F.col("l_suppkey").alias("obj")))
-    named = lambda df, c, k, p: df.select(F.lit(c).alias("class"), F.col(k).alias("obj"), F.concat(F.lit(p), F.col(k).cast("string")).alias("id"))
-    return extraction.resolve(ends, [named(part.where("p_partkey % 3 <> 0"), "part", "p_partkey", "part:"), named(part.where("p_partkey % 5 <> 0"), "part", "p_partkey", "spare:"), named(supp.where("s_suppkey % 4 <> 0"), "supplier", "s_suppkey", "supplier:")])
-
-
-@query("WITH r AS (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS i FROM part) SELECT p_type, count(*) AS n, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) FILTER (i <= 5) AS samples FROM r GROUP BY p_type")
-def unmodeled_samples(spark, d):
-    return extraction.samples(table(spark, d, "part").select("p_type", "p_partkey"), "p_type", "p_partkey")
-
-
-@query("SELECT p_type, count(*) AS n FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 13 = 0 GROUP BY p_type")
-def unmodeled_drift(spark, d):
-    part = table(spark, d, "part")
-    return part.where("p_partkey % 11 <> 0").join(part.where("p_partkey % 13 <> 0").select("p_partkey"), "p_partkey", "left_anti").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey || ':' || l_suppkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS args, arg_min(l_suppkey, (l_linenumber, l_partkey, l_suppkey)) AS first_parent FROM lineitem GROUP BY l_orderkey")
-def ordered_args(spark, d):
-    one = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    text = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"), x["l_suppkey"].cast("string")))
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(text, ",").alias("args"), F.min_by("l_suppkey", one).alias("first_parent"))
-
-
-@query("SELECT page_id, CASE WHEN contains(url, '?') THEN split_part(url, '?', 1) || '?' || array_to_string(list_transform(string_split(split_part(url, '?', 2), '&'), lambda p: CASE WHEN split_part(p, '=', 1) = 'page' OR NOT contains(p, '=') THEN p ELSE split_part(p, '=', 1) || '=***' END), '&') ELSE url END AS url FROM pages")
-def redact_options(spark, d):
-    return table(spark, d, "pages").select("page_id", extraction.redact(F.col("url"), ["page"]).alias("url"))
-
-
-@query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS present FROM customer")
-def exists_filter(spark, d):
-    c, o = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return c.join(o, "c_custkey", "left_semi").withColumn("present", F.lit(True)).unionByName(c.join(o, "c_custkey", "left_anti").withColumn("present", F.lit(False)))
-
-
-@query("WITH p AS (SELECT o_orderkey AS idx, 'order:' || o_orderkey AS id FROM orders), c AS (SELECT DISTINCT 1000000000 + l_partkey AS idx, 'order:' || l_orderkey AS id FROM lineitem WHERE l_partkey % 50 = 0) SELECT p.idx AS src, c.idx AS dst, 'produce' AS reason FROM p JOIN c USING (id)")
-def action_edges(spark, d):
-    return _action_edges(spark, d, table(spark, d, "lineitem").where("l_partkey % 50 = 0"))
-
-
-def _action_edges(spark, d, lines):
-    none = F.array().cast("array<string>")
-    made = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.array(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))).alias("produces"), none.alias("consumes"))
-    used = lines.groupBy((F.col("l_partkey") + 1000000000).alias("idx")).agg(F.collect_set(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string"))).alias("consumes")).select("idx", none.alias("produces"), "consumes")
-    return actions.graph_edges(made.unionByName(used).withColumns({"destroys": none, "releases": none}))
-
-
-@query(WITH + "SELECT id, (CASE kind WHEN 'region' THEN 0 WHEN 'nation' THEN 1 WHEN 'customer' THEN 2 ELSE 3 END)::INTEGER AS level FROM fa WHERE parent_id IS NOT NULL OR id IN (SELECT parent_id FROM fa)")
-def topo_level(spark, d):
-    return graph.levels(view.child_edges(facts(spark, d, "a")))
-
-
-@query("SELECT event_id, concat_ws('|', CASE WHEN event_type = 'error' THEN '0' ELSE '1' END, (user_id % 2)::VARCHAR, lpad((CASE WHEN event_type = 'error' THEN 99 - 4 ELSE 4 END)::VARCHAR, 2, '0'), event_type, lpad(event_id::VARCHAR, 10, '0')) AS tie_key FROM events")
-def tie_keys(spark, d):
-    e = table(spark, d, "events")
-    return e.select("event_id", actions.tie_key(F.col("event_type") == "error", F.col("user_id") % 2, actions.weight(F.lit("table")), F.col("event_type"), F.col("event_id")).alias("tie_key"))
-
-
-def _plan_actions(spark, d):
-    t = F.col("event_type")
-    return table(spark, d, "events").select("event_id", "user_id", "event_type", (t == "error").alias("non_tx"), (t == "signup").alias("commit_after"), (t == "purchase").alias("new_segment"))
-
-
-@query("WITH m AS (SELECT *, event_type = 'error' OR coalesce(lag(event_type) OVER w IN ('error', 'signup'), true) OR event_type = 'purchase' AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), i AS (SELECT *, sum(o::INT) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS island FROM m) SELECT user_id, island, min(event_id) AS first, max(event_id) AS last, NOT bool_or(event_type = 'error') AS transactional FROM i GROUP BY ALL")
-def segments(spark, d):
-    return actions.segments(_plan_actions(spark, d), "event_id", ["user_id"])
-
-
-@query("WITH m AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER w AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), i AS (SELECT *, sum(o::INT) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS island FROM m) SELECT user_id, island, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM i GROUP BY ALL")
-def merge_grants(spark, d):
-    return actions.merged_runs(_plan_actions(spark, d), "event_id", ["user_id"], "event_type")
-
-
-@query("WITH l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT l_orderkey AS id, count(*) AS n FROM l WHERE NOT EXISTS (SELECT 1 FROM l x WHERE x.l_orderkey = l.l_orderkey AND x.l_partkey > 1500) GROUP BY ALL")
-def fold_columns(spark, d):
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("predecessor_position")).distinct()
-    clauses = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).withColumn("target_position", F.lit(1500))
-    return actions.foldable(clauses, lines).select("id", "n")
-
-
-@query("SELECT a.o_orderkey AS id FROM orders a WHERE a.o_orderkey % 11 <> 0 AND a.o_orderkey % 13 <> 0 AND a.o_orderkey % 17 <> 0")
-def elide_drops(spark, d):
-    o = table(spark, d, "orders")
-    row = lambda df, sql: df.select(F.col("o_orderkey").alias("id"), sql.alias("sql"), F.array("o_custkey").alias("consumes"))
-    drops = row(o.where("o_orderkey % 11 <> 0"), F.col("o_orderstatus"))
-    return actions.redundant_drops(drops, row(o.where("o_orderkey % 13 <> 0"), F.when(F.col("o_orderkey") % 17 == 0, F.lit("X")).otherwise(F.col("o_orderstatus"))))
-
-
-LOCKS = {"click": "share", "view": "accessShare", "purchase": "rowExclusive"}
-
-
-def _flagged(spark, d):
-    classes = spark.createDataFrame(list(LOCKS.items()), "event_type string, lock_class string")
-    t = F.col("event_type")
-    # The lock classes are a fixed table of three rows.
-    named = _plan_actions(spark, d).join(F.broadcast(classes), "event_type", "left").withColumn("lock_class", F.coalesce("lock_class", F.lit("accessExclusive")))
-    return named.withColumns({"destructive": t == "error", "rewrite": t == "purchase", "locks": F.col("lock_class") == "accessExclusive"})
-
-
-LOCK_SQL = "CASE event_type WHEN 'click' THEN 'share' WHEN 'view' THEN 'accessShare' WHEN 'purchase' THEN 'rowExclusive' ELSE 'accessExclusive' END"
-
-
-@query(f"SELECT event_id, {LOCK_SQL} AS lock_class FROM events")
-def lock_classes(spark, d):
-    return _flagged(spark, d).select("event_id", "lock_class")
-
-
-@query(f"SELECT {LOCK_SQL} AS lock_class, count(*) AS actions, count(*) FILTER (event_type = 'error') AS destructive, count(*) FILTER (event_type = 'purchase') AS rewrite, count(*) FILTER (event_type = 'error') AS non_transactional FROM events GROUP BY 1")
-def safety_report(spark, d):
-    return actions.safety_report(_flagged(spark, d))
-
-
-@query("SELECT 'dataLoss' AS hazard, 1::INTEGER AS place, count(*) AS n FROM events WHERE event_type = 'error' UNION ALL SELECT 'rewrite', 2, count(*) FROM events WHERE event_type = 'purchase' UNION ALL SELECT 'nonTransactional', 3, count(*) FROM events WHERE event_type = 'error' UNION ALL SELECT 'lock', 4, count(*) FROM events WHERE event_type IN ('error', 'signup')")
-def hazards(spark, d):
-    return actions.hazards(_flagged(spark, d))
-
-
-def _stats(spark, d, skip):
-    c = table(spark, d, "customer").where(f"c_custkey % {skip} <> 0 and not ({skip} = 13 and c_nationkey = 7)")
-    return c.groupBy(F.col("c_nationkey").alias("key")).agg(F.count(F.lit(1)).alias("rows"), F.lit("s").alias("signature"), F.sum("c_custkey").cast("string").alias("content"))
-
-
-STATS = "s{0} AS (SELECT c_nationkey AS key, count(*) AS rows, sum(c_custkey)::VARCHAR AS content FROM customer WHERE c_custkey % {0} <> 0 AND NOT ({0} = 13 AND c_nationkey = 7) GROUP BY 1)"
-
-
-@query("WITH " + STATS.format(11) + "," + STATS.format(13) + "SELECT key, CASE WHEN b.rows IS NULL THEN 'missing' WHEN a.rows <> b.rows THEN 'count' ELSE 'content' END AS violation FROM s11 a LEFT JOIN s13 b USING (key) WHERE b.rows IS NULL OR a.rows <> b.rows OR a.content <> b.content")
-def data_violations(spark, d):
-    return extraction.violations(_stats(spark, d, 11), _stats(spark, d, 13))
-
-
-@query("WITH " + STATS.format(11) + "," + STATS.format(13) + "SELECT key, CASE WHEN b.rows > 50 THEN b.rows ELSE a.rows END AS rows FROM s11 a FULL JOIN s13 b USING (key)")
-def seed_baseline(spark, d):
-    both = _stats(spark, d, 11).select("key", F.col("rows").alias("a")).join(_stats(spark, d, 13).select("key", F.col("rows").alias("b")), "key", "full")
-    return both.select("key", F.when(F.col("b") > 50, F.col("b")).otherwise(F.col("a")).alias("rows"))
-
-
-@query("SELECT source || '/' || doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN 'created' WHEN doc_id % 13 = 0 THEN 'stale' WHEN doc_id % 17 = 0 THEN 'updated' ELSE 'unchanged' END AS state FROM documents WHERE doc_id % 11 <> 0 OR doc_id % 13 <> 0")
-def file_classify(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.md5(F.col("text").cast("binary")).alias("content"))
-    new = docs.where("doc_id % 13 <> 0").withColumn("content", F.when(F.col("doc_id") % 17 == 0, F.lit("new")).otherwise(F.col("content")))
-    return extraction.classified_files(docs.where("doc_id % 11 <> 0"), new)
-
-
-@query("SELECT lower(p_name) AS folded, count(DISTINCT p_name) AS spellings, min(p_name) AS canonical, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS p_name FROM part) GROUP BY 1 HAVING count(DISTINCT p_name) > 1")
-def case_collisions(spark, d):
-    p = table(spark, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("p_name"))
-    return p.groupBy(F.lower("p_name").alias("folded")).agg(F.count_distinct("p_name").alias("spellings"), F.min("p_name").alias("canonical"), F.count(F.lit(1)).alias("n")).where("spellings > 1")
-
-
-@query("SELECT doc_id FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 = 0")
-def stale_files(spark, d):
-    docs = table(spark, d, "documents").select("doc_id")
-    return docs.where("doc_id % 11 <> 0").join(docs.where("doc_id % 13 <> 0"), "doc_id", "left_anti")
-
-
-@query(WITH + "SELECT id, (CASE kind WHEN 'region' THEN 0 WHEN 'nation' THEN 1 WHEN 'customer' THEN 2 ELSE 3 END)::INTEGER AS round FROM fa")
-def load_rounds(spark, d):
-    a = facts(spark, d, "a")
-    return extraction.load_rounds(a.select("id"), a.where("parent_id is not null").select("id", F.col("parent_id").alias("needs")))
-
-
-@query("SELECT l_orderkey, l_partkey, CASE WHEN p.n IS NULL THEN 'unresolved' WHEN p.n = 1 THEN 'unique' ELSE 'ambiguous' END AS state FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) LEFT JOIN (SELECT p_partkey % 1500 AS k, count(*) AS n FROM part GROUP BY 1) p ON l_partkey = k")
-def provider_match(spark, d):
-    from factloom.operators.statements import match_providers
-
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    parts = table(spark, d, "part").select((F.col("p_partkey") % 1500).alias("key"), F.col("p_partkey").alias("provider"))
-    return match_providers(lines.withColumn("key", F.col("l_partkey")), parts).select("l_orderkey", "l_partkey", "state")
-
-
-@query("SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
-def duplicate_producers(spark, d):
-    return table(spark, d, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
-@query("SELECT event_type, user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) = 1")
-def diagnostic_dedupe(spark, d):
-    e = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.max_by(F.struct("event_id", "value"), "event_id").alias("e"))
-    return e.select("event_type", "user_id", "e.event_id", "e.value")
-
-
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '^\\s*(create|alter|drop)\\b') THEN 'ddl' WHEN regexp_matches(lower(text), '^\\s*(the|is|of|was)\\b') THEN 'article' ELSE 'UNKNOWN' END AS class FROM conversations")
-def classify_text(spark, d):
-    from factloom.operators.statements import classify
-
-    return table(spark, d, "conversations").select("conv_id", "turn", classify(F.col("text"), [("ddl", r"(create|alter|drop)"), ("article", r"(the|is|of|was)")]).alias("class"))
-
-
-@query()
-def statement_split(spark, d):
-    from factloom.operators.statements import split_statements
-
-    return split_statements(table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("sql")))
-
-
-@query("WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS s, (n_nationkey * 7 + n_regionkey) % 25 AS t FROM nation), r AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s), n AS (SELECT s AS id FROM e UNION SELECT t FROM e) SELECT id, least(id, coalesce((SELECT min(x.t) FROM r x JOIN r y ON x.s = n.id AND y.s = x.t AND y.t = n.id), id)) AS component FROM n")
-def scc(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 7 + F.col("n_regionkey")) % 25).alias("dst")).distinct()
-    return graph.strong_components(n)
-
-
-@query("WITH x AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_suppkey % 2 = 0) SELECT l_orderkey, min(l_suppkey) AS first_consumer FROM x GROUP BY 1")
-def first_consumer(spark, d):
-    return table(spark, d, "lineitem").where("l_suppkey % 2 = 0").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("first_consumer"))
-
-
-@query("WITH e AS (SELECT 'order:' || o_orderkey AS from_id, 'role:' || CASE WHEN c_mktsegment = 'BUILDING' THEN 'HOUSING' ELSE c_mktsegment END AS to_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 11 <> 0 AND o_custkey % 11 <> 0) SELECT * FROM e")
-def identity_normalise(spark, d):
-    names = spark.createDataFrame([("role:BUILDING", "role:HOUSING")], "old string, new string")
-    return view.normalise_ids(edges(spark, d, "a").where("edge_kind = 'owner'"), names).select("from_id", "to_id")
-
-
-@query("SELECT event_type, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS script FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 3) GROUP BY 1")
-def render_files(spark, d):
-    r = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    e = table(spark, d, "events").withColumn("r", r).where("r <= 3")
-    return e.groupBy("event_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("script"))
-
-
-#: Forest queries that also run, as ``<name>_whole``, on the whole forest; the SQL of the plain names ends at orders.
-WHOLE = (
-    "diff_facts", "delta_counts", "diff_refonly", "diff_reparent", "diff_edges", "fact_hash", "dangling_edges", "rollup_facts", "structural_rollup", "root_hash",
-    "edge_signature", "baseline_subtract", "exclude_subtree", "provenance_exclude", "member_closure", "scope_projection", "policy_filter", "policy_predicates",
-    "projection_audit", "fact_depths", "roots", "ancestor_chain", "topo_level", "load_rounds",
-)
-
-QUERIES |= {f"{name}_whole": lambda spark, d, f=QUERIES[name]: f(spark, tables.Whole(d)) for name in WHOLE}
-
-
-@query()
-def project_target_whole(spark, d):
-    d = tables.Whole(d)
-    undone = _decided(spark, d).where("action = 'exclude'").select("verb", "id", "attr", "from_val", "to_val")
-    t = view.project_target(facts(spark, d, "b"), undone, facts(spark, d, "a"))
-    return t.select("id", canonical_map(F.col("payload")).alias("payload"))
-
-
-def _unfiltered(name: str, filters: str) -> str:
-    """The SQL of a plain name without a filter of keys that no operator needs."""
-    return ORACLE_SQL[name].replace(filters, "")
-
-
-@query(_unfiltered("acl_aggregate", "o_orderkey % 16 = 1 AND "))
-def acl_aggregate_whole(spark, d):
-    return _grants(spark, d, 11, "true")
-
-
-@query(_unfiltered("acl_delta", "o_orderkey % 16 = 1 AND "))
-def acl_delta_whole(spark, d):
-    return extraction.grants_against(_grants(spark, d, 11, "true"), _grants(spark, d, 13, "true"))
-
-
-@query(_unfiltered("default_priv_deviation", "o_orderkey % 16 = 1 AND "))
-def default_priv_deviation_whole(spark, d):
-    return extraction.deviations(_grants(spark, d, 11, "true").where("grantee <> 'BUILDING'"), _grants(spark, d, 13, "true"))
-
-
-@query(_unfiltered("action_edges", " WHERE l_partkey % 50 = 0"))
-def action_edges_whole(spark, d):
-    return _action_edges(spark, d, table(spark, d, "lineitem"))
-
-
-@query(_unfiltered("first_consumer", " WHERE l_suppkey % 2 = 0"))
-def first_consumer_whole(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("first_consumer"))
-
-
-@query("WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 11 <> 0 AND (p_partkey % 13 = 0 OR p_partkey % 17 = 0 OR p_partkey % 19 = 0)), l AS (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem l JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 11 <> 0 AND o_custkey % 11 <> 0) SELECT 'part:' || k AS id FROM p UNION ALL SELECT concat_ws('.', 'line:' || l_orderkey, l_linenumber, l_partkey, l_suppkey, i) FROM l JOIN p ON l_partkey = k")
-def rebuild_closure_whole(spark, d):
-    d = tables.Whole(d)
-    a, parts = facts(spark, d, "a"), F.col("kind") == "part"
-    start = diff.fact_deltas(a.where(parts), facts(spark, d, "b").where(parts)).where("verb <> 'add'").select("id").distinct()
-    back = edges(spark, d, "a").where("edge_kind = 'depends'").select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
-    return graph.reach(start, back.unionByName(view.child_edges(a)).distinct())
-
-
-@query()
-def scc_whole(spark, d):
-    """Users are linked to the user of the next event of their event's type and hour."""
-    w = Window.partitionBy("event_type", F.date_trunc("hour", F.col("ts"))).orderBy("ts", "event_id")
-    e = table(spark, d, "events").select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"))
-    return graph.strong_components(e.where("dst is not null").distinct())
-
-
-@query("WITH m AS (SELECT *, event_type = 'error' OR coalesce(lag(event_type) OVER w IN ('error', 'signup'), true) OR event_type = 'purchase' AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), i AS (SELECT *, sum(o::INT) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS island FROM m), r AS (SELECT *, ((row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) - 1) // 1000)::BIGINT AS piece FROM i) SELECT user_id, island, piece, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS script FROM r GROUP BY ALL")
-def render_files_whole(spark, d):
-    return actions.rendered(_plan_actions(spark, d), "event_id", ["user_id"])
-
-
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
-
-@query()
-def table_fingerprint_whole(spark, d):
-    out = None
-    for name in TABLES:
-        own = extraction.statistics(table(spark, d, name), F.lit(name)).select("key", "rows", "content")
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-@query()
-def data_violations_whole(spark, d):
-    c = table(spark, d, "customer")
-    changed = F.when(F.col("c_custkey") % 17 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
-    b = c.where("c_custkey % 13 <> 0 and c_nationkey <> 7").withColumn("c_acctbal", changed)
-    return extraction.violations(*(extraction.statistics(x, F.col("c_nationkey")) for x in (c.where("c_custkey % 11 <> 0"), b)))
-
-
-def _lone_whole(spark, d):
-    """Removed and added facts of all kinds below common ones or none, with their structural roll-up."""
-    d = tables.Whole(d)
-    a, b = (facts(spark, d, s) for s in "ab")
-    found = []
-    for side, own, other in (("a", a, b), ("b", b, a)):
-        lone = own.join(other.select("id"), "id", "left_anti")
-        top = lone.join(lone.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
-        structural = graph.rollups(own, edges(spark, d, side)).select("id", "structural")
-        found.append(top.select("id", "kind", F.coalesce("parent_id", F.lit("")).alias("parent_id"), "hash").join(structural, "id"))
-    return found
-
-
-@query()
-def rename_candidates_whole(spark, d):
-    return view.rename_candidates(*_lone_whole(spark, d), ["kind", "parent_id", "structural"])
-
-
-@query()
-def rename_near_miss_whole(spark, d):
-    return view.near_misses(*_lone_whole(spark, d), ["kind", "parent_id", "hash"], "structural")
+__all__ = ["ORACLE_SQL", "QUERIES", "catalogs", "extraction", "forest", "planning", "statements"]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.graph import cut, reach
+from factloom.operators.graph import cut, reach, union
 
 
 def changed_keys(both: DataFrame) -> DataFrame:
@@ -17,10 +17,24 @@ def changed_keys(both: DataFrame) -> DataFrame:
     return rows.where(~value_a.eqNullSafe(value_b)).select("id", "attr", value_a.alias("from_val"), value_b.alias("to_val"))
 
 
-def gone(own: DataFrame, other: DataFrame) -> DataFrame:
-    """Ids with an ancestor-or-self, along ``own``'s parents, that ``other`` lacks."""
-    lost = own.select("id").join(other.select("id"), "id", "left_anti")
-    return reach(lost, own.where("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("id").alias("dst")))
+def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``id, in_a, in_b, pa, pb, ha, hb, ref``: both sides' parents and hashes by id, without payloads, written once."""
+    own = lambda x, s: x.select("id", F.col("parent_id").alias(f"p{s}"), F.col("hash").alias(f"h{s}"), F.col("ref_only").alias(f"r{s}"), F.lit(True).alias(f"in_{s}"))
+    both = own(a, "a").join(own(b, "b"), "id", "full")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return cut(both.select("id", flag("in_a").alias("in_a"), flag("in_b").alias("in_b"), "pa", "pb", "ha", "hb", (flag("ra") | flag("rb")).alias("ref")))
+
+
+def gone(both: DataFrame, own: str, other: str) -> DataFrame:
+    """Ids with an ancestor-or-self, along ``own``'s parents, that ``other`` lacks.
+
+    What the other side lacks is known from ``both``; only common facts below
+    it are walked, from the last found ones downwards.
+    """
+    lost = both.where(f"in_{own} and not in_{other}").select("id")
+    common = both.where(f"in_{own} and in_{other} and p{own} is not null").select("id", F.col(f"p{own}").alias("p"))
+    first = common.join(lost.withColumnRenamed("id", "p"), "p", "left_semi").select("id")
+    return lost.unionByName(reach(first, common.select(F.col("p").alias("src"), F.col("id").alias("dst"))))
 
 
 def fact_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -30,31 +44,52 @@ def fact_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
     side; facts on both sides that a root reaches inside the common part are
     compared.  Where no parent differs that is all of the common part not gone
     on both sides' chains, which one full join finds.  Facts that either side
-    holds for reference only have no deltas of their own.
+    holds for reference only have no deltas of their own.  Payloads are read
+    only of facts whose hashes differ.
     """
-    refs = a.where("ref_only").select("id").unionByName(b.where("ref_only").select("id")).distinct()
-    moved = a.select("id", F.col("parent_id").alias("p")).join(b.select("id", F.col("parent_id").alias("q")), "id").where(~F.col("p").eqNullSafe(F.col("q")))
-    removed, added = gone(a, b), gone(b, a)
-    common = a.select("id").join(b.select("id"), "id")
-    if moved.take(1):
-        steps = a.unionByName(b).where("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("id").alias("dst")).distinct()
-        inside = steps.join(common.withColumnRenamed("id", "src"), "src", "left_semi").join(common.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        roots = a.where("parent_id is null").select("id").unionByName(b.where("parent_id is null").select("id")).distinct()
-        compared = reach(roots.join(common, "id", "left_semi"), inside)
+    both = aligned(a, b)
+    removed, added = cut(gone(both, "a", "b")), cut(gone(both, "b", "a"))
+    common = both.where("in_a and in_b")
+    if common.where("not pa <=> pb").take(1):
+        steps = union([both.where(f"p{s} is not null").select(F.col(f"p{s}").alias("src"), F.col("id").alias("dst")) for s in "ab"]).distinct()
+        ids = common.select("id")
+        inside = cut(steps.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+        compared = common.join(reach(common.where("pa is null or pb is null").select("id"), inside), "id", "left_semi")
     else:
         compared = common.join(removed, "id", "left_anti").join(added, "id", "left_anti")
-    pairs = compared.join(a.select("id", F.col("payload").alias("a"), F.col("hash").alias("h")), "id").join(b.select("id", F.col("payload").alias("b"), F.col("hash").alias("g")), "id")
-    sets = changed_keys(pairs.where("h <> g")).select(F.lit("set").alias("verb"), "id", "attr", "from_val", "to_val")
+    differ = cut(compared.where("ha <> hb and not ref").select("id"))
+    pairs = differ.join(a.select("id", F.col("payload").alias("a")), "id").join(b.select("id", F.col("payload").alias("b")), "id")
+    sets = changed_keys(pairs).select(F.lit("set").alias("verb"), "id", "attr", "from_val", "to_val")
     none = F.lit(None).cast("string")
-    whole = [x.select(F.lit(verb).alias("verb"), "id", none.alias("attr"), none.alias("from_val"), none.alias("to_val")) for verb, x in (("remove", removed), ("add", added))]
-    return whole[0].unionByName(whole[1]).unionByName(sets).join(refs, "id", "left_anti").select("verb", "id", "attr", "from_val", "to_val")
+    refs = both.where("ref").select("id")
+    whole = [x.join(refs, "id", "left_anti").select(F.lit(verb).alias("verb"), "id", none.alias("attr"), none.alias("from_val"), none.alias("to_val")) for verb, x in (("remove", removed), ("add", added))]
+    return union([*whole, sets])
 
 
-def edge_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``verb, from_id, edge_kind, to_id``: link where only ``b`` has the edge, unlink where only ``a`` has it."""
+def edge_deltas(a: DataFrame, b: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """``verb, from_id, edge_kind, to_id``: link where only ``b`` has the edge, unlink where only ``a`` has it.
+
+    Edges that leave a fact of ``refs(id)``, which either side holds for reference only, have no delta.
+    """
     keys = ["from_id", "edge_kind", "to_id"]
     both = a.select(*keys).distinct().withColumn("_a", F.lit(True)).join(b.select(*keys).distinct().withColumn("_b", F.lit(True)), keys, "full")
-    return both.where("_a is null or _b is null").select(F.when(F.col("_a").isNull(), "link").otherwise("unlink").alias("verb"), *keys)
+    found = both.where("_a is null or _b is null").select(F.when(F.col("_a").isNull(), "link").otherwise("unlink").alias("verb"), *keys)
+    return found if refs is None else found.join(refs.select(F.col("id").alias("from_id")), "from_id", "left_anti").select("verb", *keys)
+
+
+def unequal(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``id`` of the facts outside equal subtrees, by stored roll-ups ``(id, rollup)``.
+
+    A roll-up covers all that lies below, so a fact of equal roll-ups and all
+    its descendants need no visit: a join by id leaves them out at once.
+    """
+    both = a.select("id", F.col("rollup").alias("ra")).join(b.select("id", F.col("rollup").alias("rb")), "id", "full")
+    return both.where("not ra <=> rb").select("id")
+
+
+def delta_key(verb: str = "verb") -> Column:
+    """Sort key of a delta: subject, verb, attribute."""
+    return F.concat_ws("|", F.col("id"), F.col(verb), F.coalesce("attr", F.lit("")))
 
 
 def apply_deltas(a: DataFrame, deltas: DataFrame, b: DataFrame) -> DataFrame:
@@ -66,6 +101,3 @@ def apply_deltas(a: DataFrame, deltas: DataFrame, b: DataFrame) -> DataFrame:
     new = F.map_from_entries(F.filter("s", lambda x: x["to_val"].isNotNull()))
     kept = named.select("id", F.when(F.col("s").isNull(), F.col("payload")).otherwise(F.map_concat(dropped, new)).alias("payload"))
     return kept.unionByName(b.select("id", "payload").join(deltas.where("verb = 'add'").select("id").distinct(), "id", "left_semi"))
-
-
-__all__ = ["apply_deltas", "changed_keys", "cut", "edge_deltas", "fact_deltas", "gone"]

@@ -1,98 +1,120 @@
 """Roll-ups, closures, levels and components over forests and edge relations.
 
-Loops advance a frontier; each round is written to the session's checkpoint
-folder, which the executors share, so that plans stay small and a lost
-executor costs one round at most.
+Loops advance a frontier; each round is written to the shared folder, so that
+plans stay small and a lost executor costs one round at most.
 """
 
 from __future__ import annotations
 
-import tempfile
+import heapq
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.canonical import multiset_hash
+from factloom.storage import materialize
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factloom-"))
-    return df.checkpoint()
+    """``df``, written to the shared folder and read back."""
+    return materialize(df, "cut")
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def empty_like(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([], df.schema)
+
+
+def child_edges(facts: DataFrame) -> DataFrame:
+    """``src, dst``: parent and child."""
+    return facts.where("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("id").alias("dst"))
+
+
+def parent_edges(facts: DataFrame) -> DataFrame:
+    """``src, dst``: child and parent."""
+    return facts.where("parent_id is not null").select(F.col("id").alias("src"), F.col("parent_id").alias("dst"))
 
 
 def depths(facts: DataFrame) -> DataFrame:
     """``id, depth`` of every fact that a root reaches; facts on a parent cycle have none."""
     parents = facts.select("id", "parent_id")
-    level = cut(parents.where("parent_id is null").select("id", F.lit(0).alias("depth")))
-    found, depth = level, 0
-    while level.take(1):
-        depth += 1
-        level = cut(parents.join(level.select(F.col("id").alias("parent_id")), "parent_id").select("id", F.lit(depth).alias("depth")))
-        found = found.unionByName(level)
-    return found
+    levels = [cut(parents.where("parent_id is null").select("id", F.lit(0).alias("depth")))]
+    while levels[-1].take(1):
+        levels.append(cut(parents.join(levels[-1].select(F.col("id").alias("parent_id")), "parent_id").select("id", F.lit(len(levels)).alias("depth"))))
+    return union(levels)
 
 
-def ancestors(facts: DataFrame) -> DataFrame:
-    """``id, ancestor, distance``: every fact with itself and the chain above it."""
+def ancestors(facts: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``id, ancestor, distance``: each fact, or each of ``of(id)``, with itself and the chain above it.
+
+    One row per fact and level is its result; where only the ids above are
+    wanted, ``reach`` along ``parent_edges`` keeps one row per id.
+    """
     parents = facts.where("parent_id is not null").select(F.col("id").alias("ancestor"), "parent_id")
-    level = facts.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
-    found, distance = level, 0
+    start = (facts if of is None else of).select("id")
+    levels = [start.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))]
     while True:
-        distance += 1
-        level = cut(level.join(parents, "ancestor").select("id", F.col("parent_id").alias("ancestor"), F.lit(distance).alias("distance")).where("ancestor <> id"))
-        if not level.take(1):
-            return found
-        found = found.unionByName(level)
+        up = levels[-1].join(parents, "ancestor").select("id", F.col("parent_id").alias("ancestor"), F.lit(len(levels)).alias("distance"))
+        levels.append(cut(up.where("ancestor <> id")))
+        if not levels[-1].take(1):
+            return union(levels[:-1])
 
 
 def reach(start: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """``id`` reached from ``start(id)`` along ``edges(src, dst)``; nodes of ``stop(id)`` are never entered.
 
-    Edges may form cycles: a node is visited once.
+    Edges may form cycles: a node is visited once.  A round joins the edges
+    with the last frontier only.
     """
     if stop is not None:
         edges = edges.join(stop.select(F.col("id").alias("dst")), "dst", "left_anti")
-    seen = cut(start.select("id").distinct())
-    frontier = seen
+    seen = [cut(start.select("id").distinct())]
     while True:
-        frontier = cut(edges.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
-        if not frontier.take(1):
-            return seen
-        seen = cut(seen.unionByName(frontier))
+        found = edges.join(seen[-1].withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        seen.append(cut(found.join(union(seen), "id", "left_anti")))
+        if not seen[-1].take(1):
+            return union(seen[:-1])
+        if len(seen) > 20:
+            seen = [cut(union(seen[:-1])), seen[-1]]
 
 
 def rollups(facts: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, depth, rollup, structural`` bottom-up, one aggregate per depth.
+    """``id, parent_id, depth, rollup, structural`` bottom-up, one aggregate per depth.
 
     ``facts(id, parent_id, hash)``, ``edges(from_id, to_id, edge_kind)``.  The
     roll-up covers content, ids of children and outgoing edges; the structural
-    one leaves ids and edges out.
+    one leaves ids and edges out.  Children and edges enter as multisets: sums
+    of their hashes, which each task adds up for itself, so that a parent of
+    any number of children stays one small row.
     """
-    signature = edges.groupBy(F.col("from_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list(F.concat("from_id", F.lit("-["), "edge_kind", F.lit("]->"), "to_id"))), ",").alias("e"))
-    nodes = cut(facts.join(depths(facts), "id").join(signature, "id", "left").select("id", "parent_id", "hash", "depth", F.coalesce("e", F.lit("")).alias("e")))
+    edge = F.sha2(F.concat("from_id", F.lit("-["), "edge_kind", F.lit("]->"), "to_id").cast("binary"), 256)
+    signature = edges.select(F.col("from_id").alias("id"), edge.alias("h")).groupBy("id").agg(multiset_hash(F.col("h")).alias("e"))
+    nodes = cut(facts.select("id", "parent_id", "hash").join(depths(facts), "id").join(signature, "id", "left"))
     top = nodes.agg(F.max("depth")).first()[0]
-    below, out = None, None
+    none = F.lit("")
+    out: list[DataFrame] = []
     for depth in range(-1 if top is None else top, -1, -1):
         own = nodes.where(F.col("depth") == depth)
-        if below is None:
-            own = own.select("*", F.lit("").alias("c"), F.lit("").alias("s"))
+        if out:
+            child = F.sha2(F.concat("id", F.lit("="), "rollup").cast("binary"), 256)
+            children = out[-1].select(F.col("parent_id").alias("id"), child.alias("r"), "structural").groupBy("id").agg(multiset_hash(F.col("r")).alias("c"), multiset_hash(F.col("structural")).alias("s"))
+            own = own.join(children, "id", "left")
         else:
-            children = below.groupBy(F.col("parent_id").alias("id")).agg(
-                F.array_join(F.sort_array(F.collect_list(F.concat("id", F.lit("="), "rollup"))), ",").alias("c"), F.array_join(F.sort_array(F.collect_list("structural")), ",").alias("s")
-            )
-            own = own.join(children, "id", "left").withColumns({"c": F.coalesce("c", F.lit("")), "s": F.coalesce("s", F.lit(""))})
-        rollup = F.sha2(F.concat(F.lit("F|"), "hash", F.lit("|C|"), "c", F.lit("|E|"), "e").cast("binary"), 256)
-        structural = F.sha2(F.concat(F.lit("S|"), "hash", F.lit("|C|"), "s").cast("binary"), 256)
-        below = cut(own.select("id", "parent_id", "depth", rollup.alias("rollup"), structural.alias("structural")))
-        out = below if out is None else out.unionByName(below)
-    return out if out is not None else nodes.select("id", "parent_id", "depth", F.col("hash").alias("rollup"), F.col("hash").alias("structural"))
+            own = own.withColumns({"c": none, "s": none})
+        rollup = F.sha2(F.concat(F.lit("F|"), "hash", F.lit("|C|"), F.coalesce("c", none), F.lit("|E|"), F.coalesce("e", none)).cast("binary"), 256)
+        structural = F.sha2(F.concat(F.lit("S|"), "hash", F.lit("|C|"), F.coalesce("s", none)).cast("binary"), 256)
+        out.append(cut(own.select("id", "parent_id", "depth", rollup.alias("rollup"), structural.alias("structural"))))
+    return union(out) if out else nodes.select("id", "parent_id", "depth", F.col("hash").alias("rollup"), F.col("hash").alias("structural"))
 
 
 def root_hash(rolled: DataFrame) -> DataFrame:
-    """One row: the hash over the sorted roots."""
-    roots = F.array_join(F.sort_array(F.collect_list(F.concat("id", F.lit("="), "rollup"))), ",")
-    return rolled.where("parent_id is null").agg(F.sha2(F.concat(F.lit("ROOT|"), roots).cast("binary"), 256).alias("root_hash"))
+    """One row: the hash over the multiset of roots; null for an empty snapshot."""
+    root = F.sha2(F.concat("id", F.lit("="), "rollup").cast("binary"), 256)
+    return rolled.where("parent_id is null").select(root.alias("h")).agg(multiset_hash(F.col("h")).alias("m")).select(F.sha2(F.concat(F.lit("ROOT|"), "m").cast("binary"), 256).alias("root_hash"))
 
 
 def edge_signature(edges: DataFrame) -> DataFrame:
@@ -100,54 +122,166 @@ def edge_signature(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("from_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_set(F.concat("edge_kind", F.lit("->"), "to_id"))), "|").alias("signature"))
 
 
-def levels(edges: DataFrame) -> DataFrame:
-    """``id, level``: length of the longest path that ends at each node of an acyclic ``edges(src, dst)``."""
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    level = cut(nodes.select("id", F.lit(0).alias("level")))
-    for _ in range(nodes.count() + 1):
-        up = edges.join(level.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg((F.max("level") + 1).alias("up"))
-        after = cut(level.join(up, "id", "left").select("id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), (F.coalesce("up", F.lit(0)) > F.col("level")).alias("moved")))
-        level = after.select("id", "level")
-        if not after.where("moved").take(1):
-            return level
-    raise ValueError("the graph has a cycle")
+def edge_digest(edges: DataFrame) -> DataFrame:
+    """``id, signature``: a hash of each fact's set of ``kind->to``, for comparing only; no list is gathered."""
+    edge = F.sha2(F.concat("edge_kind", F.lit("->"), "to_id").cast("binary"), 256)
+    return edges.select(F.col("from_id").alias("id"), edge.alias("h")).distinct().groupBy("id").agg(multiset_hash(F.col("h")).alias("signature"))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
+    """``id, level``: length of the longest path that ends at each node of an acyclic ``edges(src, dst)``.
+
+    Peels sources: a round joins the edges with the nodes it has just placed,
+    each edge once in all.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    waiting = cut(edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")))
+    placed = [cut(nodes.join(waiting, "id", "left_anti").select("id", F.lit(0).alias("level")))]
+    while placed[-1].take(1):
+        done = edges.join(placed[-1].select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("done"))
+        left = cut(waiting.join(done, "id", "left").select("id", (F.col("n") - F.coalesce("done", F.lit(0))).alias("n")))
+        placed.append(cut(left.where("n = 0").select("id", F.lit(len(placed)).alias("level"))))
+        waiting = left.where("n > 0")
+    if waiting.take(1):
+        raise ValueError("the graph has a cycle")
+    return union(placed)
+
+
+#: Edges up to which the driver finds strong components.
+DRIVER_EDGES = 400_000
+
+
+def tarjan(edges: list[tuple]) -> dict:
+    """The least node of each node's strong component; one walk, without recursion."""
+    after: dict = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+        after.setdefault(b, [])
+    number, low, out, held, inside = {}, {}, {}, [], set()
+    for root in after:
+        if root in number:
+            continue
+        walk = [(root, iter(after[root]))]
+        number[root] = low[root] = len(number)
+        held.append(root)
+        inside.add(root)
+        while walk:
+            node, rest = walk[-1]
+            for to in rest:
+                if to not in number:
+                    number[to] = low[to] = len(number)
+                    held.append(to)
+                    inside.add(to)
+                    walk.append((to, iter(after[to])))
+                    break
+                if to in inside:
+                    low[node] = min(low[node], number[to])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == number[node]:
+                    members = [held.pop()]
+                    while members[-1] != node:
+                        members.append(held.pop())
+                    inside.difference_update(members)
+                    out |= dict.fromkeys(members, min(members))
+    return out
+
+
+def strong_components(edges: DataFrame, most: int = DRIVER_EDGES) -> DataFrame:
     """``id, component``: least node of the strong component.
 
-    Each round gives every node the least node that reaches it, its colour; what
-    reaches that node within the colour is its component, and goes.  Rounds turn
-    the edges about.  No pairs of the closure are kept, only nodes and edges.
+    Up to ``most`` edges the driver walks the graph.  Beyond, nodes without an edge in, or out, are components of their own and go first.
+    Then each round gives every node the least node that reaches it, its
+    colour; what reaches that node within the colour is its component, and
+    goes.  Rounds turn the edges about.  No pairs of the closure are kept, only
+    nodes and edges.
     """
+    edges = cut(edges.select("src", "dst").distinct())
+    if edges.count() <= most:
+        kind = edges.schema["src"].dataType.simpleString()
+        found = tarjan([(r[0], r[1]) for r in edges.collect()])
+        return edges.sparkSession.createDataFrame(sorted(found.items()), f"id {kind}, component {kind}")
     rest = cut(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
     left = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    done = None
+    done: list[DataFrame] = []
+    while True:
+        trimmed = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if trimmed.count() == left.count():
+            break
+        left = trimmed
+    inner = cut(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    done.append(rest.join(inner, "id", "left_anti").select("id", F.col("id").alias("component")))
+    rest = inner
     while rest.take(1):
         colour = cut(rest.select("id", F.col("id").alias("component")))
-        while True:
-            least = left.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("m"))
+        moved = colour
+        while moved.take(1):
+            least = left.join(moved.select(F.col("id").alias("src"), "component"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("m"))
             after = cut(colour.join(least, "id", "left").select("id", F.least("component", "m").alias("component"), F.coalesce(F.col("m") < F.col("component"), F.lit(False)).alias("moved")))
-            colour = after.select("id", "component")
-            if not after.where("moved").take(1):
-                break
+            colour, moved = after.select("id", "component"), after.where("moved").select("id", "component")
         ends = left.join(colour.select(F.col("id").alias("src"), F.col("component").alias("c")), "src").join(colour.select(F.col("id").alias("dst"), F.col("component").alias("e")), "dst")
         # Turned about: the way back to each colour's node, and the next round's direction.
         left = cut(ends.where("c = e").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         found = cut(colour.join(reach(colour.where("id = component").select("id"), left), "id", "left_semi"))
-        done = found if done is None else done.unionByName(found)
+        done.append(found)
         rest = cut(rest.join(found.select("id"), "id", "left_anti"))
         left = cut(left.join(rest.withColumnRenamed("id", "src"), "src", "left_semi").join(rest.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
-    return done if done is not None else rest.select("id", F.col("id").alias("component"))
+    return union(done)
+
+
+def condensation(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components (``id, component``) and the acyclic edges (``src, dst``) between them."""
+    named = cut(strong_components(edges))
+    ends = edges.join(named.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(named.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst")
+    return named, ends.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
+def paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``src, dst, reached`` of ``pairs(src, dst)``: whether edges lead from one to the other.
+
+    Frontiers are kept per asked source; pairs that are settled ask no further.
+    """
+    asked = cut(pairs.select("src", "dst").distinct())
+    seen = [cut(asked.select(F.col("src").alias("root"), F.col("src").alias("id")).distinct())]
+    while seen[-1].take(1):
+        step = seen[-1].join(edges.select(F.col("src").alias("id"), F.col("dst").alias("to")), "id").select("root", F.col("to").alias("id")).distinct()
+        found = asked.join(union(seen).select(F.col("root").alias("src"), F.col("id").alias("dst")), ["src", "dst"], "left_anti").select(F.col("src").alias("root")).distinct()
+        seen.append(cut(step.join(union(seen), ["root", "id"], "left_anti").join(found, "root", "left_semi")))
+    if len(seen) == 1:
+        return asked.select("src", "dst", (F.col("src") == F.col("dst")).alias("reached"))
+    hit = union(seen[1:]).select(F.col("root").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("hit")).distinct()
+    return asked.join(hit, ["src", "dst"], "left").select("src", "dst", (F.coalesce("hit", F.lit(False)) | (F.col("src") == F.col("dst"))).alias("reached"))
 
 
-def kahn(nodes: list[tuple[int, str]], edges: list[tuple[int, int]]) -> list[int]:
-    """Topological order of a plan's actions, least key first; raises on a cycle.
+def topmost(ids: DataFrame, facts: DataFrame) -> DataFrame:
+    """Those of ``ids(id)`` that lie below no other of them."""
+    below = reach(facts.where("parent_id is not null").join(ids.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id"), child_edges(facts))
+    return ids.join(below, "id", "left_anti")
 
-    Sequential by nature: plans are small and held by the driver.
+
+def numbered(df: DataFrame, *by: Column | str, name: str = "position") -> DataFrame:
+    """Add the place of each row in the order of ``by``, from 0, without a task that sees all rows.
+
+    A range sort deals the rows; each partition's offset is the count of those
+    before it, a row per partition.
     """
-    import heapq
+    placed = cut(df.orderBy(*by).withColumn("_at", F.monotonically_increasing_id()))
+    counts = placed.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(offsets, F.shiftright("_at", 33) == F.col("_part")).withColumn(name, F.col("_offset") + inside).drop("_at", "_part", "_n", "_offset")
+
+
+def kahn(nodes: list[tuple[int, str]], edges: list[tuple[int, int]], cycles_last: bool = False) -> list[int]:
+    """Topological order of a plan's actions, least key first.
 
+    A cycle raises, or, with ``cycles_last``, its nodes and what waits for them
+    are left out.
+    """
     keys, after, waiting = dict(nodes), {}, {n: 0 for n, _ in nodes}
     for a, b in {e for e in edges if e[0] != e[1]}:
         after.setdefault(a, []).append(b)
@@ -162,13 +296,13 @@ def kahn(nodes: list[tuple[int, str]], edges: list[tuple[int, int]]) -> list[int
             waiting[m] -= 1
             if not waiting[m]:
                 heapq.heappush(ready, (keys[m], m))
-    if len(order) < len(nodes):
+    if len(order) < len(nodes) and not cycles_last:
         raise ValueError(f"cycle among {sorted(set(keys) - set(order))}")
     return order
 
 
 def islands(df: DataFrame, starts: Column, order: str, by: list[str]) -> DataFrame:
     """Add ``island``: the number of starts up to each row of its group, in order."""
-    from pyspark.sql import Window
-
     return df.withColumn("island", F.sum(starts.cast("int")).over(Window.partitionBy(*by).orderBy(order)).cast("long"))
+
+

@@ -1,4 +1,4 @@
-"""Statements in text: splitting, classes, annotations, providers."""
+"""Statements in text: splitting, classes, references, providers, order."""
 
 from __future__ import annotations
 
@@ -6,12 +6,79 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.graph import condensation, cut, kahn, levels, numbered, paths, reach, union
+
 _token = re.compile(r"--[^\n]*|/\*|\*/|'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|\$([A-Za-z_]\w*)?\$|;")
 #: Fixed value: the prefix of a comment line that carries directives.
 ANNOTATION = r"^--\s*@(\w+)\s*:\s*(.*)$"
+#: Statements up to which the driver gives the exact order.
+DRIVER_STATEMENTS = 400_000
+
+_name = r'(?:"(?:[^"]|"")+"|[a-z_][\w$]*)'
+NAME = rf"(?:{_name}\s*\.\s*)?{_name}"
+_maybe = r"(?:if\s+(?:not\s+)?exists\s+)?"
+
+#: Classes of statements by their first words, with phase and weight; the first that fits counts.
+CLASSES = (
+    ("CREATE_SCHEMA", r"create\s+schema", "bootstrap", 1), ("CREATE_LANGUAGE", r"create\s+(or\s+replace\s+)?(trusted\s+)?(procedural\s+)?language", "bootstrap", 3),
+    ("CREATE_EXTENSION", r"create\s+extension", "bootstrap", 2), ("CREATE_FOREIGN_DATA_WRAPPER", r"create\s+foreign\s+data\s+wrapper", "bootstrap", 4),
+    ("CREATE_FOREIGN_SERVER", r"create\s+server", "bootstrap", 5), ("CREATE_TYPE", r"create\s+type", "pre_data", 10), ("CREATE_ROLE", r"create\s+(role|user(?!\s+mapping)|group)", "bootstrap", 0),
+    ("CREATE_PUBLICATION", r"create\s+publication", "post_data", 47), ("ALTER_PUBLICATION", r"alter\s+publication", "post_data", 48),
+    ("CREATE_SUBSCRIPTION", r"create\s+subscription", "post_data", 49), ("ALTER_SUBSCRIPTION", r"alter\s+subscription", "post_data", 50),
+    ("CREATE_DOMAIN", r"create\s+domain", "pre_data", 11), ("CREATE_COLLATION", r"create\s+collation", "pre_data", 12),
+    ("CREATE_SEQUENCE", r"create\s+(temp(orary)?\s+|unlogged\s+)?sequence", "pre_data", 13), ("ALTER_OWNER", r"alter\s+(?!default|table)\w+(\s+view)?\s+[^;]*\bowner\s+to", "privileges", 53),
+    ("ALTER_SEQUENCE", r"alter\s+sequence", "pre_data", 14), ("CREATE_MATERIALIZED_VIEW", r"create\s+materialized\s+view", "post_data", 41),
+    ("CREATE_TABLE", r"create\s+((global\s+|local\s+)?temp(orary)?\s+|unlogged\s+|foreign\s+)?table", "data_structures", 20), ("ALTER_TABLE", r"alter\s+(foreign\s+)?table", "data_structures", 21),
+    ("CREATE_INDEX", r"create\s+(unique\s+)?index", "post_data", 42), ("CREATE_FUNCTION", r"create\s+(or\s+replace\s+)?function", "routines", 30),
+    ("CREATE_PROCEDURE", r"create\s+(or\s+replace\s+)?procedure", "routines", 31), ("CREATE_AGGREGATE", r"create\s+(or\s+replace\s+)?aggregate", "routines", 32),
+    ("CREATE_VIEW", r"create\s+(or\s+replace\s+)?(temp(orary)?\s+)?(recursive\s+)?view", "post_data", 40), ("CREATE_EVENT_TRIGGER", r"create\s+event\s+trigger", "post_data", 45),
+    ("CREATE_TRIGGER", r"create\s+(or\s+replace\s+)?(constraint\s+)?trigger", "post_data", 43), ("CREATE_RULE", r"create\s+(or\s+replace\s+)?rule", "post_data", 44),
+    ("CREATE_POLICY", r"create\s+policy", "post_data", 46), ("ALTER_DEFAULT_PRIVILEGES", r"alter\s+default\s+privileges", "privileges", 57), ("GRANT", r"grant", "privileges", 55),
+    ("REVOKE", r"revoke", "privileges", 56), ("SELECT", r"(select|with|values)", "post_data", 51), ("UPDATE", r"update", "post_data", 52), ("DO", r"do", "bootstrap", 7),
+    ("VARIABLE_SET", r"(set|reset)", "bootstrap", 6), ("COMMENT", r"comment\s+on", "privileges", 54),
+)
+#: Weights of the phases.
+PHASES = {"bootstrap": 0, "pre_data": 1, "data_structures": 2, "routines": 3, "post_data": 4, "privileges": 5}
+
+#: What a class of statement provides: kind, and the pattern of its name.
+PROVIDES = {
+    "CREATE_SCHEMA": ("schema", rf"schema\s+{_maybe}(?!authorization)({NAME})"), "CREATE_EXTENSION": ("extension", rf"extension\s+{_maybe}({NAME})"), "CREATE_LANGUAGE": ("language", rf"language\s+({NAME})"),
+    "CREATE_FOREIGN_DATA_WRAPPER": ("foreign_data_wrapper", rf"wrapper\s+({NAME})"), "CREATE_FOREIGN_SERVER": ("foreign_server", rf"server\s+{_maybe}({NAME})"),
+    "CREATE_TYPE": ("type", rf"type\s+({NAME})"), "CREATE_ROLE": ("role", rf"(?:role|user|group)\s+({NAME})"), "CREATE_DOMAIN": ("domain", rf"domain\s+({NAME})"),
+    "CREATE_COLLATION": ("collation", rf"collation\s+{_maybe}({NAME})"), "CREATE_SEQUENCE": ("sequence", rf"sequence\s+{_maybe}({NAME})"), "CREATE_TABLE": ("table", rf"table\s+{_maybe}({NAME})"),
+    "CREATE_INDEX": ("index", rf"index\s+(?:concurrently\s+)?{_maybe}({NAME})\s+on\b"), "CREATE_FUNCTION": ("function", rf"function\s+({NAME})"), "CREATE_PROCEDURE": ("procedure", rf"procedure\s+({NAME})"),
+    "CREATE_AGGREGATE": ("aggregate", rf"aggregate\s+({NAME})"), "CREATE_VIEW": ("view", rf"view\s+({NAME})"), "CREATE_MATERIALIZED_VIEW": ("materialized_view", rf"view\s+{_maybe}({NAME})"),
+    "CREATE_TRIGGER": ("trigger", rf"trigger\s+({NAME})"), "CREATE_EVENT_TRIGGER": ("event_trigger", rf"trigger\s+({NAME})"), "CREATE_RULE": ("rule", rf"rule\s+({NAME})"),
+    "CREATE_POLICY": ("policy", rf"policy\s+({NAME})"), "CREATE_PUBLICATION": ("publication", rf"publication\s+({NAME})"), "CREATE_SUBSCRIPTION": ("subscription", rf"subscription\s+({NAME})"),
+}
+#: What statements require: kind, pattern of the name, and the classes that it is looked for in (none: all).
+REQUIRES = (
+    ("table", rf"\breferences\s+({NAME})", ("CREATE_TABLE", "ALTER_TABLE")), ("table", rf"\binherits\s*\(\s*({NAME})", ("CREATE_TABLE",)), ("table", rf"\bpartition\s+of\s+({NAME})", ("CREATE_TABLE",)),
+    ("table", rf"\b(?:from|join)\s+({NAME})(?!\s*\()", ("CREATE_VIEW", "CREATE_MATERIALIZED_VIEW", "SELECT")), ("table", rf"\bon\s+(?:only\s+)?({NAME})", ("CREATE_INDEX", "CREATE_TRIGGER", "CREATE_POLICY")),
+    ("table", rf"\bto\s+({NAME})\s+do\b", ("CREATE_RULE",)), ("table", rf"^\s*alter\s+(?:foreign\s+)?table\s+{_maybe}(?:only\s+)?({NAME})", ("ALTER_TABLE",)), ("table", rf"^\s*update\s+(?:only\s+)?({NAME})", ("UPDATE",)),
+    ("table", rf"\bon\s+(?:table\s+)({NAME})", ("GRANT", "REVOKE", "COMMENT")), ("function", rf"\bexecute\s+(?:function|procedure)\s+({NAME})", ("CREATE_TRIGGER", "CREATE_EVENT_TRIGGER")),
+    ("role", rf"\b(?:owner\s+to|authorization)\s+({NAME})", ()), ("role", rf"\bto\s+({NAME})\s*;?\s*$", ("GRANT",)), ("role", rf"\bfrom\s+({NAME})\s*;?\s*$", ("REVOKE",)),
+    ("sequence", rf"^\s*alter\s+sequence\s+{_maybe}({NAME})", ("ALTER_SEQUENCE",)), ("table", rf"\bowned\s+by\s+({NAME})\s*\.", ("CREATE_SEQUENCE", "ALTER_SEQUENCE")),
+    ("foreign_data_wrapper", rf"\bforeign\s+data\s+wrapper\s+({NAME})", ("CREATE_FOREIGN_SERVER",)), ("foreign_server", rf"\bserver\s+({NAME})", ("CREATE_TABLE",)), ("publication", rf"^\s*alter\s+publication\s+({NAME})", ("ALTER_PUBLICATION",)),
+    ("table", rf"\bfor\s+table\s+(?:only\s+)?({NAME})", ("CREATE_PUBLICATION",)),
+)
+#: Kinds that may stand for a required kind besides itself.
+COMPATIBLE = {
+    "table": ("view", "materialized_view"), "function": ("procedure", "aggregate"), "procedure": ("function",), "type": ("domain", "table", "view", "materialized_view"),
+}
+#: Names of types that mean the same.
+ALIASES = {
+    "bigint": "int8", "smallint": "int2", "integer": "int4", "int": "int4", "real": "float4", "double precision": "float8", "boolean": "bool", "character": "bpchar",
+    "character varying": "varchar", "timestamp without time zone": "timestamp", "timestamp with time zone": "timestamptz", "serial": "int4", "bigserial": "int8", "smallserial": "int2",
+}
+#: Types of parameters that take any argument.
+POLYMORPHIC = (
+    "any", "anyarray", "anycompatible", "anycompatiblearray", "anycompatiblenonarray", "anycompatiblemultirange", "anycompatiblerange", "anyelement", "anyenum",
+    "anymultirange", "anynonarray", "anyrange",
+)
 
 
 def statements(sql: str) -> Iterator[tuple[int, int, str]]:
@@ -53,14 +120,40 @@ def split_statements(files: DataFrame) -> DataFrame:
     return files.select("file", "sql").mapInArrow(split, f"file {kind}, place int, start long, end long, statement string")
 
 
-def classify(text: Column, classes: list[tuple[str, str]], otherwise: str = "UNKNOWN") -> Column:
-    """The first class whose leading keywords match, in any case."""
+def masked(text: Column) -> Column:
+    """Comments, literals and dollar quotes as blanks; what is left can be searched."""
+    return F.regexp_replace(text, r"(?s)--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|(\$(?:[A-Za-z_]\w*)?\$).*?\1", " ")
+
+
+def forbidden(statements_: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """``file, place, code`` of the statements in which a forbidden pattern occurs outside comments and literals."""
+    text = F.lower(masked(F.col("statement")))
+    hits = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(code)) for code, p in patterns.items()]))
+    return statements_.select("file", "place", F.explode(hits).alias("code"))
+
+
+def classify(text: Column, classes: list[tuple[str, str]] | None = None, otherwise: str = "UNKNOWN") -> Column:
+    """The first class whose leading words match, in any case."""
     out = F.lit(otherwise)
-    for name, pattern in reversed(classes):
+    for name, pattern in reversed(classes or [(c[0], c[1]) for c in CLASSES]):
         out = F.when(F.coalesce(F.lower(text).rlike(rf"^\s*{pattern}\b"), F.lit(False)), name).otherwise(out)
     return out
 
 
+def phase(kind: Column) -> Column:
+    """The phase of a class; unknown statements are taken as data structures."""
+    table = F.create_map(*[F.lit(x) for c, _, p, _ in CLASSES for x in (c, p)])
+    return F.coalesce(F.try_element_at(table, kind), F.lit("data_structures"))
+
+
+def statement_key(kind: Column, path: Column, place: Column, named: Column | None = None) -> Column:
+    """Sort key: phase (or the one that an annotation names), class, path, place, class name."""
+    weights = F.create_map(*[F.lit(x) for c, _, _, w in CLASSES for x in (c, w)])
+    phases = F.create_map(*[F.lit(x) for pair in PHASES.items() for x in pair])
+    own = phase(kind) if named is None else F.coalesce(named, phase(kind))
+    return F.concat_ws("|", F.try_element_at(phases, own).cast("string"), F.lpad(F.coalesce(F.try_element_at(weights, kind), F.lit(99)).cast("string"), 2, "0"), path, F.lpad(place.cast("string"), 8, "0"), kind)
+
+
 def annotations(statements_: DataFrame) -> DataFrame:
     """``file, place, directive, value`` of the comment lines ``-- @directive: a, b`` that open a statement."""
     lines = statements_.select("file", "place", F.posexplode(F.split("statement", "\n")).alias("line", "text"))
@@ -70,8 +163,216 @@ def annotations(statements_: DataFrame) -> DataFrame:
     return head.select("file", "place", F.regexp_extract(F.trim("text"), ANNOTATION, 1).alias("directive"), value.alias("value"))
 
 
+def identifier(raw: Column) -> Column:
+    """An identifier as it is stored: quoted ones as they are, others in lower case."""
+    t = F.trim(raw)
+    return F.when(t.startswith('"'), F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"'))).otherwise(F.lower(t))
+
+
+def _parts(raw: Column) -> tuple[Column, Column]:
+    """Schema (null if none) and name of a qualified name."""
+    found = F.regexp_extract_all(raw, F.lit(rf"(?i){_name}"), F.lit(0))
+    return F.when(F.size(found) > 1, identifier(F.get(found, F.lit(0)))), identifier(F.get(found, F.size(found) - 1))
+
+
+def arguments(raw: Column) -> Column:
+    """The types of a routine's arguments, ``(a,b)``: without modes, names and defaults."""
+    flat = F.regexp_replace(F.lower(raw), r"\s+", " ")
+    known = [*ALIASES, *ALIASES.values()]
+
+    def one(arg: Column) -> Column:
+        arg = F.trim(F.regexp_replace(F.regexp_replace(arg, r"(\bdefault\b|=).*$", ""), r"^ ?(in|inout|out) ", ""))
+        bare = F.regexp_replace(arg, r"^variadic ", "")
+        short = F.when(bare.contains(" ") & ~F.regexp_replace(bare, r"\(.*\)|\[\]", "").isin(known), F.regexp_replace(bare, r'^(?:"[^"]*"|\S+) ', "")).otherwise(bare)
+        return F.concat(F.when(arg.startswith("variadic "), "variadic ").otherwise(""), F.regexp_replace(short, r"\([^)]*\)", ""))
+
+    parts = F.filter(F.split(flat, r",(?![^(]*\))"), lambda a: F.trim(a) != "")
+    return F.concat(F.lit("("), F.array_join(F.transform(parts, one), ","), F.lit(")"))
+
+
+def ref_key(kind: Column, schema: Column, name: Column, signature: Column) -> Column:
+    return F.concat_ws(":", kind, F.coalesce(schema, F.lit("")), name, F.coalesce(signature, F.lit("")))
+
+
+def _required(kind: str):
+    return lambda n: F.struct(F.lit("requires").alias("role"), F.lit(kind).alias("kind"), n.alias("raw"), F.lit(None).cast("string").alias("signature"))
+
+
+def references(statements_: DataFrame, default_schema: str = "public") -> DataFrame:
+    """``file, place, role, kind, schema, name, signature, key`` of what statements provide and require.
+
+    By patterns over the masked text: names of objects, foreign keys, parents,
+    relations of views, routines of triggers, owners, and the schema that a
+    qualified name lies in.  Expressions are not looked into.
+    """
+    own = statements_.select("file", "place", F.trim(masked(F.col("statement"))).alias("text"))
+    own = own.withColumn("class", classify(F.col("text")))
+    # Names in any case; identifiers are folded afterwards.
+    provided = [F.when(F.col("class") == c, F.struct(F.lit("provides").alias("role"), F.lit(kind).alias("kind"), F.regexp_extract("text", rf"(?is)^.*?\b{p}", 1).alias("raw"), F.when(F.lit(kind in ("function", "procedure", "aggregate")), arguments(F.regexp_extract("text", rf"(?is)\b{kind}\s+{NAME}\s*\(((?:[^()]|\([^)]*\))*)\)", 1))).alias("signature"))) for c, (kind, p) in PROVIDES.items()]
+    found = [F.array_compact(F.array(*provided))]
+    for kind, pattern, classes in REQUIRES:
+        names = F.regexp_extract_all("text", F.lit(f"(?is){pattern}"), F.lit(1))
+        each = F.transform(names, _required(kind))
+        found.append(each if not classes else F.when(F.col("class").isin(*classes), each).otherwise(F.slice(each, 1, 0)))
+    refs = own.select("file", "place", F.explode(F.concat(*found)).alias("r")).where("r.raw <> ''")
+    schema, name = _parts(F.col("r.raw"))
+    unqualified = F.col("r.kind").isin("schema", "role", "extension", "language", "publication", "subscription", "foreign_server", "foreign_data_wrapper", "event_trigger")
+    refs = refs.select("file", "place", "r.role", "r.kind", F.when(~unqualified, F.coalesce(schema, F.lit(default_schema))).alias("schema"), name.alias("name"), "r.signature")
+    inside = refs.where(F.col("schema").isNotNull() & (F.col("schema") != default_schema) & (F.col("role") == "provides"))
+    inside = inside.select("file", "place", F.lit("requires").alias("role"), F.lit("schema").alias("kind"), F.lit(None).cast("string").alias("schema"), F.col("schema").alias("name"), F.lit(None).cast("string").alias("signature"))
+    return refs.unionByName(inside).distinct().withColumn("key", ref_key(F.col("kind"), F.col("schema"), F.col("name"), F.col("signature")))
+
+
+def kinds_compatible(required: Column, provided: Column) -> Column:
+    table = F.create_map(*[x for k, v in COMPATIBLE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return (required == provided) | F.coalesce(F.array_contains(F.try_element_at(table, required), provided), F.lit(False))
+
+
+def _base(arg: Column) -> Column:
+    last = F.element_at(F.split(arg, r"\."), -1)
+    table = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, last), last)
+
+
+def argument_compatible(required: Column, provided: Column) -> Column:
+    """Whether an argument fits a parameter: equal but for aliases, or with a schema on one side only; unknown and any-types fit."""
+    r, p = F.lower(F.trim(required)), F.lower(F.trim(provided))
+    both = r.contains(".") & p.contains(".")
+    return r.isin("unknown", "") | p.isin("unknown", "") | _base(p).isin(*POLYMORPHIC) | (r == p) | (~both & (_base(r) == _base(p)))
+
+
+def signatures_compatible(required: Column, provided: Column) -> Column:
+    """Whether a call's signature ``(a,b)`` fits a routine's: parameters left over have defaults, a variadic one takes the rest.
+
+    No signature fits all; named arguments fit any routine.
+    """
+    listed = lambda s: F.filter(F.split(F.regexp_replace(s, r"^\s*\(|\)\s*$", ""), r"\s*,\s*"), lambda a: F.trim(a) != "")
+    r, p = listed(required), listed(provided)
+    last = F.get(p, F.size(p) - 1)
+    variadic = F.coalesce(F.lower(F.trim(last)).startswith("variadic "), F.lit(False))
+    rest = F.regexp_replace(F.lower(F.trim(last)), r"^variadic\s+", "")
+    parameter = lambda i: F.when(variadic & (i >= F.size(p) - 1), rest).otherwise(F.get(p, i))
+    places = F.when(F.size(r) > 0, F.sequence(F.lit(0), F.size(r) - 1)).otherwise(F.array().cast("array<int>"))
+    fits = F.forall(places, lambda i: F.coalesce(argument_compatible(F.get(r, i), parameter(i)), F.lit(False)))
+    enough = F.when(variadic, F.size(r) >= F.size(p) - 1).otherwise(F.size(r) <= F.size(p))
+    return F.when(required.isNull() | (required == "") | required.contains("=>"), True).when(provided.isNull() | (provided == ""), False).otherwise((required == provided) | (enough & fits))
+
+
 def match_providers(required: DataFrame, provided: DataFrame, key: str = "key") -> DataFrame:
     """Add ``state``: unique, ambiguous or unresolved, by the number of ``provided(key, provider)``."""
     counts = provided.groupBy(key).agg(F.count_distinct("provider").alias("_n"))
     joined = required.join(counts, key, "left")
     return joined.withColumn("state", F.when(F.col("_n").isNull(), "unresolved").when(F.col("_n") == 1, "unique").otherwise("ambiguous")).drop("_n")
+
+
+def provider_graph(required: DataFrame, provided: DataFrame, external: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges ``src, dst, reason, key`` and diagnostics ``node, code, key``.
+
+    ``required(node, kind, schema, name, signature, key)`` and ``provided`` of
+    the same columns.  One provider of the very key gives an edge; several are
+    ambiguous, but for constraints, which need all.  Without one, compatible
+    providers of the name count: one gives an edge, several give one each,
+    except those that would close a cycle.  What is left is external or unresolved.
+    """
+    need = required.select("node", "kind", "schema", "name", "signature", "key").distinct()
+    have = provided.select(F.col("node").alias("src"), F.col("kind").alias("pk"), F.col("schema").alias("ps"), F.col("name"), F.col("signature").alias("pg"), "key").distinct()
+    counts = have.groupBy("key").agg(F.count_distinct("src").alias("n"))
+    counted = cut(need.join(counts, "key", "left"))
+    sure = counted.where("n = 1 or (n > 1 and kind = 'constraint')").join(have.select("key", "src"), "key").where("src <> node")
+    exact = sure.select("src", F.col("node").alias("dst"), F.when(F.col("n") == 1, "requires").otherwise("requires_constraint_key").alias("reason"), "key")
+    ambiguous = counted.where("n > 1 and kind <> 'constraint'").select("node", F.lit("DUPLICATE_PRODUCER").alias("code"), "key")
+    loose = counted.where("n is null").select("node", F.col("kind").alias("rk"), F.col("schema").alias("rs"), "name", F.col("signature").alias("rg"), F.col("key").alias("rkey"))
+    fits = kinds_compatible(F.col("rk"), F.col("pk")) & (F.col("rs").isNull() | F.col("rs").eqNullSafe(F.col("ps"))) & signatures_compatible(F.col("rg"), F.col("pg"))
+    met = cut(loose.join(have.drop("key"), "name").where((F.col("src") != F.col("node")) & fits).select("src", "node", "rkey").distinct())
+    sized = met.join(met.groupBy("node", "rkey").agg(F.count(F.lit(1)).alias("n")), ["node", "rkey"])
+    one = sized.where("n = 1").select("src", F.col("node").alias("dst"), F.lit("requires_compatible").alias("reason"), F.col("rkey").alias("key"))
+    edges = cut(exact.unionByName(one))
+    many = sized.where("n > 1")
+    back = paths(many.select(F.col("node").alias("src"), F.col("src").alias("dst")), edges.select("src", "dst").distinct()).where("reached")
+    closing = many.join(back.select(F.col("src").alias("node"), F.col("dst").alias("src")), ["node", "src"], "left_semi")
+    more = many.join(closing.select("node", "src", "rkey"), ["node", "src", "rkey"], "left_anti").select("src", F.col("node").alias("dst"), F.lit("requires_compatible").alias("reason"), F.col("rkey").alias("key"))
+    rest = loose.join(met.select("node", "rkey").distinct(), ["node", "rkey"], "left_anti")
+    if external is not None:
+        # As for statements: any external object of the name that is compatible.
+        outside = external.select(F.col("kind").alias("pk"), F.col("schema").alias("ps"), "name", F.col("signature").alias("pg"))
+        rest = rest.join(rest.join(outside, "name").where(fits).select("node", "rkey").distinct(), ["node", "rkey"], "left_anti")
+    diagnostics = [ambiguous, closing.select("node", F.lit("CYCLE_EDGE_SKIPPED").alias("code"), F.col("rkey").alias("key")), rest.select("node", F.lit("UNRESOLVED_DEPENDENCY").alias("code"), F.col("rkey").alias("key"))]
+    return union([edges, more]), union(diagnostics)
+
+
+def duplicate_producers(provided: DataFrame) -> DataFrame:
+    """``key, n`` of the keys that several nodes provide."""
+    return provided.groupBy("key").agg(F.count_distinct("node").alias("n")).where("n > 1")
+
+
+def sorted_statements(nodes: DataFrame, edges: DataFrame, most: int = DRIVER_STATEMENTS) -> DataFrame:
+    """``node, position, cycle`` of ``nodes(node, key)``: a topological order, cycles and what waits for them last.
+
+    Least key first among the ready.  ``cycle``: the least node of the cycle
+    that the node lies on, else null.  Up to ``most`` nodes and edges the driver gives the
+    exact order; beyond it levels of the condensation and keys do, which
+    respects all edges between cycles and collects nothing.
+    """
+    links = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    named, between = condensation(links)
+    named, between = cut(named.join(named.groupBy("component").count(), "component")), cut(between)
+    groups = cut(nodes.join(named.select(F.col("id").alias("node"), "component", "count"), "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"), (F.coalesce("count", F.lit(1)) > 1).alias("cyclic")))
+    cycle = F.when(F.col("cyclic"), F.col("component")).alias("cycle")
+    if groups.count() + links.count() <= most:
+        rows, pairs = groups.collect(), [(r["src"], r["dst"]) for r in links.collect()]
+        order = kahn([(r["node"], r["key"]) for r in rows], pairs, cycles_last=True)
+        done = set(order)
+        left: dict = {}
+        for r in rows:
+            if r["node"] not in done:
+                left.setdefault(r["component"], []).append((r["key"], r["node"]))
+        inner = kahn([(c, min(m)[0]) for c, m in left.items()], [(r["src"], r["dst"]) for r in between.collect() if r["src"] in left and r["dst"] in left])
+        order += [n for c in inner for _, n in sorted(left[c])]
+        kind = nodes.schema["node"].dataType.simpleString()
+        placed = nodes.sparkSession.createDataFrame([(n, i) for i, n in enumerate(order)], f"node {kind}, position long")
+        return placed.join(groups.select("node", cycle), "node")
+    # What a cycle blocks comes behind the rest, as it does in the exact order.
+    late = cut(_blocked(groups, between))
+    level = levels(between).select(F.col("id").alias("component"), "level")
+    ranked = groups.join(late.withColumn("late", F.lit(1)), "component", "left").join(level, "component", "left")
+    first = groups.groupBy("component").agg(F.min("key").alias("first"))
+    ranked = ranked.join(first, "component").withColumns({"late": F.coalesce("late", F.lit(0)), "level": F.coalesce("level", F.lit(0))})
+    return numbered(ranked, "late", "level", "first", "component", "key").select("node", "position", cycle)
+
+
+def _blocked(groups: DataFrame, between: DataFrame) -> DataFrame:
+    return reach(groups.where("cyclic").select(F.col("component").alias("id")).distinct(), between).withColumnRenamed("id", "component")
+
+
+def latest_diagnostics(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The last row of each key; no window holds a key's rows."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*key, "_r.*")
+
+
+def sorted_diagnostics(rows: DataFrame) -> DataFrame:
+    """Diagnostics ``(path, place, code, message)`` with ``position``, by those in order."""
+    return numbered(rows, "path", "place", "code", "message")
+
+
+def graph_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``from_path, from_place, to_path, to_place, reason, position``: edges with their statements, sorted."""
+    end = lambda n, side: nodes.select(F.col("node").alias(n), F.col("path").alias(f"{side}_path"), F.col("place").alias(f"{side}_place"))
+    named = edges.select("src", "dst", "reason").distinct().join(end("src", "from"), "src").join(end("dst", "to"), "dst")
+    columns = ["from_path", "from_place", "to_path", "to_place", "reason"]
+    return numbered(named.select(*columns), *columns)
+
+
+def mutual(requires: DataFrame) -> DataFrame:
+    """``a, b``: pairs of files that require each other (``requires(id, needs)``), the usual cause of files that never load."""
+    pairs = requires.select(F.col("id").alias("a"), F.col("needs").alias("b")).distinct()
+    return pairs.join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi").where("a < b")
+
+
+def by_kind(statements_: DataFrame) -> DataFrame:
+    """Statements of each file with ``position`` in the order of their classes, as a file is laid out anew."""
+    w = Window.partitionBy("file").orderBy("_key", "place")
+    kind = classify(F.col("statement"))
+    return statements_.withColumn("_key", statement_key(kind, F.lit(""), F.lit(0))).withColumn("position", F.row_number().over(w) - 1).drop("_key")
+
+

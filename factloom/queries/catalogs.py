@@ -1,0 +1 @@
+"""Queries of the catalog readers (the tables hold no catalogs, so fixtures in the tests cover them)."""

@@ -2,24 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.canonical import canonical_text, content_hash
-from factloom.operators.graph import cut
+from factloom.operators import graph
+from factloom.storage import materialize
 
 #: Snapshot A leaves out keys divisible by the first, B by the second; B changes and renames by the others.
 A, B, CHANGED, RENAMED, SHIFT = 11, 13, 17, 19, 1_000_000_000
+#: The tables that the forest is made of.
+SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
-
-class Whole(str):
-    """A scale folder whose forest is taken whole: with lines, suppliers and parts."""
+_stored: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives, written once per session and state of the tables: a snapshot is extracted once and read by all queries."""
+    key = (spark.sparkContext.applicationId, id(spark), folder, name, _state(spark, folder))
+    if key not in _stored:
+        _stored[key] = materialize(build(), name)
+    return _stored[key]
+
+
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Time and size of the tables' files, so that changed tables are extracted anew."""
+    conf, out = spark._jsc.hadoopConfiguration(), []
+    for name in SOURCES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((status.getModificationTime(), status.getLen()))
+    return tuple(out)
+
+
 def money(c: str) -> Column:
     """A double as a canonical decimal."""
     return F.col(c).cast("decimal(18,2)").cast("string")
@@ -30,11 +51,15 @@ def _key(side: str, c: str) -> Column:
     return (F.when(F.col(c) % RENAMED == 0, F.col(c) + SHIFT).otherwise(F.col(c)) if side == "b" else F.col(c)).cast("string")
 
 
+def _orders(spark: SparkSession, folder: str, side: str) -> DataFrame:
+    skip = A if side == "a" else B
+    return table(spark, folder, "orders").where((F.col("o_orderkey") % skip != 0) & (F.col("o_custkey") % skip != 0))
+
+
 def lines(spark: SparkSession, folder: str, side: str) -> DataFrame:
     """Lines of the side's orders with ``line``, their id: four keys are not unique, so a row number over all other columns follows them."""
-    skip, keys = (A if side == "a" else B), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    own = table(spark, folder, "orders").where((F.col("o_orderkey") % skip != 0) & (F.col("o_custkey") % skip != 0)).select(F.col("o_orderkey").alias("l_orderkey"))
-    rows = table(spark, folder, "lineitem").join(own, "l_orderkey", "left_semi")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = table(spark, folder, "lineitem").join(_orders(spark, folder, side).select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[c for c in rows.columns if c not in keys]))
     return rows.withColumn("line", F.concat_ws(".", _key(side, "l_orderkey"), *[F.col(c).cast("string") for c in keys[1:]], rank.cast("string")))
 
@@ -42,123 +67,131 @@ def lines(spark: SparkSession, folder: str, side: str) -> DataFrame:
 def facts(spark: SparkSession, folder: str, side: str, reparent: bool = False) -> DataFrame:
     """``id, kind, parent_id, payload, hash, ref_only`` of snapshot ``a`` or ``b``.
 
-    Regions hold nations, which hold customers, which hold orders.  Where
-    ``folder`` is ``Whole``, orders hold lines, nations hold suppliers too, and
-    parts are roots.  With ``reparent``, side b hangs the orders divisible by 23
-    under a region.
+    Regions hold nations, which hold customers and suppliers; customers hold
+    orders, which hold lines; parts are roots.  With ``reparent``, side b hangs
+    the orders divisible by 23 under a region.
     """
+    return stored(spark, folder, f"facts-{side}{'-moved' * reparent}", lambda: _facts(spark, folder, side, reparent))
+
+
+def _facts(spark: SparkSession, folder: str, side: str, reparent: bool) -> DataFrame:
     skip, late = (A, F.lit(False)) if side == "a" else (B, F.lit(True))
     key = lambda c: _key(side, c)
     ident = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
     text = lambda c: canonical_text(F.col(c))
-
-    def level(df: DataFrame, kind: str, own: Column, parent: Column, payload: Column) -> DataFrame:
-        return df.select(ident(kind, own).alias("id"), F.lit(kind).alias("kind"), parent.alias("parent_id"), payload.alias("payload"))
-
     t = lambda n: table(spark, folder, n)
     change = lambda c, new, old: F.when(late & (F.col(c) % CHANGED == 0), new).otherwise(old)
+    cents = lambda c: (F.col(c).cast("decimal(18,2)") + 1).cast("decimal(18,2)").cast("string")
+
+    def level(df: DataFrame, kind: str, own: Column, parent: Column, **payload: Column) -> DataFrame:
+        pairs = [x for k, v in payload.items() for x in (F.lit(k), v)]
+        return df.select(ident(kind, own).alias("id"), F.lit(kind).alias("kind"), parent.alias("parent_id"), F.create_map(*pairs).alias("payload"))
+
+    none = F.lit(None).cast("string")
     parent = ident("customer", key("o_custkey"))
     if reparent and side == "b":
         parent = F.when(F.col("o_orderkey") % 23 == 0, F.lit("region:0")).otherwise(parent)
     parts = [
-        level(t("region"), "region", F.col("r_regionkey").cast("string"), F.lit(None).cast("string"), F.create_map(F.lit("name"), text("r_name"))),
-        level(t("nation"), "nation", F.col("n_nationkey").cast("string"), ident("region", F.col("n_regionkey").cast("string")), F.create_map(F.lit("name"), text("n_name"))),
+        level(t("region"), "region", F.col("r_regionkey").cast("string"), none, name=text("r_name")),
+        level(t("nation"), "nation", F.col("n_nationkey").cast("string"), ident("region", F.col("n_regionkey").cast("string")), name=text("n_name")),
         level(
             t("customer").where(F.col("c_custkey") % skip != 0), "customer", key("c_custkey"), ident("nation", F.col("c_nationkey").cast("string")),
-            F.create_map(F.lit("acctbal"), change("c_custkey", (F.col("c_acctbal").cast("decimal(18,2)") + 1).cast("decimal(18,2)").cast("string"), money("c_acctbal")), F.lit("mktsegment"), text("c_mktsegment"), F.lit("_name"), text("c_name")),
+            acctbal=change("c_custkey", cents("c_acctbal"), money("c_acctbal")), mktsegment=text("c_mktsegment"), _name=text("c_name"),
+        ),
+        level(_orders(spark, folder, side), "order", key("o_orderkey"), parent, priority=text("o_orderpriority"), status=change("o_orderkey", F.lit('"X"'), text("o_orderstatus"))),
+        level(
+            t("supplier").where(F.col("s_suppkey") % skip != 0), "supplier", key("s_suppkey"), ident("nation", F.col("s_nationkey").cast("string")),
+            acctbal=change("s_suppkey", cents("s_acctbal"), money("s_acctbal")), _name=text("s_name"),
+        ),
+        level(
+            t("part").where(F.col("p_partkey") % skip != 0), "part", key("p_partkey"), none,
+            brand=text("p_brand"), name=text("p_name"), retailprice=change("p_partkey", cents("p_retailprice"), money("p_retailprice")), size=F.col("p_size").cast("string"), type=text("p_type"),
         ),
         level(
-            t("orders").where((F.col("o_orderkey") % skip != 0) & (F.col("o_custkey") % skip != 0)), "order", key("o_orderkey"), parent,
-            F.create_map(F.lit("priority"), text("o_orderpriority"), F.lit("status"), change("o_orderkey", F.lit('"X"'), text("o_orderstatus"))),
+            lines(spark, folder, side), "line", F.col("line"), ident("order", key("l_orderkey")),
+            discount=money("l_discount"), extendedprice=money("l_extendedprice"), linestatus=text("l_linestatus"), quantity=change("l_orderkey", cents("l_quantity"), money("l_quantity")),
+            returnflag=text("l_returnflag"), shipdate=F.concat(F.lit('"'), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit('"')), tax=money("l_tax"),
         ),
     ]
-    if isinstance(folder, Whole):
-        cents = lambda c: (F.col(c).cast("decimal(18,2)") + 1).cast("decimal(18,2)").cast("string")
-        parts += [
-            level(
-                t("supplier").where(F.col("s_suppkey") % skip != 0), "supplier", key("s_suppkey"), ident("nation", F.col("s_nationkey").cast("string")),
-                F.create_map(F.lit("acctbal"), change("s_suppkey", cents("s_acctbal"), money("s_acctbal")), F.lit("_name"), text("s_name")),
-            ),
-            level(
-                t("part").where(F.col("p_partkey") % skip != 0), "part", key("p_partkey"), F.lit(None).cast("string"),
-                F.create_map(
-                    F.lit("brand"), text("p_brand"), F.lit("name"), text("p_name"), F.lit("retailprice"), change("p_partkey", cents("p_retailprice"), money("p_retailprice")),
-                    F.lit("size"), F.col("p_size").cast("string"), F.lit("type"), text("p_type"),
-                ),
-            ),
-            level(
-                lines(spark, folder, side), "line", F.col("line"), ident("order", key("l_orderkey")),
-                F.create_map(
-                    F.lit("discount"), money("l_discount"), F.lit("extendedprice"), money("l_extendedprice"), F.lit("linestatus"), text("l_linestatus"),
-                    F.lit("quantity"), change("l_orderkey", cents("l_quantity"), money("l_quantity")), F.lit("returnflag"), text("l_returnflag"),
-                    F.lit("shipdate"), F.concat(F.lit('"'), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit('"')), F.lit("tax"), money("l_tax"),
-                ),
-            ),
-        ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    out = out.withColumns({"hash": content_hash(F.col("payload")), "ref_only": F.lit(False)})
-    # Lines are joined and ranked: they are built once, and plans over seven tables stay small.
-    return cut(out) if isinstance(folder, Whole) else out
+    return graph.union(parts).withColumns({"hash": content_hash(F.col("payload")), "ref_only": F.lit(False)})
 
 
 def edges(spark: SparkSession, folder: str, side: str) -> DataFrame:
-    """``from_id, to_id, edge_kind``: orders depend on parts, are owned by segments and, closed, managed by a handler.
-
-    Where ``folder`` is ``Whole``, lines depend on parts and suppliers, ends
-    have the side's ids, and only the side's parts are members.
-    """
-    if isinstance(folder, Whole):
-        return _whole_edges(spark, folder, side)
-    skip = A if side == "a" else B
-    items, orders, customers, parts = (table(spark, folder, n) for n in ("lineitem", "orders", "customer", "part"))
-    ident = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
-    own = orders.where((F.col("o_orderkey") % skip != 0) & (F.col("o_custkey") % skip != 0))
-    row = lambda a, b, kind: (a.alias("from_id"), b.alias("to_id"), F.lit(kind).alias("edge_kind"))
-    depends = items.where(F.col("l_orderkey") % skip != 0).select(*row(ident("order", "l_orderkey"), ident("part", "l_partkey"), "depends")).distinct()
-    owners = own.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(*row(ident("order", "o_orderkey"), ident("role", "c_mktsegment"), "owner"))
-    members = parts.select(*row(ident("part", "p_partkey"), ident("extension", "p_brand"), "memberOfExtension"))
-    managed = own.where("o_orderstatus = 'F'").select(*row(ident("order", "o_orderkey"), F.lit("handler:archive"), "managedBy"))
-    return depends.unionByName(owners).unionByName(members).unionByName(managed)
+    """``from_id, to_id, edge_kind``: lines depend on parts and suppliers; orders are owned by segments and, closed, managed by a handler; parts are members of brands."""
+    return stored(spark, folder, f"edges-{side}", lambda: _edges(spark, folder, side))
 
 
-def _whole_edges(spark: SparkSession, folder: str, side: str) -> DataFrame:
+def _edges(spark: SparkSession, folder: str, side: str) -> DataFrame:
     skip = A if side == "a" else B
     ident = lambda kind, c: F.concat(F.lit(f"{kind}:"), _key(side, c))
     row = lambda a, b, kind: (a.alias("from_id"), b.alias("to_id"), F.lit(kind).alias("edge_kind"))
-    own = table(spark, folder, "orders").where((F.col("o_orderkey") % skip != 0) & (F.col("o_custkey") % skip != 0))
+    own = _orders(spark, folder, side)
     ends = F.explode(F.array(ident("part", "l_partkey"), ident("supplier", "l_suppkey")))
     depends = lines(spark, folder, side).select(F.concat(F.lit("line:"), "line").alias("line"), ends.alias("end")).select(*row(F.col("line"), F.col("end"), "depends"))
     owners = own.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(*row(ident("order", "o_orderkey"), F.concat(F.lit("role:"), "c_mktsegment"), "owner"))
     members = table(spark, folder, "part").where(F.col("p_partkey") % skip != 0).select(*row(ident("part", "p_partkey"), F.concat(F.lit("extension:"), "p_brand"), "memberOfExtension"))
     managed = own.where("o_orderstatus = 'F'").select(*row(ident("order", "o_orderkey"), F.lit("handler:archive"), "managedBy"))
-    return depends.unionByName(owners).unionByName(members).unionByName(managed)
-
-
-#: The same snapshots for DuckDB: attributes as rows, and facts with their canonical payload.
-SQL = """
-ca AS (SELECT c_custkey, c_custkey::VARCHAR AS k, c_nationkey, c_acctbal::DECIMAL(18,2)::VARCHAR AS acctbal, '"' || c_mktsegment || '"' AS seg FROM customer WHERE c_custkey % 11 <> 0),
-cb AS (SELECT c_custkey, (CASE WHEN c_custkey % 19 = 0 THEN c_custkey + 1000000000 ELSE c_custkey END)::VARCHAR AS k, c_nationkey,
-         (c_acctbal::DECIMAL(18,2) + CASE WHEN c_custkey % 17 = 0 THEN 1 ELSE 0 END)::DECIMAL(18,2)::VARCHAR AS acctbal, '"' || c_mktsegment || '"' AS seg FROM customer WHERE c_custkey % 13 <> 0),
-oa AS (SELECT o_orderkey, o_orderkey::VARCHAR AS k, o_custkey::VARCHAR AS ck, '"' || o_orderpriority || '"' AS prio, '"' || o_orderstatus || '"' AS st FROM orders WHERE o_orderkey % 11 <> 0 AND o_custkey % 11 <> 0),
-ob AS (SELECT o_orderkey, (CASE WHEN o_orderkey % 19 = 0 THEN o_orderkey + 1000000000 ELSE o_orderkey END)::VARCHAR AS k,
-         (CASE WHEN o_custkey % 19 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END)::VARCHAR AS ck, '"' || o_orderpriority || '"' AS prio,
-         CASE WHEN o_orderkey % 17 = 0 THEN '"X"' ELSE '"' || o_orderstatus || '"' END AS st FROM orders WHERE o_orderkey % 13 <> 0 AND o_custkey % 13 <> 0),
-top AS (SELECT 'region:' || r_regionkey AS id, 'region' AS kind, NULL::VARCHAR AS parent_id, 'name' AS k1, '"' || r_name || '"' AS v1, NULL::VARCHAR AS k2, NULL::VARCHAR AS v2 FROM region
-        UNION ALL SELECT 'nation:' || n_nationkey, 'nation', 'region:' || n_regionkey, 'name', '"' || n_name || '"', NULL, NULL FROM nation),
-fa0 AS (SELECT * FROM top UNION ALL SELECT 'customer:' || k, 'customer', 'nation:' || c_nationkey, 'acctbal', acctbal, 'mktsegment', seg FROM ca
-        UNION ALL SELECT 'order:' || k, 'order', 'customer:' || ck, 'priority', prio, 'status', st FROM oa),
-fb0 AS (SELECT * FROM top UNION ALL SELECT 'customer:' || k, 'customer', 'nation:' || c_nationkey, 'acctbal', acctbal, 'mktsegment', seg FROM cb
-        UNION ALL SELECT 'order:' || k, 'order', 'customer:' || ck, 'priority', prio, 'status', st FROM ob),
-fa AS (SELECT *, sha256('{"' || k1 || '":' || v1 || coalesce(',"' || k2 || '":' || v2, '') || '}') AS hash FROM fa0),
-fb AS (SELECT *, sha256('{"' || k1 || '":' || v1 || coalesce(',"' || k2 || '":' || v2, '') || '}') AS hash FROM fb0),
-ea AS (SELECT DISTINCT 'order:' || l_orderkey AS from_id, 'part:' || l_partkey AS to_id, 'depends' AS edge_kind FROM lineitem WHERE l_orderkey % 11 <> 0
-       UNION ALL SELECT 'order:' || o_orderkey, 'role:' || c_mktsegment, 'owner' FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 11 <> 0 AND o_custkey % 11 <> 0
-       UNION ALL SELECT 'part:' || p_partkey, 'extension:' || p_brand, 'memberOfExtension' FROM part
-       UNION ALL SELECT 'order:' || o_orderkey, 'handler:archive', 'managedBy' FROM orders WHERE o_orderkey % 11 <> 0 AND o_custkey % 11 <> 0 AND o_orderstatus = 'F'),
-eb AS (SELECT DISTINCT 'order:' || l_orderkey AS from_id, 'part:' || l_partkey AS to_id, 'depends' AS edge_kind FROM lineitem WHERE l_orderkey % 13 <> 0
-       UNION ALL SELECT 'order:' || o_orderkey, 'role:' || c_mktsegment, 'owner' FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 13 <> 0 AND o_custkey % 13 <> 0
-       UNION ALL SELECT 'part:' || p_partkey, 'extension:' || p_brand, 'memberOfExtension' FROM part
-       UNION ALL SELECT 'order:' || o_orderkey, 'handler:archive', 'managedBy' FROM orders WHERE o_orderkey % 13 <> 0 AND o_custkey % 13 <> 0 AND o_orderstatus = 'F')
-"""
+    return graph.union([depends, owners, members, managed])
+
+
+def rolled(spark: SparkSession, folder: str, side: str) -> DataFrame:
+    """``id, parent_id, depth, rollup, structural`` of the side; part of its snapshot."""
+    return stored(spark, folder, f"rollups-{side}", lambda: graph.rollups(facts(spark, folder, side), edges(spark, folder, side)))
+
+
+def roles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Facts and edges beside the forest's: a role per segment, a membership between neighbours below the later role, and comments on closed orders."""
+    names = table(spark, folder, "customer").select("c_mktsegment").distinct()
+    none = F.create_map(F.lit("a"), F.lit("1"))
+    role = names.select(F.concat(F.lit("role:"), "c_mktsegment").alias("id"), F.lit("role").alias("kind"), F.lit(None).cast("string").alias("parent_id"), none.alias("payload"))
+    member = names.select(F.concat(F.lit("membership:"), "c_mktsegment").alias("id"), F.lit("membership").alias("kind"), F.concat(F.lit("role:"), "c_mktsegment").alias("parent_id"), none.alias("payload"))
+    own = _orders(spark, folder, "a").where("o_orderstatus = 'F'").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("o"))
+    comment = own.select(F.concat(F.lit("comment:("), "o", F.lit(")")).alias("id"), F.lit("comment").alias("kind"), F.col("o").alias("parent_id"), none.alias("payload"))
+    found = graph.union([role, member, comment]).withColumns({"hash": content_hash(F.col("payload")), "ref_only": F.lit(False)})
+    links = member.select(F.col("id").alias("from_id"), F.col("parent_id").alias("to_id"), F.lit("depends").alias("edge_kind"))
+    return found, links
+
+
+def _side_sql(side: str, skip: int) -> str:
+    """Attributes ``u``, facts ``f`` and edges ``e`` of a side for DuckDB."""
+    key = (lambda c: f"(CASE WHEN {c} % 19 = 0 THEN {c} + 1000000000 ELSE {c} END)") if side == "b" else (lambda c: c)
+    cents = lambda c, k: f"({c}::DECIMAL(18,2) + CASE WHEN {k} % 17 = 0 THEN 1 ELSE 0 END)::DECIMAL(18,2)::VARCHAR" if side == "b" else f"{c}::DECIMAL(18,2)::VARCHAR"
+    text = lambda c: f"'\"' || {c} || '\"'"
+    status = "CASE WHEN o_orderkey % 17 = 0 THEN '\"X\"' ELSE '\"' || o_orderstatus || '\"' END" if side == "b" else text("o_orderstatus")
+
+    def attrs(**pairs: str) -> str:
+        return "unnest([" + ", ".join(f"{{'a': '{k}', 'v': {v}}}" for k, v in pairs.items()) + "]) AS p"
+
+    line = f"concat_ws('.', 'line:' || {key('l_orderkey')}, l_linenumber, l_partkey, l_suppkey, i)"
+    rows = [
+        f"SELECT 'region:' || r_regionkey AS id, 'region' AS kind, NULL::VARCHAR AS parent_id, {attrs(name=text('r_name'))} FROM region",
+        f"SELECT 'nation:' || n_nationkey, 'nation', 'region:' || n_regionkey, {attrs(name=text('n_name'))} FROM nation",
+        f"SELECT 'customer:' || {key('c_custkey')}, 'customer', 'nation:' || c_nationkey, {attrs(acctbal=cents('c_acctbal', 'c_custkey'), mktsegment=text('c_mktsegment'))} FROM customer WHERE c_custkey % {skip} <> 0",
+        f"SELECT 'order:' || {key('o_orderkey')}, 'order', 'customer:' || {key('o_custkey')}, {attrs(priority=text('o_orderpriority'), status=status)} FROM o{side}",
+        f"SELECT 'supplier:' || {key('s_suppkey')}, 'supplier', 'nation:' || s_nationkey, {attrs(acctbal=cents('s_acctbal', 's_suppkey'))} FROM supplier WHERE s_suppkey % {skip} <> 0",
+        f"SELECT 'part:' || {key('p_partkey')}, 'part', NULL, {attrs(brand=text('p_brand'), name=text('p_name'), retailprice=cents('p_retailprice', 'p_partkey'), size='p_size::VARCHAR', type=text('p_type'))} FROM part WHERE p_partkey % {skip} <> 0",
+        f"""SELECT {line}, 'line', 'order:' || {key('l_orderkey')}, {attrs(
+            discount="l_discount::DECIMAL(18,2)::VARCHAR", extendedprice="l_extendedprice::DECIMAL(18,2)::VARCHAR", linestatus=text('l_linestatus'), quantity=cents('l_quantity', 'l_orderkey'),
+            returnflag=text('l_returnflag'), shipdate="strftime(l_shipdate, '\"%Y-%m-%d %H:%M:%S.%f\"')", tax="l_tax::DECIMAL(18,2)::VARCHAR")} FROM l{side}""",
+    ]
+    return f"""
+o{side} AS MATERIALIZED (SELECT * FROM orders WHERE o_orderkey % {skip} <> 0 AND o_custkey % {skip} <> 0),
+l{side} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS i
+  FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o{side})),
+u{side} AS MATERIALIZED (SELECT id, kind, parent_id, p.a AS attr, p.v AS val FROM ({' UNION ALL '.join(rows)})),
+f{side} AS MATERIALIZED (SELECT id, any_value(kind) AS kind, any_value(parent_id) AS parent_id, sha256('{{' || string_agg('"' || attr || '":' || val, ',' ORDER BY attr) || '}}') AS hash FROM u{side} GROUP BY id),
+e{side} AS MATERIALIZED (SELECT {line} AS from_id, unnest(['part:' || {key('l_partkey')}, 'supplier:' || {key('l_suppkey')}]) AS to_id, 'depends' AS edge_kind FROM l{side}
+  UNION ALL SELECT 'order:' || {key('o_orderkey')}, 'role:' || c_mktsegment, 'owner' FROM o{side} JOIN customer ON o_custkey = c_custkey
+  UNION ALL SELECT 'part:' || {key('p_partkey')}, 'extension:' || p_brand, 'memberOfExtension' FROM part WHERE p_partkey % {skip} <> 0
+  UNION ALL SELECT 'order:' || {key('o_orderkey')}, 'handler:archive', 'managedBy' FROM o{side} WHERE o_orderstatus = 'F')"""
+
+
+#: The same snapshots for DuckDB: attributes ``ua, ub``, facts ``fa, fb`` and edges ``ea, eb``.
+SQL_A, SQL_B = _side_sql("a", A), _side_sql("b", B)
+SQL = SQL_A + "," + SQL_B
+
+
+def multiset_sql(digest: str) -> str:
+    """The hash of a multiset of digests for DuckDB."""
+    words = " || '|' || ".join(f"sum(('0x' || substr({digest}, {at}, 8))::BIGINT)::VARCHAR" for at in (1, 9, 17, 25))
+    return f"sha256(count({digest})::VARCHAR || '|' || {words})"

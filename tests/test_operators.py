@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from factloom.functions.canonical import canonical_map, canonical_number, content_hash, entity_id, satellite_id
 from factloom.operators import diff, graph, policy
 from factloom.operators.statements import annotations, split_statements, statements
-from factloom.plans import actions
+from factloom.plans import actions, rules
 
 SCHEMA = "id string, parent_id string, payload map<string,string>, ref_only boolean"
 
@@ -122,4 +122,4 @@ def test_statements(spark):
 
 def test_diff_has_no_kinds():
     text = (Path(__file__).parent.parent / "factloom/operators/diff.py").read_text()
-    assert not any(f'"{kind}"' in text for kind in actions.WEIGHTS)
+    assert not any(f'"{kind}"' in text for kind in rules.WEIGHTS)

@@ -34,6 +34,11 @@ def test_matches_sql(spark, duck, name):
     assert sorted((tuple(map(plain, r)) for r in df.select(*columns).collect()), key=repr) == sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=repr)
 
 
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+def test_runs(spark, name):
+    assert QUERIES[name](spark, FOLDER).count() >= 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(ORACLE_SQL) <= set(entry.queries())
