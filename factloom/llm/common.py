@@ -3,58 +3,15 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-#: Bounds under which a side of a join may be broadcast.
-BROADCAST_ROWS = 2_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none and runs in one process (tests) a
-    temporary folder is made and remembered in the session; on a cluster, where
-    each machine would see its own, that is an error.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("factloom.shared.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("factloom.shared.dir", base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs the rest of one stage only.  The
-    files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and no later plan reads."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/factloom/" in path:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
+from factloom.storage import BROADCAST_ROWS, drop, materialize, shared_dir, small
 
 def fresh(columns: list[str], *names: str) -> list[str]:
     """``names``, each with underscores before it until no column has it in any case."""
@@ -75,11 +32,6 @@ def repeated(df: DataFrame, times: str, piece: int = 1 << 16) -> DataFrame:
     return cut.withColumn(at, F.explode(F.sequence(F.lit(1).cast("long"), left))).drop(at, times)
 
 
-def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are within ``bound``."""
-    return F.broadcast(df) if rows <= bound else df
-
-
 def running_sum(df: DataFrame, key: str, value: str, out: str, by: list[str] = (), shift: int = 10, descending: bool = False) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows of a group up to ``key`` (inclusive).
 
