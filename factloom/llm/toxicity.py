@@ -15,7 +15,7 @@ from factloom.llm.common import ODD, PLAIN, WordHashes, column_bytes, labelled_s
 #: Bits of a feature's bucket.
 BITS = 20
 #: The most labelled documents to learn from, and bytes of their features.
-SAMPLE, SAMPLE_BYTES = 8_000, 128 << 20
+SAMPLE, SAMPLE_BYTES = 16_000, 128 << 20
 
 
 def buckets_of(text: bytes, hashes: WordHashes) -> np.ndarray:
