@@ -139,29 +139,25 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train:
     return documents.select("doc_id", "text", *[c for c in documents.columns if c == "n_chars"]).where(F.col("text").isNotNull()).join(F.broadcast(own), "doc_id")
 
 
-def sampled_features(made: DataFrame, most: int, piece: int = 8 << 20) -> Iterator[Row]:
-    """Rows ``h, doc_id, y, x`` of ``made(doc_id, y, x)`` in the order of the id's hash ``h``, one per id.
+def sampled_features(made: DataFrame, most: int) -> Iterator[Row]:
+    """Rows ``h, doc_id, y, x`` of ``made(doc_id, y, x)`` by hash of the id, one per id, partition by partition.
 
     Two bounds hold for the driver: the sample's rows, and ``most`` bytes of
     features: rows beyond that, in the order of the hashes, stay out.  Only the
-    sizes, a number a row, are gathered before; then rows come in pieces of
-    about ``piece`` bytes, so that the driver's JVM holds little beside Python.
+    sizes, a number a row, are gathered before.
     """
     rows = made.groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "r.y", "r.x")
     rows = materialize(rows, "sample")
-    sizes = sorted((r["h"], r["n"]) for r in rows.select("h", F.octet_length("x").alias("n")).collect())
-    pieces, total, held = [], 0, 0
-    for h, n in sizes:
+    sizes = sorted((r["h"], r["doc_id"], r["n"]) for r in rows.select("h", "doc_id", F.octet_length("x").alias("n")).collect())
+    total, last = 0, None
+    for h, _, n in sizes:
         total += n
         if total > most:
             break
-        if not pieces or held + n > piece and h != pieces[-1][1]:
-            pieces.append((h, h))
-            held = 0
-        pieces[-1] = (pieces[-1][0], h)
-        held += n
-    for first, last in pieces:
-        yield from sorted(rows.where(F.col("h").between(first, last)).collect(), key=lambda r: (r["h"], r["doc_id"]))
+        last = h
+    if last is None:
+        return iter(())
+    return iter(sorted(rows.where(F.col("h") <= last).toLocalIterator(), key=lambda r: (r["h"], r["doc_id"])))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
