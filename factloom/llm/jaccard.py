@@ -15,6 +15,7 @@ Sets that agree on the shingle before as well have met there.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ SIGNATURES, LARGE = 6, 32
 ROUNDS, LEADERS = 3, 4
 #: Nodes on a shingle up to which they are paired at once; beyond, nodes per block of a tile.
 RUN, BLOCK = 64, 256
+#: Nodes on a shingle up to which one task holds them; beyond, they are dealt in pieces of about that many.
+HEAVY = 1 << 14
 
 
 def shingle_set(text: bytes | None, hashes: WordHashes, k: int) -> np.ndarray:
@@ -85,12 +88,16 @@ class Threshold:
         """The largest size of a set that shares nothing before ``place`` of a set of ``n``."""
         return F.expr(f"{self.den} * ({n} - {place}) div {self.num} - {place}")
 
+    def band(self, n: str):
+        """Sizes that may be linked lie in one band or in two that are next to each other."""
+        return F.floor(F.log(F.col(n)) / (max(math.log(self.den / self.num), 0.01) * (1 + 1e-9)))
+
     def prefix(self, n: int) -> int:
         return n - -(-self.num * n // self.den) + 1 if n else 0
 
 
-def frequency_levels(documents: DataFrame, k: int) -> np.ndarray:
-    """How common the shingles of each bucket are: 0 for the usual, more the more common.
+def frequency_levels(documents: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """How common the shingles of each bucket are: 0 for the usual, more the more common; the buckets of more than ``HEAVY``.
 
     Counts all documents.  Each task adds up its own; the sums are streamed
     into one table of fixed size (4 MB), in pieces.  Any table gives right
@@ -124,7 +131,7 @@ def frequency_levels(documents: DataFrame, k: int) -> np.ndarray:
     for row in documents.select("text").mapInArrow(count, schema).repartition(PIECES, "piece").mapInArrow(add, schema).collect():
         sums[row["piece"]] += np.frombuffer(row["counts"], row["kind"])
     usual = max(sums.sum() / BUCKETS, 1.0)
-    return np.clip(4 * np.log2(np.maximum(sums.ravel(), 1) / usual), 0, 255).astype(np.uint8)
+    return np.clip(4 * np.log2(np.maximum(sums.ravel(), 1) / usual), 0, 255).astype(np.uint8), np.flatnonzero(sums.ravel() > HEAVY)
 
 
 FEATURES = "id long, h long, n long, s1 long, s2 long, bits binary, minima array<long>, prefix array<long>"
@@ -252,44 +259,56 @@ def meetings(tokens: DataFrame, threshold: Threshold) -> DataFrame:
 
     ``tokens(token, id, n, component, reach, before)`` is sorted by token, size
     and id within its partitions and streamed; ``before`` is the set's shingle
-    before the token, or the token if it is the first.  Only pairs of
+    before the token, or the token if it is the first.  With ``run, side`` too
+    (see ``cells``) it is sorted by run first, and what meets is of one run and
+    of different sides, or of side 2.  Only pairs of
     compatible sizes from different components count, each within the other's
     reach, and not if they met on the shingle before.  A tile is a
     block of nodes (side 0) and a block of nodes at least as large that may be
     in their reach (side 1).
     """
 
+    names = ["token", "id", "n", "component", "reach", "before", *(c for c in ("run", "side") if c in tokens.columns)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 6
+        held = [np.zeros(0, np.int64)] * len(names)
         for batch in batches:
-            new = [batch.column(i).to_numpy() for i in range(6)]
+            new = [batch.column(i).to_numpy() for i in range(len(names))]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             # The last token may go on in the next batch.
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            first = held[6] if len(names) > 6 else held[0]
+            cut = int(np.searchsorted(first, first[-1])) if len(first) else 0
             yield from met([x[:cut] for x in held])
             held = [x[cut:] for x in held]
         yield from met(held)
 
     def met(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token = columns[0]
+        token, runs = columns[0], columns[6] if len(names) > 6 else columns[0]
         if len(token) < 2:
             return
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        starts = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
         lengths = np.diff(np.append(starts, len(token)))
         for s, m in zip(starts[lengths > RUN], lengths[lengths > RUN], strict=True):
-            yield from tiles(*(x[s : s + m] for x in columns))
+            own = [x[s : s + m] for x in columns]
+            if len(names) == 6 or own[7][0] == 2:
+                yield from tiles(*own[:6])
+            else:
+                yield from tiles(*own[:6], side=own[7])
         usable = np.repeat((lengths > 1) & (lengths <= RUN), lengths)
-        token, node, n, component, reach, before = (x[usable] for x in columns)
+        token, node, n, component, reach, before, *more = (x[usable] for x in columns)
+        runs, side = more or (token, None)
         pairs = []
         at = np.arange(len(token))
         for gap in range(1, RUN):
             at = at[at + gap < len(token)]
-            at = at[token[at] == token[at + gap]]
+            at = at[runs[at] == runs[at + gap]]
             if not len(at):
                 break
             to = at + gap
             good = (component[at] != component[to]) & threshold.sizes(n[at], n[to]) & (n[to] <= reach[at]) & (n[at] <= reach[to])
             good &= (before[at] != before[to]) | (before[at] == token[at])
+            if side is not None:
+                good &= (side[at] != side[to]) | (side[at] == 2)
             pairs.append(np.stack([np.minimum(node[at], node[to])[good], np.maximum(node[at], node[to])[good]], axis=1))
         if pairs:
             found = np.unique(np.concatenate(pairs), axis=0)
@@ -299,11 +318,13 @@ def meetings(tokens: DataFrame, threshold: Threshold) -> DataFrame:
         columns = [pa.nulls(len(a), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (a, b, tile, side)]
         return pa.RecordBatch.from_arrays(columns, ["a", "b", "tile", "side"])
 
-    def tiles(token, node, n, component, reach, before) -> Iterator[pa.RecordBatch]:
+    def tiles(token, node, n, component, reach, before, side=None) -> Iterator[pa.RecordBatch]:
         smaller = np.flatnonzero(reach >= n)
-        for s in range(0, len(smaller), BLOCK):
-            x = smaller[s : s + BLOCK]
+        groups = [smaller] if side is None else [smaller[side[smaller] == i] for i in (0, 1)]
+        for x in (g[s : s + BLOCK] for g in groups for s in range(0, len(g), BLOCK)):
             within = (n >= n[x[0]]) & (n <= reach[x].max()) & (reach >= n[x[0]])
+            if side is not None:
+                within &= side != side[x[0]]
             if (component[x] == component[x[0]]).all():
                 within &= component != component[x[0]]
             within = np.flatnonzero(within)
@@ -318,7 +339,51 @@ def meetings(tokens: DataFrame, threshold: Threshold) -> DataFrame:
                 both = np.concatenate([node[x], node[y]])
                 yield rows(both, None, np.full(len(both), tile), np.repeat([0, 1], [len(x), len(y)]))
 
-    return tokens.select("token", "id", "n", "component", "reach", "before").mapInArrow(run, "a long, b long, tile long, side long")
+    return tokens.select(*names).mapInArrow(run, "a long, b long, tile long, side long")
+
+
+def cells(prefixes: DataFrame, tokens: DataFrame, buckets: np.ndarray, threshold: Threshold) -> tuple[DataFrame, DataFrame] | None:
+    """The tokens of more than ``HEAVY`` nodes, and their rows dealt to cells: ``tokens``' columns, ``run`` and ``side``.
+
+    A heavy token's nodes are parted by size band, by being of the component
+    that most of them are of or not, and at random into pieces of about
+    ``HEAVY``.  A cell holds two pieces (sides 0 and 1) that may have links, or
+    one (side 2), so no task holds a whole token, however common.  Pieces of
+    the main component need no cell with one another.  Only tokens of
+    ``prefixes(prefix)`` in ``buckets`` can be heavy, and so only they are counted.
+    """
+    if not len(buckets):
+        return None
+    spark, some = tokens.sparkSession, prefixes.select(F.explode("prefix").alias("token"))
+    if len(buckets) <= 1 << 16:
+        # At most that many rows.
+        listed = F.broadcast(spark.createDataFrame([(int(b),) for b in buckets], "bucket long"))
+        some = some.withColumn("bucket", F.col("token").bitwiseAND(F.lit(BUCKETS - 1))).join(listed, "bucket", "left_semi")
+    common = materialize(some.groupBy("token").count().where(F.col("count") > HEAVY).select("token"), "common")
+    n_common = common.count()
+    if not n_common:
+        return None
+    shares = tokens.join(small(common, n_common), "token", "left_semi").groupBy("token", "component").count()
+    heavy = shares.groupBy("token").agg(F.sum("count").alias("nodes"), F.max(F.struct("count", "component"))["component"].alias("main"))
+    heavy = materialize(heavy.where(F.col("nodes") > HEAVY).select("token", "main"), "heavy")
+    n_heavy = heavy.count()
+    if not n_heavy:
+        return None
+    hot = tokens.join(small(heavy, n_heavy), "token").withColumn("band", threshold.band("n")).withColumn("main", F.col("component") == F.col("main"))
+    hot = materialize(hot, "hot")
+    parts = hot.groupBy("token", "band", "main").agg(F.ceil(F.count(F.lit(1)) / HEAVY).cast("int").alias("parts"))
+    parts = materialize(parts, "parts")
+    pieces = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    left, right = (pieces.select("token", F.struct("band", "main", "part").alias(c)) for c in "pq")
+    near = (F.col("q.band") - F.col("p.band")).between(0, 1) & (F.col("p") <= F.col("q")) & ~(F.col("p.main") & F.col("q.main"))
+    # Across two bands the pieces' order is that of the bands. The number of a cell is given once, when it is written.
+    paired = materialize(left.join(right, "token").where(near).withColumn("run", F.monotonically_increasing_id()), "cells")
+    one = paired.where("p = q").select("token", "run", "p.*", F.lit(2).cast("long").alias("side"))
+    two = [paired.where("p <> q").select("token", "run", f"{c}.*", F.lit(i).cast("long").alias("side")) for i, c in enumerate("pq")]
+    members = materialize(one.unionByName(two[0]).unionByName(two[1]), "members")
+    dealt = hot.join(small(parts, parts.count()), ["token", "band", "main"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    dealt = dealt.join(small(members, members.count()), ["token", "band", "main", "part"])
+    return heavy.select("token"), dealt.select(*tokens.columns, "run", "side")
 
 
 def bounded(tile_rows: DataFrame, threshold: Threshold) -> DataFrame:
@@ -386,7 +451,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 75, den: int
     """
     threshold = Threshold(num, den)
     documents = documents.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    levels = frequency_levels(documents, k)
+    levels, buckets = frequency_levels(documents, k)
     features = materialize(described(documents, levels, k, threshold), "features")
     known = features.where("id is not null")
     sets = known.where("n > 0")
@@ -410,7 +475,12 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 75, den: int
         tokens, owner = (x.join(groups[1], "id", "left").withColumn("component", F.coalesce("component", "id")) for x in (tokens, owner))
     tokens = tokens.select(F.posexplode(F.arrays_zip(F.col("prefix").alias("token"), F.concat(F.slice("prefix", 1, 1), "prefix").alias("before"))).alias("place", "t"), "id", "n", "component")
     tokens = tokens.where("t.token is not null").select("t.token", "id", "n", "component", threshold.reach("n", "place").alias("reach"), "t.before")
+    dealt = cells(known.select("prefix"), tokens, buckets, threshold)
+    if dealt:
+        tokens = tokens.join(small(dealt[0], dealt[0].count()), "token", "left_anti")
     met = materialize(meetings(tokens.repartition("token").sortWithinPartitions("token", "n", "id"), threshold), "meetings")
+    if dealt:
+        met = met.unionByName(materialize(meetings(dealt[1].repartition("run").sortWithinPartitions("run", "n", "id"), threshold), "meetings"))
     pairs = possible(met.where("b is not null and a <> b").select("a", "b").distinct(), slim, threshold)
     if met.where("tile is not null").take(1):
         tile_rows = met.where("tile is not null").select("a", "tile", "side").distinct().join(owner.withColumnRenamed("id", "a"), "a")

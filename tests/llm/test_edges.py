@@ -115,9 +115,9 @@ def brute_groups(rows):
     return sorted(((-1 if i is None else i), len(s), (-1 if i is None else least[i])) for i, s in sets)
 
 
-@pytest.mark.parametrize("run, block, large", [(64, 256, 32), (2, 4, 32), (2, 2, 3), (3, 8, 4)])
-def test_texts_of_one_id_are_one_document(spark, monkeypatch, run, block, large):
-    for name, value in (("RUN", run), ("BLOCK", block), ("LARGE", large)):
+@pytest.mark.parametrize("run, block, large, heavy", [(64, 256, 32, 1 << 14), (2, 4, 32, 1 << 14), (2, 2, 3, 1 << 14), (3, 8, 4, 4), (2, 2, 1000, 6)])
+def test_texts_of_one_id_are_one_document(spark, monkeypatch, run, block, large, heavy):
+    for name, value in (("RUN", run), ("BLOCK", block), ("LARGE", large), ("HEAVY", heavy)):
         monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(run)
     texts = [" ".join(rng.choices([f"v{i}" for i in range(60)], k=40)) for _ in range(6)]
@@ -144,6 +144,23 @@ def test_an_id_bridges_two_groups(spark, monkeypatch, run):
     assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (100, 1), (5, 5)}
 
 
+@pytest.mark.parametrize("run, block, large", [(64, 256, 1000), (2, 2, 1000)])
+def test_heavy_shingles_are_dealt_to_cells(spark, monkeypatch, run, block, large):
+    for name, value in (("RUN", run), ("BLOCK", block), ("LARGE", large), ("HEAVY", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    # One passage of 8 to 90 words in most texts, so that sizes lie in many bands.
+    words = [f"p{i}" for i in range(90)]
+    rows = [(i, " ".join(words[: 8 + i % 83] + [f"own{i % 5}"] * (i % 4))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt = []
+    plain = jaccard.cells
+    monkeypatch.setattr(jaccard, "cells", lambda *a: dealt.append(plain(*a)) or dealt[-1])
+    got = jaccard.jaccard_components(docs).collect()
+    assert sorted(tuple(r) for r in got) == brute_groups(rows)
+    sizes = [r["count"] for r in dealt[0][1].groupBy("run").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 40  # of 120 rows; pieces are filled at random
+
+
 def brute_targets(rows):
     sizes = {}
     for _, text, source in rows:
