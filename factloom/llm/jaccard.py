@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import ODD, WordHashes, column_bytes, components, drop, materialize, mix, slices, small, word_hashes
@@ -31,6 +32,8 @@ BUCKETS, PIECES = 1 << 22, 64
 SIGNATURES, LARGE = 6, 32
 #: Rounds of joining large groups, and members compared with the rest in each but the first.
 ROUNDS, LEADERS = 3, 4
+#: Pairs for each node beyond which pairs are verified in rounds.
+DENSE = 8
 #: Nodes on a shingle up to which they are paired at once; beyond, nodes per block of a tile.
 RUN, BLOCK = 64, 256
 #: Nodes on a shingle up to which one task holds them; beyond, they are dealt in pieces of about that many.
@@ -245,7 +248,7 @@ def merged_groups(texts: Texts, nodes: DataFrame, k: int, threshold: Threshold)
         sizes = threshold.den * F.least("n", "l.n") >= threshold.num * F.greatest("n", "l.n")
         pairs = members.join(chosen, ["i", "key"]).where((F.col("component") != F.col("l.component")) & sizes)
         pairs = pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
-        pairs = materialize(possible(pairs, nodes, threshold), "pairs")
+        pairs = materialize(possible(pairs, nodes, threshold).select("a", "b"), "pairs")
         if not pairs.take(1):
             break
         found = verified(texts, pairs, k, threshold)
@@ -254,6 +257,30 @@ def merged_groups(texts: Texts, nodes: DataFrame, k: int, threshold: Threshold)
     return None if links is None else (links, merged)
 
 
+def settled(texts: Texts, pairs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
+    """Links among ``pairs(a, b, near)`` that join all nodes which those pairs can join.
+
+    In a dense group most pairs say nothing new.  While there are more than
+    ``DENSE`` pairs for each node, at most ``ROUNDS`` times, each node's
+    ``LEADERS`` pairs of the greatest possible similarity ``near`` are verified,
+    and pairs within a component go.  All that is left is verified.
+    """
+    links: list[DataFrame] = []
+    for _ in range(ROUNDS):
+        n, nodes = pairs.agg(F.count(F.lit(1)), F.count_distinct("a")).first()
+        if n <= DENSE * nodes:
+            break
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("end"), "near", "a", "b")
+        first = Window.partitionBy("end").orderBy(F.desc("near"), F.xxhash64("a", "b"))
+        best = materialize(ends.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= LEADERS).select("a", "b").distinct(), "chosen")
+        links.append(verified(texts, best, k, threshold))
+        merged = materialize(components(reduce(DataFrame.unionByName, links).toDF("u", "v")), "merged")
+        left, right = (merged.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")) for end in "ab")
+        rest = pairs.join(best, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
+        pairs = materialize(rest.where(~F.coalesce(F.col("c_a") == F.col("c_b"), F.lit(False))).select("a", "b", "near"), "pairs")
+    return reduce(DataFrame.unionByName, [*links, verified(texts, pairs.select("a", "b"), k, threshold)])
+
+
 def meetings(tokens: DataFrame, threshold: Threshold) -> DataFrame:
     """What meets on a shingle: pairs ``a, b``, or for more than ``RUN`` nodes rows ``a, tile, side``.
 
@@ -387,7 +414,7 @@ def cells(prefixes: DataFrame, tokens: DataFrame, buckets: np.ndarray, threshold
 
 
 def bounded(tile_rows: DataFrame, threshold: Threshold) -> DataFrame:
-    """Pairs ``a, b`` of a tile's two sides that their bitmaps don't rule out; at most ``2 * BLOCK`` rows a tile."""
+    """Pairs ``a, b, near`` of a tile's two sides that their bitmaps don't rule out, with the similarity that those allow; at most ``2 * BLOCK`` rows a tile."""
 
     def compare(pdf):
         import pandas as pd
@@ -403,35 +430,40 @@ def bounded(tile_rows: DataFrame, threshold: Threshold) -> DataFrame:
             for i in np.flatnonzero(width >= w):
                 stacks[w][i] = folded(maps[i], w)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        a, b = [], []
+        a, b, near_ = [], [], []
         for i in left:
             larger = right[(n[right] > n[i]) | ((n[right] == n[i]) & (node[right] > node[i]))]
             near = larger[(component[larger] != component[i]) & threshold.sizes(n[larger], n[i])]
             common = most_common(stacks[width[i]][i][None, :], n[i], stacks[width[i]][near], n[near])
-            good = near[threshold.linked(common, n[near], n[i])]
+            keep = threshold.linked(common, n[near], n[i])
+            good = near[keep]
             a.append(np.full(len(good), node[i]))
             b.append(node[good])
+            most = common[keep]
+            near_.append(most / (n[good] + n[i] - most))
         a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "near": np.concatenate([np.zeros(0), *near_])})
 
-    return tile_rows.groupBy("tile").applyInPandas(compare, "a long, b long")
+    return tile_rows.groupBy("tile").applyInPandas(compare, "a long, b long, near double")
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, threshold: Threshold) -> DataFrame:
-    """Those of ``pairs(a, b)`` that their bitmaps don't rule out."""
+    """Those of ``pairs(a, b)`` that their bitmaps don't rule out, with ``near``, the similarity that those allow."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
+            kept, near = [], []
             for n_a, x, n_b, y in zip(batch.column("n_a").to_pylist(), batch.column("x"), batch.column("n_b").to_pylist(), batch.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 width = min(len(x), len(y))
-                kept.append(bool(threshold.linked(int(most_common(folded(x, width), n_a, folded(y, width), n_b)), n_a, n_b)))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+                common = int(most_common(folded(x, width), n_a, folded(y, width), n_b))
+                kept.append(bool(threshold.linked(common, n_a, n_b)))
+                near.append(common / (n_a + n_b - common))
+            yield batch.select(["a", "b"]).append_column("near", pa.array(near, pa.float64())).filter(pa.array(kept, pa.bool_()))
 
     left = pairs.join(nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x")), "a")
     both = left.join(nodes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y")), "b")
-    return both.select("a", "b", "n_a", "x", "n_b", "y").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "n_a", "x", "n_b", "y").mapInArrow(check, "a long, b long, near double")
 
 
 def jaccard_components(documents: DataFrame, k: int = 5, num: int = 75, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -485,8 +517,8 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 75, den: int
     if met.where("tile is not null").take(1):
         tile_rows = met.where("tile is not null").select("a", "tile", "side").distinct().join(owner.withColumnRenamed("id", "a"), "a")
         pairs = pairs.unionByName(bounded(tile_rows, threshold))
-    pairs = materialize(pairs.distinct(), "pairs")
-    more = verified(texts, pairs, k, threshold)
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.max("near").alias("near")), "pairs")
+    more = settled(texts, pairs, k, threshold)
     links = more if groups is None else groups[0].unionByName(more)
     if n_again:
         # The sets of one id are linked: each with the id's least.

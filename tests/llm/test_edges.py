@@ -487,3 +487,32 @@ def test_contamination_of_odd_tables(spark):
     got = decontamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     want = [(i, *brute_contamination([(i, t)], [x for x in items if x[0] is not None])[i]) for i, t in rows]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and plain_words("É") == ["É"]
+
+
+@pytest.mark.parametrize("dense", [8, 0])
+def test_dense_pairs_are_verified_in_rounds(spark, monkeypatch, dense):
+    """Near copies in four chains of drifting texts: links all count, but few of the pairs within a component are looked at."""
+    for name, value in (("LARGE", 10**6), ("DENSE", dense), ("LEADERS", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = []
+    for group in range(4):
+        words = [f"g{group}w{i}" for i in range(400)]
+        for i in range(45):
+            words[(i * 9) % 400] = f"x{group}.{i // (1 + group)}"
+            rows.append((group * 100 + i, " ".join(words)))
+    looked, plain = [], jaccard.verified
+
+    def verified(texts, pairs, *more):
+        looked.append(pairs.count())
+        return plain(texts, pairs, *more)
+
+    monkeypatch.setattr(jaccard, "verified", verified)
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(396)} for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    least = {i: i for i in sets}
+    for _ in sets:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert got == set(least.items())
+    assert len(links) > 1500 and len(looked) > 1 and sum(looked) < len(links) / 2
