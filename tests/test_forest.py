@@ -84,3 +84,29 @@ def test_components_and_paths_of_users(spark):
     reach = {n: reached(n) for n in after}
     assert {r["id"]: r["component"] for r in QUERIES["scc"](spark, FOLDER).collect()} == {n: min(m for m in reach[n] if n in reach[m]) for n in after}
     assert {(r["src"], r["dst"]): r["reached"] for r in QUERIES["path_tests"](spark, FOLDER).collect()} == {(n, n + 1): n + 1 in reach[n] for n in after}
+
+
+def test_snapshots_are_stored_lean(spark, tmp_path, monkeypatch):
+    """Roll-ups of leaves are given, not written; wide joins in slices give the same; no shuffle files stay."""
+    from factloom import storage
+    from factloom.operators import diff, graph
+
+    a, b = (tables.facts(spark, FOLDER, s) for s in "ab")
+    found = [{tuple(r) for r in graph.rollups(tables.facts(spark, FOLDER, s), tables.edges(spark, FOLDER, s)).collect()} for s in "ab"]
+    rolled = [tables.rolled(spark, FOLDER, s) for s in "ab"]
+    assert [{tuple(r) for r in x.select("id", "parent_id", "depth", "rollup", "structural").collect()} for x in rolled] == found
+    assert all("line" not in {r["k"] for r in spark.read.parquet(f).selectExpr("split_part(id, ':', 1) as k").distinct().collect()} for f in {f.rpartition("/")[0] for f in rolled[0].inputFiles()} if "/cut-" in f)
+    whole = [sorted(map(tuple, x.collect()), key=repr) for x in (diff.unequal(*rolled), diff.fact_deltas(a, b))]
+    monkeypatch.setattr(graph, "SLICE_ROWS", 1000)
+    assert [sorted(map(tuple, x.collect()), key=repr) for x in (diff.unequal(*rolled), diff.fact_deltas(a, b))] == whole
+    # A leaf whose parent no root reaches has no roll-up.
+    rows = spark.createDataFrame([("r", None, "h1"), ("p", "r", "h2"), ("q", "lost", "h3")], "id string, parent_id string, hash string")
+    leaves = spark.createDataFrame([("x", "p", "h4", None), ("y", "q", "h5", None)], "id string, parent_id string, hash string, e string")
+    none = tables.edges(spark, FOLDER, "a").limit(0)
+    want = {tuple(r) for r in graph.rollups(rows.unionByName(leaves.drop("e")), none).collect()}
+    assert {tuple(r) for r in graph.rollups(rows, none, leaves).collect()} == want and {r[0] for r in want} == {"r", "p", "x"}
+
+    removed = []
+    monkeypatch.setattr(spark.conf.__class__, "set", lambda self, k, v, plain=spark.conf.__class__.set: removed.append((k, v)) or plain(self, k, v))
+    storage.materialize(spark.range(1000).repartition(3, "id"), lean=True)
+    assert removed == [(storage.CLEANUP, "true"), (storage.CLEANUP, "false")]
