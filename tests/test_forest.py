@@ -110,3 +110,10 @@ def test_snapshots_are_stored_lean(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(spark.conf.__class__, "set", lambda self, k, v, plain=spark.conf.__class__.set: removed.append((k, v)) or plain(self, k, v))
     storage.materialize(spark.range(1000).repartition(3, "id"), lean=True)
     assert removed == [(storage.CLEANUP, "true"), (storage.CLEANUP, "false")]
+
+
+def test_plan_is_written_once(spark):
+    from factloom.queries import planning
+
+    for df in planning._plan(spark, FOLDER):
+        assert df.count() and all("/cut-" in f for f in df.inputFiles())
