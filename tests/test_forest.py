@@ -117,3 +117,72 @@ def test_plan_is_written_once(spark):
 
     for df in planning._plan(spark, FOLDER):
         assert df.count() and all("/cut-" in f for f in df.inputFiles())
+
+
+def test_lines_are_stored_once_and_hashed_directly(spark):
+    """Facts are not written; their hash is that of their payload, and odd strings are escaped as before."""
+    from pyspark.sql import functions as F
+
+    from factloom.functions import canonical
+
+    for side in "ab":
+        own = tables.facts(spark, FOLDER, side)
+        assert not [f for f in own.inputFiles() if "/facts-" in f] and {f.rpartition("/")[0] for f in own.inputFiles() if "/lines-" in f}
+        assert own.where(F.col("hash") != canonical.content_hash(F.col("payload"))).count() == 0
+    odd = spark.createDataFrame([(x,) for x in ("", "a b", 'q"', "b\\", "n\n", "é", "\x7f", "\t", "[x]", None)], "t string")
+    plain = F.regexp_replace(F.to_json(F.array("t")), r"^\[|\]$", "")
+    assert odd.where(~canonical.canonical_text(F.col("t")).eqNullSafe(plain)).count() == 0
+
+
+def test_ids_are_found_in_pieces(spark):
+    from factloom import storage
+
+    df, ids = spark.range(100), spark.range(0, 200, 7)
+    want = set(range(0, 100, 7))
+    for bound in (1, 10, 1000):
+        assert {r["id"] for r in storage.among(df, ids, bound=bound).collect()} == want
+        assert {r["id"] for r in storage.without(df, ids, bound=bound).collect()} == set(range(100)) - want
+
+
+def test_scratch_of_a_kept_table_goes(spark):
+    from factloom import storage
+    from factloom.operators.graph import cut
+
+    inner, outer = [], []
+
+    def build():
+        inner.append(cut(spark.range(5)))
+        outer.append(storage.kept(lambda: spark.range(3)))
+        return inner[0].join(outer[0], "id")
+
+    out = storage.kept(build)
+    assert out.count() == 3 and outer[0].count() == 3
+    path = spark._jvm.org.apache.hadoop.fs.Path(inner[0].inputFiles()[0])
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_differing_facts_on_a_parent_cycle_are_not_compared(spark):
+    """Only what a root reaches within the common part is compared, by either side's parents."""
+    from factloom.operators import diff
+
+    rows = lambda *x: spark.createDataFrame([(i, p, {"k": v}, f"{v}", False) for i, p, v in x], "id string, parent_id string, payload map<string,string>, hash string, ref_only boolean")
+    a = rows(("r", None, "1"), ("x", "r", "1"), ("y", "z", "1"), ("z", "y", "1"), ("m", "x", "1"), ("o", "gone", "1"))
+    b = rows(("r", None, "1"), ("x", "r", "2"), ("y", "z", "2"), ("z", "y", "2"), ("m", "y", "2"), ("o", "gone", "2"))
+    assert {r["id"] for r in diff.fact_deltas(a, b).where("verb = 'set'").collect()} == {"x", "m"}
+
+
+def test_queries_write_only_the_parts_they_read(spark, tmp_path):
+    """Losses, invariants and preambles need no texts; a plan's parts are written once."""
+    import shutil
+
+    from factloom.queries import planning
+
+    folder = shutil.copytree(FOLDER, tmp_path / "t").as_posix()
+    made = planning._emission(spark, folder)
+    parts = lambda: {k for k in vars(made) if k in ("again", "created", "described", "dropped", "folded", "changed", "owned")}
+    assert QUERIES["data_losses"](spark, folder).count() and parts() == {"dropped"}
+    assert QUERIES["create_invariant"](spark, folder).count() == 0 and parts() == {"dropped", "again", "created"}
+    QUERIES["missing_requirement"](spark, folder).collect()
+    QUERIES["destruction_check"](spark, folder).collect()
+    QUERIES["plan_preamble"](spark, folder).collect()
+    assert "described" not in parts() and planning._emission(spark, folder) is made
