@@ -186,3 +186,10 @@ def test_queries_write_only_the_parts_they_read(spark, tmp_path):
     QUERIES["destruction_check"](spark, folder).collect()
     QUERIES["plan_preamble"](spark, folder).collect()
     assert "described" not in parts() and planning._emission(spark, folder) is made
+
+
+def test_target_writes_no_payloads(spark):
+    """Only ids and deltas are written on the way to a target."""
+    own = QUERIES["project_target"](spark, FOLDER)
+    seen = {c for f in {f.rpartition("/")[0] for f in own.inputFiles() if "/cut-" in f} for c in spark.read.parquet(f).columns}
+    assert "s" in seen and "payload" not in seen
