@@ -457,3 +457,15 @@ def test_paths_within_components_are_not_walked(spark, monkeypatch, most):
     got = {(r["src"], r["dst"]): r["reached"] for r in graph.paths(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame(sorted(edges_), "src long, dst long")).collect()}
     assert got == {(a, b): reached(a, b) for a, b in pairs}
     assert sum(df.count() for df in written) < 2 * len(edges_) + 5 * len(set(pairs))
+
+
+def test_edges_are_written_reason_by_reason(spark):
+    """Each edge once, though two ids or two links give it; links of untouched facts are left out; levels are walked over numbers."""
+    touches = spark.createDataFrame([("p", "produces", "x"), ("p", "produces", "y"), ("c", "consumes", "x"), ("c", "consumes", "y"), ("q", "produces", "z")], "action string, role string, id string")
+    links = spark.createDataFrame([("z", "x"), ("z", "y"), ("z", "away"), ("away", "x")], "from_id string, to_id string")
+    found = actions.action_edges(touches, links)
+    assert sorted(map(tuple, found.collect())) == [("p", "c", "produce"), ("p", "q", "build")]
+    assert all("/cut-" in f for f in found.inputFiles())
+    own = spark.createDataFrame([("c", "1"), ("p", "3"), ("q", "2"), ("alone", "9")], "idx string, key string")
+    placed = {r["idx"]: r["position"] for r in actions.ordered(own, found, most=0).collect()}
+    assert placed == {"p": 0, "alone": 1, "c": 2, "q": 3}
