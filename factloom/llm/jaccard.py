@@ -197,7 +197,7 @@ class Texts:
 
 
 def verified(texts: Texts, pairs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
-    """Those of ``pairs(a, b)`` of nodes that are linked, by intersecting the sorted arrays of whole texts."""
+    """Those of ``pairs(a, b)`` of nodes, each given once, that are linked, by intersecting the sorted arrays of whole texts."""
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +211,7 @@ def verified(texts: Texts, pairs: DataFrame, k: int, threshold: Threshold) -> Da
     sets = texts.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
     with_both = with_b.join(sets.select(F.col("id").alias("a"), "x"), "a").select("a", "b", "x", "y")
-    links = materialize(with_both.mapInArrow(intersect, "a long, b long").distinct(), "links")
+    links = materialize(with_both.mapInArrow(intersect, "a long, b long"), "links")
     drop(sets)
     return links
 
@@ -254,6 +254,7 @@ def merged_groups(texts: Texts, nodes: DataFrame, k: int, threshold: Threshold)
         found = verified(texts, pairs, k, threshold)
         links = found if links is None else links.unionByName(found)
         merged = components(links.toDF("u", "v")).withColumnRenamed("node", "id")
+        merged = small(merged, merged.count())
     return None if links is None else (links, merged)
 
 
@@ -496,8 +497,11 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 75, den: int
     nodes = (nodes.dropDuplicates(["s1", "s2", "id", "h"]) if n_again else nodes).select(F.col("node").alias("id"), "n", "bits", "minima", "prefix")
     if n_again:
         nodes = materialize(nodes, "nodes")
-    texts = Texts(documents, classes.select("node", "id", "h"), n_again > 0)
     slim = nodes.select("id", "n", "bits", "minima")
+    if not n_again:
+        # Read many times; without the prefixes it is a small part of the features.
+        slim = materialize(slim, "slim")
+    texts = Texts(documents, classes.select("node", "id", "h"), n_again > 0)
     groups = merged_groups(texts, slim, k, threshold)
     tokens = nodes.select("prefix", "id", "n")
     owner = slim.select("id", "n", "bits")

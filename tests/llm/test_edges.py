@@ -516,3 +516,19 @@ def test_dense_pairs_are_verified_in_rounds(spark, monkeypatch, dense):
             least[a] = least[b] = min(least[a], least[b])
     assert got == set(least.items())
     assert len(links) > 1500 and len(looked) > 1 and sum(looked) < len(links) / 2
+
+
+@pytest.mark.parametrize("piece", [500_000, 50, 0])
+def test_components_of_few_edges_take_two_tables(spark, monkeypatch, piece):
+    """A long path, a star and pairs: tasks contract their own edges, and one task settles what is left, unless that is too much."""
+    monkeypatch.setattr(common, "PIECE_EDGES", piece)
+    written, plain = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, *a, **b: written.append(a) or plain(df, *a, **b))
+    rng = random.Random(4)
+    path = rng.sample(range(1000), 300)
+    edges = [*zip(path, path[1:]), *((5000, 5001 + i) for i in range(40)), (7001, 7000), (7001, 7000), (8000, 8000)]
+    rng.shuffle(edges)
+    got = [(r["node"], r["component"]) for r in common.components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()]
+    assert sorted(got) == sorted([*((i, min(path)) for i in path), *((i, 5000) for i in range(5000, 5041)), (7000, 7000), (7001, 7000)])
+    assert piece < 500_000 or len(written) == 2
+    assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
