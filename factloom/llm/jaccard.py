@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ODD, WordHashes, column_bytes, components, drop, materialize, mix, slices, small, word_hashes
+from factloom.llm.common import ODD, WordHashes, column_bytes, components, drop, in_small_batches, materialize, mix, slices, small, word_hashes
 
 #: Buckets of the table of shingle frequencies, and pieces that it is summed in.
 BUCKETS, PIECES = 1 << 22, 64
@@ -114,11 +114,11 @@ def frequency_levels(documents: DataFrame, k: int) -> tuple[np.ndarray, np.ndarr
         return pa.RecordBatch.from_pydict({"piece": pa.array(list(counts), pa.int32()), "kind": pa.array(kinds, pa.string()), "counts": pa.array(data, pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = WordHashes(), np.zeros(BUCKETS, np.int64)
+        hashes, total = WordHashes(), np.zeros(BUCKETS, np.uint32)
         for batch in slices(batches):
             found = [shingle_set(text, hashes, k) for text in column_bytes(batch, "text")]
             if found:
-                total += np.bincount((np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                np.add.at(total, (np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int64), np.uint32(1))
         if total.any():
             yield packed(dict(enumerate(np.split(total, PIECES))))
 
@@ -134,7 +134,8 @@ def frequency_levels(documents: DataFrame, k: int) -> tuple[np.ndarray, np.ndarr
     for row in documents.select("text").mapInArrow(count, schema).repartition(PIECES, "piece").mapInArrow(add, schema).collect():
         sums[row["piece"]] += np.frombuffer(row["counts"], row["kind"])
     usual = max(sums.sum() / BUCKETS, 1.0)
-    return np.clip(4 * np.log2(np.maximum(sums.ravel(), 1) / usual), 0, 255).astype(np.uint8), np.flatnonzero(sums.ravel() > HEAVY)
+    levels = [np.clip(4 * np.log2(np.maximum(piece, 1) / usual), 0, 255).astype(np.uint8) for piece in sums]
+    return np.concatenate(levels), np.flatnonzero(sums.ravel() > HEAVY)
 
 
 FEATURES = "id long, h long, n long, s1 long, s2 long, bits binary, minima array<long>, prefix array<long>"
@@ -467,6 +468,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, threshold: Threshold) -> DataFr
     return both.select("a", "b", "n_a", "x", "n_b", "y").mapInArrow(check, "a long, b long, near double")
 
 
+@in_small_batches
 def jaccard_components(documents: DataFrame, k: int = 5, num: int = 75, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id`` for every document.
 

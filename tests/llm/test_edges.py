@@ -532,3 +532,10 @@ def test_components_of_few_edges_take_two_tables(spark, monkeypatch, piece):
     assert sorted(got) == sorted([*((i, min(path)) for i in path), *((i, 5000) for i in range(5000, 5041)), (7000, 7000), (7001, 7000)])
     assert piece < 500_000 or len(written) == 2
     assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_wide_rows_reach_python_in_small_batches(spark, monkeypatch):
+    before, seen, plain = spark.conf.get(common.BATCH), [], jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda *a: seen.append(spark.conf.get(common.BATCH)) or plain(*a))
+    assert jaccard.jaccard_components(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")).count() == 2
+    assert set(seen) == {common.BATCH_BYTES} != {before} and spark.conf.get(common.BATCH) == before
