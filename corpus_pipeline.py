@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import decontamination, jaccard, mixing, sharding, toxicity
-from factloom.llm.common import crc_mod, fresh, materialize, small
+from factloom.llm.common import crc_mod, few, fresh, materialize, small
 
 SHARDS = 40
 
@@ -31,8 +31,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     of a null id are linked with nothing and stay.  Documents without words
     are no copies of one another and stay.
     """
-    found = materialize(jaccard.jaccard_components(docs), "components")
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    n_docs = docs.count()
+    found = materialize(few(jaccard.jaccard_components(docs), n_docs), "components")
+    gone = materialize(few(found.where("doc_id <> component_id").select("doc_id").distinct(), n_docs), "copies")
     rest = docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
     again = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     n = again.count()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ODD, WordHashes, column_bytes, components, drop, in_small_batches, materialize, mix, slices, small, word_hashes
+from factloom.llm.common import ODD, WordHashes, column_bytes, components, drop, few, in_small_batches, materialize, mix, slices, small, word_hashes
 
 #: Buckets of the table of shingle frequencies, and pieces that it is summed in.
 BUCKETS, PIECES = 1 << 22, 64
@@ -36,6 +36,8 @@ ROUNDS, LEADERS = 3, 4
 DENSE = 8
 #: Nodes on a shingle up to which they are paired at once; beyond, nodes per block of a tile.
 RUN, BLOCK = 64, 256
+#: Pairs of sets, which are wide, that one task verifies at least.
+TASK_PAIRS = 512
 #: Nodes on a shingle up to which one task holds them; beyond, they are dealt in pieces of about that many.
 HEAVY = 1 << 14
 
@@ -170,10 +172,10 @@ def described(documents: DataFrame, levels: np.ndarray, k: int, threshold: Thres
 
 
 class Texts:
-    """The texts behind nodes: ``documents(id, h, text)`` and each node's row ``node, id, h`` (``h``: hash of the text)."""
+    """The texts behind nodes: ``documents(id, h, text)``, of ``n`` rows, and each node's row ``node, id, h`` (``h``: hash of the text)."""
 
-    def __init__(self, documents: DataFrame, rows: DataFrame, again: bool):
-        self.documents, self.rows, self.again = documents, rows, again
+    def __init__(self, documents: DataFrame, n: int, rows: DataFrame, again: bool):
+        self.documents, self.n, self.rows, self.again = documents, n, rows, again
 
     def sets(self, nodes: DataFrame, k: int) -> DataFrame:
         """``id, x``: sorted shingle arrays of ``nodes(id)``.
@@ -181,7 +183,7 @@ class Texts:
         Texts of other documents never leave their task if the nodes are few
         enough to broadcast; beyond that they are joined by a shuffle.
         """
-        own = materialize(self.rows.join(nodes.withColumnRenamed("id", "node"), "node"), "ids")
+        own = materialize(few(self.rows.join(nodes.withColumnRenamed("id", "node"), "node"), self.n), "ids")
         chosen = self.documents.join(small(own, own.count()), ["id", "h"]).select(F.col("node").alias("id"), "text")
 
         def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +200,7 @@ class Texts:
 
 
 def verified(texts: Texts, pairs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
-    """Those of ``pairs(a, b)`` of nodes, each given once, that are linked, by intersecting the sorted arrays of whole texts."""
+    """Those of ``pairs(a, b)`` of nodes, written and each given once, that are linked, by intersecting the sorted arrays of whole texts."""
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +214,7 @@ def verified(texts: Texts, pairs: DataFrame, k: int, threshold: Threshold) -> Da
     sets = texts.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
     with_both = with_b.join(sets.select(F.col("id").alias("a"), "x"), "a").select("a", "b", "x", "y")
-    links = materialize(with_both.mapInArrow(intersect, "a long, b long"), "links")
+    links = materialize(few(with_both, pairs.count(), TASK_PAIRS).mapInArrow(intersect, "a long, b long"), "links")
     drop(sets)
     return links
 
@@ -234,6 +236,7 @@ def merged_groups(texts: Texts, nodes: DataFrame, k: int, threshold: Threshold)
     n_large = large.count()
     large = small(large, n_large)
     keys = materialize(keys.join(large, ["i", "key"]), "keys")
+    n_keys = keys.count()
     links, merged = None, None
     for round_ in range(ROUNDS):
         if links is None:
@@ -249,7 +252,7 @@ def merged_groups(texts: Texts, nodes: DataFrame, k: int, threshold: Threshold)
         sizes = threshold.den * F.least("n", "l.n") >= threshold.num * F.greatest("n", "l.n")
         pairs = members.join(chosen, ["i", "key"]).where((F.col("component") != F.col("l.component")) & sizes)
         pairs = pairs.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
-        pairs = materialize(possible(pairs, nodes, threshold).select("a", "b"), "pairs")
+        pairs = materialize(possible(pairs, nodes, threshold, max(n_keys * len(leaders), texts.n)).select("a", "b"), "pairs")
         if not pairs.take(1):
             break
         found = verified(texts, pairs, k, threshold)
@@ -274,12 +277,13 @@ def settled(texts: Texts, pairs: DataFrame, k: int, threshold: Threshold) -> Dat
             break
         ends = pairs.select(F.explode(F.array("a", "b")).alias("end"), "near", "a", "b")
         first = Window.partitionBy("end").orderBy(F.desc("near"), F.xxhash64("a", "b"))
-        best = materialize(ends.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= LEADERS).select("a", "b").distinct(), "chosen")
+        best = ends.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= LEADERS).select("a", "b").distinct()
+        best = materialize(few(best, n), "chosen")
         links.append(verified(texts, best, k, threshold))
         merged = materialize(components(reduce(DataFrame.unionByName, links).toDF("u", "v")), "merged")
         left, right = (merged.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")) for end in "ab")
         rest = pairs.join(best, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
-        pairs = materialize(rest.where(~F.coalesce(F.col("c_a") == F.col("c_b"), F.lit(False))).select("a", "b", "near"), "pairs")
+        pairs = materialize(few(rest.where(~F.coalesce(F.col("c_a") == F.col("c_b"), F.lit(False))).select("a", "b", "near"), max(n, texts.n)), "pairs")
     return reduce(DataFrame.unionByName, [*links, verified(texts, pairs.select("a", "b"), k, threshold)])
 
 
@@ -449,8 +453,8 @@ def bounded(tile_rows: DataFrame, threshold: Threshold) -> DataFrame:
     return tile_rows.groupBy("tile").applyInPandas(compare, "a long, b long, near double")
 
 
-def possible(pairs: DataFrame, nodes: DataFrame, threshold: Threshold) -> DataFrame:
-    """Those of ``pairs(a, b)`` that their bitmaps don't rule out, with ``near``, the similarity that those allow."""
+def possible(pairs: DataFrame, nodes: DataFrame, threshold: Threshold, most: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that their bitmaps don't rule out, with ``near``, the similarity that those allow; ``most``: bounds the pairs and the nodes."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,7 +469,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, threshold: Threshold) -> DataFr
 
     left = pairs.join(nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x")), "a")
     both = left.join(nodes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y")), "b")
-    return both.select("a", "b", "n_a", "x", "n_b", "y").mapInArrow(check, "a long, b long, near double")
+    return few(both.select("a", "b", "n_a", "x", "n_b", "y"), most).mapInArrow(check, "a long, b long, near double")
 
 
 @in_small_batches
@@ -488,22 +492,23 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 75, den: int
     documents = documents.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     levels, buckets = frequency_levels(documents, k)
     features = materialize(described(documents, levels, k, threshold), "features")
+    n_rows = features.count()
     known = features.where("id is not null")
     sets = known.where("n > 0")
     again = materialize(known.groupBy("id").count().where("count > 1").select("id"), "again")
     n_again = again.count()
     # A node is a set; its number is given once, when the table is written.
     classes = sets.groupBy("s1", "s2").agg(F.min(F.struct("id", "h")).alias("r")).select("s1", "s2", "r.id", "r.h")
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = materialize(few(classes, n_rows).withColumn("node", F.monotonically_increasing_id()), "classes")
     nodes = sets.join(classes, ["s1", "s2", "id", "h"])
     nodes = (nodes.dropDuplicates(["s1", "s2", "id", "h"]) if n_again else nodes).select(F.col("node").alias("id"), "n", "bits", "minima", "prefix")
     if n_again:
-        nodes = materialize(nodes, "nodes")
+        nodes = materialize(few(nodes, n_rows), "nodes")
     slim = nodes.select("id", "n", "bits", "minima")
     if not n_again:
         # Read many times; without the prefixes it is a small part of the features.
-        slim = materialize(slim, "slim")
-    texts = Texts(documents, classes.select("node", "id", "h"), n_again > 0)
+        slim = materialize(few(slim, n_rows), "slim")
+    texts = Texts(documents, n_rows, classes.select("node", "id", "h"), n_again > 0)
     groups = merged_groups(texts, slim, k, threshold)
     tokens = nodes.select("prefix", "id", "n")
     owner = slim.select("id", "n", "bits")
@@ -519,7 +524,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 75, den: int
     met = materialize(meetings(tokens.repartition("token").sortWithinPartitions("token", "n", "id"), threshold), "meetings")
     if dealt:
         met = met.unionByName(materialize(meetings(dealt[1].repartition("run").sortWithinPartitions("run", "n", "id"), threshold), "meetings"))
-    pairs = possible(met.where("b is not null and a <> b").select("a", "b").distinct(), slim, threshold)
+    pairs = possible(met.where("b is not null and a <> b").select("a", "b").distinct(), slim, threshold, max(met.count(), n_rows))
     if met.where("tile is not null").take(1):
         tile_rows = met.where("tile is not null").select("a", "tile", "side").distinct().join(owner.withColumnRenamed("id", "a"), "a")
         pairs = pairs.unionByName(bounded(tile_rows, threshold))
@@ -533,7 +538,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 75, den: int
         links = links.unionByName(shared.join(shared.groupBy("id").agg(F.min("node").alias("b")), "id").where("node <> b").select(F.col("node").alias("a"), "b"))
     found = components(links.toDF("u", "v"))
     # The least id of each component of several nodes; of a lone node its own.
-    joined = materialize(classes.select("node", "id").join(found, "node"), "linked")
+    joined = materialize(few(classes.select("node", "id").join(found, "node"), n_rows), "linked")
     least = joined.join(joined.groupBy("component").agg(F.min("id").alias("least")), "component").select("node", "least")
     named = classes.select("s1", "s2", "id", "node").join(least, "node", "left").select("s1", "s2", F.coalesce("least", "id").alias("least"))
     out = features.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left").select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("least")).alias("least"))

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import storage
 from factloom.llm import common, decontamination, jaccard, language, mixing, quality, sharding, token_counts, topk, toxicity, warc
 from factloom.llm.queries import VOCABULARY
 from tests.llm.test_operators import blanks_apart, brute_contamination, jump, plain_words
@@ -539,3 +541,34 @@ def test_wide_rows_reach_python_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "materialize", lambda *a: seen.append(spark.conf.get(common.BATCH)) or plain(*a))
     assert jaccard.jaccard_components(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")).count() == 2
     assert set(seen) == {common.BATCH_BYTES} != {before} and spark.conf.get(common.BATCH) == before
+
+
+def test_small_tables_are_written_in_few_files(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(300)}" for _ in range(60)]
+    rows = [(i, " ".join(base[: rng.randrange(50, 60)] if i % 3 else [f"o{i}-{j}" for j in range(30)])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    written = []
+
+    def counted(df, name="table", lean=False):
+        out = storage.materialize(df, name, lean)
+        files = out.inputFiles()
+        beside = [x for folder in {f.removeprefix("file://").rpartition("/")[0] for f in files} for x in os.listdir(folder) if x.endswith(".crc")]
+        written.append((name, len(files), beside))
+        return out
+
+    for module in (common, jaccard):
+        monkeypatch.setattr(module, "materialize", counted)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == set(brute_groups(rows))
+    narrow = {"classes", "slim", "ids", "links", "linked", "pairs"}
+    assert not [x for x in written if x[2]]
+    assert {name for name, *_ in written} >= narrow and all(n <= 1 for name, n, _ in written if name in narrow - {"pairs"})
