@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factloom.operators import export, graph, statements
 from factloom.queries import query
 from factloom.sources.tables import stored, table
+from factloom.storage import undisturbed
 
 
 def _script(spark, d):
@@ -54,7 +55,8 @@ def _graph(spark, d):
         if not made:
             refs = _refs(spark, d)
             external = spark.createDataFrame([("role", None, "reader", None)], "kind string, schema string, name string, signature string")
-            made["edges"], made["diagnostics"] = statements.provider_graph(refs.where("role = 'requires'"), refs.where("role = 'provides'"), external)
+            # Both parts read what is written on the way: it stays when the first is stored.
+            made["edges"], made["diagnostics"] = undisturbed(lambda: statements.provider_graph(refs.where("role = 'requires'"), refs.where("role = 'provides'"), external))
         return made[part]
 
     return [stored(spark, d, f"statement-{p}", lambda p=p: emit(p)) for p in ("edges", "diagnostics")]

@@ -123,3 +123,13 @@ def test_statements(spark):
 def test_diff_has_no_kinds():
     text = (Path(__file__).parent.parent / "factloom/operators/diff.py").read_text()
     assert not any(f'"{kind}"' in text for kind in rules.WEIGHTS)
+
+
+def test_both_parts_of_the_statement_graph_can_be_read(spark, tmp_path):
+    """What the first part took on the way is there for the second."""
+    import shutil
+
+    from factloom.queries import statements
+
+    edges, diagnostics = statements._graph(spark, shutil.copytree("/root/testdata/sf0.001", tmp_path / "t").as_posix())
+    assert edges.count() and diagnostics.count() >= 0
