@@ -144,6 +144,25 @@ def test_ids_are_found_in_pieces(spark):
         assert {r["id"] for r in storage.without(df, ids, bound=bound).collect()} == set(range(100)) - want
 
 
+def test_of_very_many_ids_only_a_bitmap_is_broadcast(spark, monkeypatch):
+    """Null and repeated keys, and a bitmap so full that it lets all pass, change nothing; its rows are few however many ids there are."""
+    from pyspark.sql import functions as F
+
+    from factloom import storage
+
+    df = spark.range(1000).select(F.when(F.col("id") % 10 < 9, F.concat(F.lit("k"), F.col("id") % 300)).alias("id"), F.col("id").alias("_to"))
+    ids = spark.range(0, 2000, 7).select(F.concat(F.lit("k"), "id").alias("id"))
+    rows = lambda x: sorted(map(tuple, x.collect()), key=repr)
+    want = [rows(df.join(ids, "id", how)) for how in ("left_semi", "left_anti")]
+    sent, plain = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda x: sent.append(x.count()) or plain(x))
+    for bits in (1 << 26, 1 << 13, 64):
+        monkeypatch.setattr(storage, "BITS", bits)
+        sent.clear()
+        assert [rows(f(df, ids, bound=40)) for f in (storage.among, storage.without)] == want
+        assert max(sent) <= min(286, max(1, bits // 4096))
+
+
 def test_scratch_of_a_kept_table_goes(spark):
     from factloom import storage
     from factloom.operators.graph import cut
